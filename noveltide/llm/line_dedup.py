@@ -137,7 +137,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     def pack(part):
         bits = []
         for gone in part["gone"].to_pylist():
-            keep = np.ones(max(gone) + 1, dtype=bool)
+            keep = np.ones(-(-(max(gone) + 1) // 8) * 8, dtype=bool)  # whole bytes; lines beyond stay
             keep[gone] = False
             bits.append(zlib.compress(np.packbits(keep).tobytes()))
         return part["doc_id"], part["text_key"], pa.array(bits, pa.binary())
