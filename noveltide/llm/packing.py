@@ -116,7 +116,7 @@ def price(values: np.ndarray, capacity: int) -> tuple[float, Counter]:
     return float(best[capacity]), found
 
 
-def configurations(counts: np.ndarray, capacity: int, rounds: int = 400, step: float = 6.0) -> list[tuple[Counter, int]]:
+def configurations(counts: np.ndarray, capacity: int, rounds: int = 100, step: float = 6.0) -> list[tuple[Counter, int]]:
     """Whole numbers of sequences by configuration, never using more pieces of a length than there are."""
     need = counts.astype(float).copy()
     need[capacity:] = 0  # a full piece is a sequence of its own
