@@ -38,26 +38,19 @@ _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _BASE = U64(0xD6E8FEB86659FD93)
 
 
-def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate([[U64(1)], np.full(n, _BASE)]))
-
-
-_POWERS = _powers(256)
+_BACK = U64(pow(int(_BASE), -1, 1 << 64))
+_POWERS = np.cumprod(np.concatenate([[U64(1)], np.full(63, _BASE)]))
+BLOCK = 30_000  # windows at a time: their arrays stay in the processor's cache, and places fit 16 bits
 
 
 def rolling(text: np.ndarray, width: int) -> np.ndarray:
     """64-bit hashes of all substrings of `width` bytes of a byte array, by doubling."""
-    value = _BYTE[text]
-    out, have, at = None, 0, 1
-    part = value
+    part, out, have, at = _BYTE[text], None, 0, 1
     while at <= width:
         if width & at:
-            # out covers `have` bytes from i; append the next `at` bytes
-            if out is None:
-                out = part.copy()
-            else:
-                n = len(text) - have - at + 1
-                out = out[:n] * _POWERS[at] + part[have : have + n]
+            # out covers `have` bytes from each place; the next `at` bytes are appended
+            n = len(text) - have - at + 1
+            out = part.copy() if out is None else out[:n] * _POWERS[at] + part[have : have + n]
             have += at
         if at * 2 <= width:
             part = part[:-at] * _POWERS[at] + part[at:]
@@ -65,29 +58,38 @@ def rolling(text: np.ndarray, width: int) -> np.ndarray:
     return mix(out[: len(text) - width + 1])
 
 
-def anchors(hashes: np.ndarray, windows: int) -> np.ndarray:
-    """For each run of `windows` hashes the place of the smallest one (the first of equals)."""
-    n = len(hashes) - windows + 1
-    value, have, at, out, iout = hashes, 0, 1, None, None
-    index = np.arange(len(hashes))
-
-    def least(a, ia, b, ib):
-        pick = b < a  # on ties the left one
-        return np.where(pick, b, a), np.where(pick, ib, ia)
-
-    part, ipart = value, index
-    while at <= windows:
-        if windows & at:
-            if out is None:
-                out, iout = part, ipart
-            else:
-                m = len(hashes) - have - at + 1
-                out, iout = least(out[:m], iout[:m], part[have : have + m], ipart[have : have + m])
-            have += at
-        if at * 2 <= windows:
-            part, ipart = least(part[:-at], ipart[:-at], part[at:], ipart[at:])
-        at *= 2
-    return iout[:n]
+def span_keys(text: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the substrings text[first:end]."""
+    n = len(text)
+    power = np.cumprod(np.concatenate([[U64(1)], np.full(n, _BASE)]))
+    total = np.concatenate([[U64(0)], np.cumsum(_BYTE[text] * power[:n])])
+    back = np.cumprod(np.concatenate([[U64(1)], np.full(n, _BACK)]))
+    return mix((total[end] - total[first]) * back[first] ^ mix((end - first).astype(U64)))
+
+
+def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of `length` bytes the place and the hash of its GRAM-byte substring of smallest hash."""
+    n = len(text) - length + 1
+    place, gram = np.empty(n, dtype=np.int64), np.empty(n, dtype=U64)
+    width = length - GRAM + 1
+    for start in range(0, n, BLOCK):
+        m = min(BLOCK, n - start)
+        hashes = rolling(text[start : start + m + length - 1], GRAM)
+        # the low bits hold the place, so the first of equals is the smallest
+        part = (hashes & ~U64(0xFFFF)) | np.arange(len(hashes), dtype=U64)
+        out, have, at = None, 0, 1
+        while at <= width:
+            if width & at:
+                k = len(hashes) - have - at + 1
+                out = part if out is None else np.minimum(out[:k], part[have : have + k])
+                have += at
+            if at * 2 <= width:
+                part = np.minimum(part[:-at], part[at:])
+            at *= 2
+        best = (out[:m] & U64(0xFFFF)).astype(np.int64)
+        place[start : start + m] = best + start
+        gram[start : start + m] = hashes[best]
+    return place, gram
 
 
 class Chunk:
@@ -109,8 +111,7 @@ class Chunk:
         self.first, self.count, self.gram, self.doc = none, none, np.zeros(0, dtype=U64), none
         if len(text) < length:
             return
-        hashes = rolling(text, GRAM)
-        best = anchors(hashes, length - GRAM + 1)
+        best, gram = anchors(text, length)
         owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
         at = np.arange(len(best))
         inside = (owner[: len(best)] == owner[length - 1 :]) & self.known[owner[: len(best)]]
@@ -120,7 +121,7 @@ class Chunk:
         count = np.diff(np.append(head, len(best)))
         keep = inside[head]
         self.first, self.count = at[head][keep], count[keep]
-        self.gram, self.doc = hashes[best[self.first]], owner[self.first]
+        self.gram, self.doc = gram[self.first], owner[self.first]
 
     def stretch(self, i: int) -> tuple[int, int]:
         """From and to of the bytes of a stretch."""
@@ -141,10 +142,8 @@ class Chunk:
         some = np.flatnonzero(flags[inverse]) if len(inverse) else np.zeros(0, dtype=np.int64)
         if not len(some):
             return some, some, some
-        # a hash of the whole stretch: of its first and last `length` bytes and its size (they overlap or touch)
-        windows = rolling(self.text, self.length)
         first = self.first[some]
-        key = mix(windows[first] ^ mix(windows[first + self.count[some] - 1] + self.count[some].astype(U64)))
+        key = span_keys(self.text, first, first + self.count[some] + self.length - 1)
         order = np.lexsort((self.ids[self.doc[some]], key))
         fresh = np.ones(len(order), dtype=bool)
         fresh[1:] = key[order][1:] != key[order][:-1]
@@ -340,8 +339,8 @@ def equal_prefixes(symbols: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def repeated_windows(strings: list[bytes], docs: np.ndarray, counts: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each string, which of its windows also start in a string of a smaller document."""
+def repeated_windows(strings: list[bytes], docs: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
+    """For each string a mask of its windows that also start in a string of a smaller document."""
     total = sum(map(len, strings)) + len(strings)
     symbols = np.zeros(total, dtype=np.int64)
     starts, at = [], 0
@@ -350,17 +349,26 @@ def repeated_windows(strings: list[bytes], docs: np.ndarray, counts: np.ndarray,
         starts.append(at)
         at += len(s) + 1
     group = equal_prefixes(symbols, length)
-    where = np.concatenate([a + np.arange(c) for a, c in zip(starts, counts, strict=True)])
+    first = np.cumsum(counts) - counts
+    nth = np.arange(int(counts.sum())) - np.repeat(first, counts)
+    own = group[np.repeat(np.array(starts), counts) + nth]
     doc = np.repeat(docs, counts)
-    own = group[where]
     least = np.full(int(own.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, own, doc)
-    flags = least[own] < doc
-    ends = np.cumsum(counts)
-    return [flags[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return np.bitwise_or.reduceat(np.where(least[own] < doc, U64(1) << nth.astype(U64), U64(0)), first)
+
+
+SUFFIXES = 1_500_000  # bytes of different strings in one suffix array, as far as anchors allow
 
 
-BLOCK = 4_000_000  # bytes of different strings in one suffix array
+def _portions(starts: np.ndarray, sizes: np.ndarray, most: int = 2_000_000):
+    """Spans of about `most` bytes of strings that stand one after another, with each one's place in its span."""
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + most)))
+        first = starts[at:to] - starts[at]
+        yield int(starts[at]), int(starts[to - 1] + sizes[to - 1]), first, first + sizes[at:to]
+        at = to
 
 
 def _answer_strings(length: int):
@@ -373,8 +381,7 @@ def _answer_strings(length: int):
         sizes = counts + length - 1
         flat = np.frombuffer(b"".join(zstandard.decompress(x) for x in cols["strings"]), dtype=np.uint8)
         starts = np.cumsum(sizes) - sizes
-        windows = rolling(flat, length)
-        key_ = mix(windows[starts] ^ mix(windows[starts + counts - 1] + counts.astype(U64)))
+        key_ = np.concatenate([span_keys(flat[x:y], f, e) for x, y, f, e in _portions(starts, sizes)] or [np.zeros(0, U64)])
         # equal strings are one, held by the smallest document
         order = np.lexsort((docs, key_, grams))
         fresh = np.ones(len(order), dtype=bool)
@@ -383,7 +390,6 @@ def _answer_strings(length: int):
         number[order] = np.cumsum(fresh) - 1
         holder = order[fresh]
         full = (U64(1) << counts.astype(U64)) - U64(1)
-        mask = np.where(docs > docs[holder][number], full, U64(0))
         # anchors with different strings: windows may be shared in part
         g = grams[holder]
         edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
@@ -394,11 +400,10 @@ def _answer_strings(length: int):
             if b - a > 1 and docs[holder[a:b]].min() != docs[holder[a:b]].max():
                 todo += range(a, b)
                 size += int(sizes[holder[a:b]].sum())
-            if todo and (size >= BLOCK or n == len(spans) - 1):
+            if todo and (size >= SUFFIXES or n == len(spans) - 1):
                 rows = holder[todo]
                 strings = [flat[starts[r] : starts[r] + sizes[r]].tobytes() for r in rows]
-                for t, f in zip(todo, repeated_windows(strings, docs[rows], counts[rows], length), strict=True):
-                    own[t] = int(sum(1 << int(k) for k in np.flatnonzero(f)))
+                own[todo] = repeated_windows(strings, docs[rows], counts[rows], length)
                 todo, size = [], 0
         mask = np.where(docs > docs[holder][number], full, own[number]).astype("<u4")
         ends = np.cumsum([len(x) // 8 for x in cols["docs"]])
@@ -451,7 +456,7 @@ def dedup_passages(docs: DataFrame, length: int = 50) -> DataFrame:
         raise ValueError(f"length must be from {GRAM + 2} to {GRAM + 31}")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(16, parts)
+    buckets = 4 * max(8, parts)
     # written once, bucketed: the joins below find the chunks where they are, and lost executors change nothing
     name = f"chunks_{uuid.uuid4().hex}"
     chunks = pack_chunks(docs).repartition(parts, "chunk_id").write.bucketBy(parts, "chunk_id").sortBy("chunk_id")
