@@ -8,7 +8,7 @@ same smallest shared token, split by hash when there are many), a group stores t
 are opened only if they share a token. In an opened pair a document is compared only if its overlap with the union
 of the other group's shingles still allows the threshold.
 
-Equal sets are one node from the start. Pairs of groups are opened in two rounds: first each group with the first
+Equal sets are one node from the start. Pairs of groups are opened in two rounds: first each group with the largest
 group of its tokens, which joins large families with few openings; then all pairs of groups whose members are not yet
 in one component. No link that could join different components is left out, and none is assumed.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, as_bytes, components, map_arrow, mix, saved, shingle_hashes
 
-GROUP = 64
+GROUP = 128
 RATIO = 1.4
 
 
@@ -172,7 +172,10 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     sets = map_arrow(texts, sets_of, "node long, shingles binary").dropDuplicates(["node"])
     sets = saved(sets.join(groups, "node"))
     token_groups = matrix.join(groups, "node").select("token", "grp").distinct()
-    first = token_groups.groupBy("token").agg(F.min("grp").alias("g1"))
+    # the group with most tokens stands first: a family then meets in one group and not in one for each token
+    width_of = token_groups.groupBy("grp").agg(F.count("*").alias("held"))
+    ranked = token_groups.join(width_of, "grp")
+    first = ranked.groupBy("token").agg(F.max(F.struct("held", "grp")).alias("top")).select("token", F.col("top.grp").alias("g1"))
     star = token_groups.join(first, "token").select("g1", F.col("grp").alias("g2"))
     own = groups.select(F.col("grp").alias("g1"), F.col("grp").alias("g2"))
     opened = saved(star.union(own).distinct())
@@ -185,7 +188,9 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     state = saved(state.join(mixed, "token"))
     x, y = state.alias("x"), state.alias("y")
     more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp")) & (F.col("x.part") != F.col("y.part")))
-    more = more.select(F.col("x.grp").alias("g1"), F.col("y.grp").alias("g2")).distinct().join(opened, ["g1", "g2"], "left_anti")
+    more = more.select(F.col("x.grp").alias("g1"), F.col("y.grp").alias("g2")).distinct()
+    met = opened.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2"))
+    more = more.join(met, ["g1", "g2"], "left_anti")
     edges = edges.union(_links(sets, more, percent))
     parts = components(edges)
     nodes = found.select("doc_id", "n_shingles", "node").join(parts.withColumnRenamed("id", "node"), "node", "left")
