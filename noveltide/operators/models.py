@@ -20,7 +20,8 @@ def embed_images(tensors: DataFrame, make_fn: Callable, batch_size: int = 32) ->
 
     size = tensors.select(F.size("tensor")).first()
     model = predict_batch_udf(make_fn, return_type=ArrayType(FloatType()), batch_size=batch_size, input_tensor_shapes=[[size[0] if size else 1]])
-    return tensors.select("crop_path", l2_normalize(model("tensor")).cast("array<float>").alias("vector"))
+    raw = tensors.select("crop_path", model("tensor").alias("_raw"))
+    return raw.select("crop_path", l2_normalize(F.col("_raw")).cast("array<float>").alias("vector"))
 
 
 def score_images(images: DataFrame, make_fn: Callable, batch_size: int = 16) -> DataFrame:
