@@ -4,13 +4,13 @@ A document is its set of word shingles. Two sets at or above the threshold diffe
 follows from their sizes; when the elements are dealt by hash into more than D parts, some part is the same in both.
 The hashes of the parts are the tokens of the matrix: one for about nine shingles, and a text that merely holds a
 common passage shares none of them. Documents with a shared token are put into groups of similar ones (those with the
-same smallest shared token, split by hash when there are many), a group stores the union of its tokens, and two groups
-are opened only if they share a token. In an opened pair a document is compared only if its overlap with the union
-of the other group's shingles still allows the threshold.
+same smallest shared token, split by hash when there are many), a group stores the union of its tokens, and a group
+is opened for a document only if they share a token. There it is compared only if its overlap with the union of the
+group's shingles still allows the threshold.
 
-Equal sets are one node from the start. Pairs of groups are opened in two rounds: first each group with the largest
-group of its tokens, which joins large families with few openings; then all pairs of groups whose members are not yet
-in one component. No link that could join different components is left out, and none is assumed.
+Equal sets are one node from the start. Groups are opened in two rounds: first, for each node, the largest group of
+each of its tokens, which joins large families with few openings; then the nodes with a token whose nodes are still in
+different components are put into larger groups, and all of these that share such a token are opened for each other. No link that could join different components is left out, and none is assumed.
 
 Defined cases: null or empty text, or text without words, has no set and links with nothing. A null doc_id links with
 nothing and is its own component (null). Repeated rows are equal sets. Hashes of shingles and sets have 64 bits and
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .common import U64, WordHashes, as_bytes, components, map_arrow, mix, saved, shingle_hashes
 
 GROUP = 128
+#: Shingles of the members of a group, and of the nodes in a chunk, that a task should not much exceed.
+GROUP_SHINGLES = 2_000_000
 RATIO = 1.4
 
 
@@ -103,14 +105,12 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, node long, tokens array<long>")
 
 
-def open_groups(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Edges of one opened pair of groups (or of one group): a forest over the links found."""
+def open_group(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Edges between the members of a group (side 0) and the nodes that ask for it (side 1): a forest over the links found."""
     sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["shingles"]]
     nodes, side = pdf["node"].to_numpy(), pdf["side"].to_numpy()
-    one = not (side == 1).any()
-    left = np.flatnonzero(side == 0)
-    right = left if one else np.flatnonzero(side == 1)
-    if not len(left) or not len(right) or one and len(left) < 2:
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(left) or not len(right) or len(set(nodes)) < 2:
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
     size = np.array([len(s) for s in sets])
     flat = np.concatenate([sets[i] for i in left])
@@ -156,12 +156,10 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     common = cells.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
     matrix = saved(cells.join(common, "token").distinct())  # tokens of at least two different sets
     anchor = matrix.groupBy("node").agg(F.min("token").alias("anchor"))
-    many = anchor.groupBy("anchor").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("splits"))
-    groups = saved(
-        anchor.join(many, "anchor").select("node", F.xxhash64("anchor", F.pmod(F.xxhash64("node"), F.col("splits"))).alias("grp"))
-    )
+    holder = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    holder = saved(holder.join(anchor, "node"))
+    groups = saved(_groups(holder, GROUP))
     # the sets of all grouped nodes, from one document each
-    holder = found.where("node is not null").select("doc_id", "node").join(groups, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(holder.select("doc_id").distinct(), "doc_id", "left_semi")
     hashes = WordHashes()
 
@@ -171,26 +169,28 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
 
     sets = map_arrow(texts, sets_of, "node long, shingles binary").dropDuplicates(["node"])
     sets = saved(sets.join(groups, "node"))
-    token_groups = matrix.join(groups, "node").select("token", "grp").distinct()
+    held = saved(matrix.join(groups.drop("n"), "node"))
     # the group with most tokens stands first: a family then meets in one group and not in one for each token
-    width_of = token_groups.groupBy("grp").agg(F.count("*").alias("held"))
-    ranked = token_groups.join(width_of, "grp")
-    first = ranked.groupBy("token").agg(F.max(F.struct("held", "grp")).alias("top")).select("token", F.col("top.grp").alias("g1"))
-    star = token_groups.join(first, "token").select("g1", F.col("grp").alias("g2"))
-    own = groups.select(F.col("grp").alias("g1"), F.col("grp").alias("g2"))
-    opened = saved(star.union(own).distinct())
-    edges = saved(_links(sets, opened, percent))
+    width_of = held.groupBy("grp").agg(F.count_distinct("token").alias("width"))
+    first = held.select("token", "grp").distinct().join(width_of, "grp").groupBy("token").agg(F.max(F.struct("width", "grp")).alias("top"))
+    star = held.select("token", "node").join(first, "token").select(F.col("top.grp").alias("grp"), "node")
+    asked = saved(star.union(groups.select("grp", "node")).distinct())
+    edges = saved(_links(sets, asked, percent))
     parts = components(edges)
-    # round two: tokens whose groups still hold different components
-    state = matrix.join(groups, "node").join(parts.withColumnRenamed("id", "node"), "node", "left")
-    state = state.select("token", "grp", F.coalesce("component_id", "node").alias("part")).distinct()
-    mixed = state.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("token")
-    state = saved(state.join(mixed, "token"))
-    x, y = state.alias("x"), state.alias("y")
-    more = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp")) & (F.col("x.part") != F.col("y.part")))
-    more = more.select(F.col("x.grp").alias("g1"), F.col("y.grp").alias("g2")).distinct()
-    met = opened.select(F.least("g1", "g2").alias("g1"), F.greatest("g1", "g2").alias("g2"))
-    more = more.join(met, ["g1", "g2"], "left_anti")
+    # round two: tokens whose nodes are still in different components, in groups by the commonest such token of a node
+    state = held.select("token", "node").join(parts.withColumnRenamed("id", "node"), "node", "left")
+    state = state.select("token", "node", F.coalesce("component_id", "node").alias("part"))
+    mixed = state.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("seen")).where("low <> high")
+    state = saved(state.join(mixed.select("token", "seen"), "token"))
+    home = state.groupBy("node").agg(F.max(F.struct("seen", "token")).alias("top")).join(groups.select("node", "n"), "node")
+    groups = saved(_groups(home.select("node", "n", F.col("top.token").alias("anchor")), 4 * GROUP))
+    sets = saved(sets.select("node", "shingles").join(groups, "node"))
+    spans = saved(state.join(groups, "node").groupBy("token", "grp").agg(F.min("part").alias("low"), F.max("part").alias("high")))
+    x, y = spans.alias("x"), spans.alias("y")
+    apart = F.least("x.low", "y.low") != F.greatest("x.high", "y.high")
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") <= F.col("y.grp")) & apart)
+    pairs = pairs.select(F.col("x.grp").alias("opened"), F.col("y.grp").alias("grp")).distinct()
+    more = saved(pairs.join(groups, "grp").select(F.col("opened").alias("grp"), "node"))
     edges = edges.union(_links(sets, more, percent))
     parts = components(edges)
     nodes = found.select("doc_id", "n_shingles", "node").join(parts.withColumnRenamed("id", "node"), "node", "left")
@@ -199,12 +199,24 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     return nodes.join(least, "part", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def _links(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between nodes of the opened pairs of groups."""
-    sides = F.explode(
-        F.when(F.col("g1") == F.col("g2"), F.array(F.struct(F.col("g1").alias("grp"), F.lit(0).alias("side")))).otherwise(
-            F.array(F.struct(F.col("g1").alias("grp"), F.lit(0).alias("side")), F.struct(F.col("g2").alias("grp"), F.lit(1).alias("side")))
-        )
+def _groups(anchored: DataFrame, most: int) -> DataFrame:
+    """(node, n, grp) of nodes (node, n, anchor): those with the same anchor, split by hash beyond `most` or a size."""
+    parts = F.ceil(F.greatest(F.count("*") / F.lit(most), F.sum("n") / F.lit(GROUP_SHINGLES)))
+    splits = anchored.groupBy("anchor").agg(parts.alias("splits"))
+    return anchored.join(splits, "anchor").select("node", "n", F.xxhash64("anchor", F.pmod(F.xxhash64("node"), F.col("splits"))).alias("grp"))
+
+
+def _links(sets: DataFrame, asked: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between nodes: each row (grp, node) of asked opens a group for a node.
+
+    The nodes that ask for a group are dealt into chunks of bounded count and size, and its members go once to each
+    chunk, so a hub of thousands of nodes is many tasks and its members are repeated little.
+    """
+    asked = asked.join(sets.select("node", "n"), "node")
+    chunks = asked.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / F.lit(4 * GROUP), F.sum("n") / F.lit(GROUP_SHINGLES))).cast("int").alias("chunks"))
+    members = sets.join(chunks, "grp").select(
+        "grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "node", "shingles"
     )
-    rows = pairs.select("g1", "g2", sides.alias("s")).select("g1", "g2", "s.grp", "s.side").join(sets, "grp")
-    return rows.select("g1", "g2", "side", "node", "shingles").groupBy("g1", "g2").applyInPandas(lambda pdf: open_groups(pdf, percent), "a long, b long")
+    asks = asked.join(chunks, "grp").select("grp", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"), "node")
+    rows = members.union(asks.join(sets.select("node", "shingles"), "node").select(*members.columns))
+    return rows.groupBy("grp", "chunk").applyInPandas(lambda pdf: open_group(pdf, percent), "a long, b long")
