@@ -30,33 +30,48 @@ BUCKETS = 256
 #: Words as the tokenizer sees them: \x1c-\x1f are white space for str.split() but not for it.
 WORD = re.compile(r"[\S\x1c-\x1f]+")
 ODD = re.compile(r"[\x1c-\x1f]")
+#: A character that stands alone as a word between others; words that hold it are encoded one by one.
+MARK = "\x02"
 
 
 class WordIds(dict):
     """Packed token ids by white-space-separated word; the tokenizer drops white space and never joins over it."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.tokenizer.encode_special_tokens = True
+        mark = self._ids([MARK])[0]
+        #: The id of MARK, which stands between the words of a batch; none if the vocabulary has no id of its own for it.
+        self.mark = int.from_bytes(mark, "little") if len(mark) == 4 and self._ids([f"a {MARK} a"])[0][4:-4] == mark else None
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Encodes words not known yet; gives those too long to keep."""
-        new = list(words)
-        got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        long = {}
-        if len(self) + len(new) > self.limit:
+        new = [w for w in words if MARK not in w] if self.mark is not None else []
+        own = list(words.difference(new)) if len(new) < len(words) else []
+        found = dict(zip(own, self._ids(own), strict=True)) if own else {}
+        for i in range(0, len(new), 1000):
+            ids = self._ids([f" {MARK} ".join(new[i : i + 1000])])[0]
+            ends = [*(4 * np.flatnonzero(np.frombuffer(ids, dtype="<u4") == self.mark)).tolist(), len(ids)]
+            at = 0
+            for w, end in zip(new[i : i + 1000], ends, strict=True):
+                found[w] = ids[at:end]
+                at = end + 4
+        if len(self) + len(found) > self.limit:
             self.clear()
-        for w, e in zip(new, got, strict=True):
-            (self if len(w) <= 48 else long)[w] = np.array(e.ids, dtype="<u4").tobytes()
+        long = {w: found.pop(w) for w in [w for w in found if len(w) > 48]}
+        self.update(found)
         return long
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [WORD.findall(x) if ODD.search(x) else x.split() for x in texts]
         words = set().union(*split)
         table = self
-        missing = words - self.keys()
+        missing = words.difference(self)  # looks words up; subtracting keys() would go through all of them
         if missing:
             keep = {w: self[w] for w in words if w in self} if len(self) + len(missing) > self.limit else {}
             long = self.learn(missing)
