@@ -30,7 +30,15 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.saved_path = path
+    return back
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a saved() table; only for tables whose every user has itself been saved."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:

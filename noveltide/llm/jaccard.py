@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, as_bytes, components, map_arrow, mix, saved, shingle_hashes
+from .common import U64, WordHashes, as_bytes, components, forget, map_arrow, mix, saved, shingle_hashes
 
 GROUP = 128
 #: Shingles of the members of a group, and of the nodes in a chunk, that a task should not much exceed.
@@ -151,13 +151,20 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     """(doc_id, n_shingles, component_id): components of documents with Jaccard similarity of at least percent / 100."""
     if not 72 <= percent <= 100:
         raise ValueError("percent must be from 72 to 100")
-    found = saved(signatures(docs, width, percent))
-    cells = found.where("node is not null").select(F.explode("tokens").alias("token"), "node")
-    common = cells.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("token")
-    matrix = saved(cells.join(common, "token").distinct())  # tokens of at least two different sets
+    whole = saved(signatures(docs, width, percent))
+    found = saved(whole.drop("tokens"))
+    # equal sets are one node from here on; each has its tokens once
+    nodes = whole.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")
+    )
+    nodes = saved(nodes)
+    forget(whole)
+    cells = nodes.select(F.explode("tokens").alias("token"), "node")
+    common = cells.groupBy("token").agg(F.count("*").alias("seen")).where("seen > 1").select("token")
+    matrix = saved(cells.join(common, "token"))  # tokens of at least two different sets
     anchor = matrix.groupBy("node").agg(F.min("token").alias("anchor"))
-    holder = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    holder = saved(holder.join(anchor, "node"))
+    holder = saved(nodes.select("node", "doc_id", "n").join(anchor, "node"))
+    forget(nodes)
     groups = saved(_groups(holder, GROUP))
     # the sets of all grouped nodes, from one document each
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(holder.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -170,6 +177,7 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     sets = map_arrow(texts, sets_of, "node long, shingles binary").dropDuplicates(["node"])
     sets = saved(sets.join(groups, "node"))
     held = saved(matrix.join(groups.drop("n"), "node"))
+    forget(matrix)
     # the group with most tokens stands first: a family then meets in one group and not in one for each token
     width_of = held.groupBy("grp").agg(F.count_distinct("token").alias("width"))
     first = held.select("token", "grp").distinct().join(width_of, "grp").groupBy("token").agg(F.max(F.struct("width", "grp")).alias("top"))
@@ -184,7 +192,8 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     state = saved(state.join(mixed.select("token", "seen"), "token"))
     home = state.groupBy("node").agg(F.max(F.struct("seen", "token")).alias("top")).join(groups.select("node", "n"), "node")
     groups = saved(_groups(home.select("node", "n", F.col("top.token").alias("anchor")), 4 * GROUP))
-    sets = saved(sets.select("node", "shingles").join(groups, "node"))
+    first_sets, sets = sets, saved(sets.select("node", "shingles").join(groups, "node"))
+    forget(first_sets)
     spans = saved(state.join(groups, "node").groupBy("token", "grp").agg(F.min("part").alias("low"), F.max("part").alias("high")))
     x, y = spans.alias("x"), spans.alias("y")
     apart = F.least("x.low", "y.low") != F.greatest("x.high", "y.high")
@@ -193,6 +202,7 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     more = saved(pairs.join(groups, "grp").select(F.col("opened").alias("grp"), "node"))
     edges = edges.union(_links(sets, more, percent))
     parts = components(edges)
+    forget(sets)
     nodes = found.select("doc_id", "n_shingles", "node").join(parts.withColumnRenamed("id", "node"), "node", "left")
     nodes = nodes.withColumn("part", F.coalesce("component_id", "node")).drop("component_id")
     least = nodes.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("least"))
