@@ -31,6 +31,10 @@ GROUP = 128
 #: Shingles of the members of a group, and of the nodes in a chunk, that a task should not much exceed.
 GROUP_SHINGLES = 2_000_000
 RATIO = 1.4
+#: Bits of the filter that spares the shuffle most texts without a partner (4 MB at any size of the input).
+FILTER_BITS = 1 << 25
+#: Bits that bitmap_construct_agg holds in a row.
+BITMAP_BITS = 1 << 15
 
 
 def size_classes(most: int = 1 << 40) -> np.ndarray:
@@ -167,7 +171,7 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     forget(nodes)
     groups = saved(_groups(holder, GROUP))
     # the sets of all grouped nodes, from one document each
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(holder.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = _likely(docs.select(F.col("doc_id").cast("long"), "text"), holder).join(holder.select("doc_id").distinct(), "doc_id", "left_semi")
     hashes = WordHashes()
 
     def sets_of(part):
@@ -209,6 +213,19 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     return nodes.join(least, "part", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
+def _likely(texts: DataFrame, holder: DataFrame) -> DataFrame:
+    """texts without most of the rows whose doc_id is not in holder, by a bitmap of hashed ids.
+
+    The bitmap has FILTER_BITS bits at most and lets all ids of holder pass, so a join still has to follow.
+    """
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = holder.select(spot.alias("_spot")).groupBy(F.shiftright("_spot", 15).alias("_row"))
+    bits = bits.agg(F.bitmap_construct_agg(F.col("_spot") % BITMAP_BITS).alias("_bits"))
+    found = texts.withColumn("_spot", spot).withColumn("_row", F.shiftright("_spot", 15)).join(F.broadcast(bits), "_row")
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_spot % {BITMAP_BITS} div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    return found.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_spot % 8 as int))")) != 0).select(*texts.columns)
+
+
 def _groups(anchored: DataFrame, most: int) -> DataFrame:
     """(node, n, grp) of nodes (node, n, anchor): those with the same anchor, split by hash beyond `most` or a size."""
     parts = F.ceil(F.greatest(F.count("*") / F.lit(most), F.sum("n") / F.lit(GROUP_SHINGLES)))
