@@ -69,20 +69,22 @@ def part_tokens(shingles: np.ndarray, percent: int) -> np.ndarray:
         most = (100 - percent) * (top + top * 100 // percent) // (100 + percent)  # elements in which two sets may differ
         if most == 0:
             continue  # only equal sets
-        spare = 0 if most < 4 else 2 + most // 16
+        mean = top / RATIO / most  # shingles of a part in the smallest sets of the class
+        spare = 0 if most < 4 else 2 + int(most * max(1 / 16, 1.3 * (1 + mean) * np.exp(-mean)))
         parts = most + 1 + spare
         salted = mix(shingles ^ U64(c + 1))
         part = (salted % U64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         counts = np.bincount(part, minlength=parts)
-        small = counts < 3
         used = np.flatnonzero(counts)
         sums = np.zeros(parts, dtype=U64)
         starts = (np.cumsum(counts) - counts)[used]
         sums[used] = np.add.reduceat(mix(salted)[order], starts)
         keys = mix(sums ^ mix(np.arange(parts, dtype=U64) + U64((c + 1) << 32)))
-        # spare + 1 parts at least are the same in partners, so small ones, which many sets share, can be left out
-        out.append(keys[~small] if small.sum() <= spare else keys)
+        # spare + 1 parts at least are the same in partners, so up to spare small ones, which many sets share, can be left
+        # out; where two sets leave out up to different counts, the larger bound still drops no more than spare
+        least = max(k for k in range(4) if (counts < k).sum() <= spare)
+        out.append(keys[counts >= least])
     return np.concatenate(out) if out else np.zeros(0, dtype=U64)
 
 
