@@ -1,12 +1,13 @@
-"""LM scoring by partial matching: a byte-context trie with escapes and symbol exclusion, learned from the corpus.
+"""LM scoring by partial matching: byte contexts with escapes and symbol exclusion, learned from the corpus.
 
 Learning counts, over all whole training texts, every run of ORDER + 1 symbols (bytes, with an end symbol) and every
-word. The counts are combined in the tasks, then by a grouped sum. Shorter contexts are sums over the longest ones. A
-context run stays in the trie when it makes up at least 2^-SUPPORT of all training symbols, so at every size of the
-corpus the trie has at most 2^SUPPORT runs for each of the ORDER + 1 lengths; only such bounded tables are broadcast.
-What a context loses to this counts towards its escapes.
+word. The counts are combined in the tasks, then by a grouped sum; shorter runs are sums over the next longer ones.
+All runs and contexts stay in saved tables, whatever their count. Only the 2^SUPPORT most frequent runs are broadcast,
+with their probabilities; the other runs of each document meet theirs in a join and are summed back by row. A run that
+training has not seen gets its probability by joins that go down one context length at a time; in each join a key has
+at most SYMBOLS rows.
 
-A symbol's probability: from the longest context of the trie, the symbol's count over all counts and escapes; where it
+A symbol's probability: from the longest context seen, the symbol's count over all counts and escapes; where it
 is missing there, the escape's share times the same from the next shorter context, without the symbols already ruled
 out; at last evenly over the symbols never seen. The word model (base score) keeps frequent words, at most
 2^WORD_SUPPORT, in a broadcast table; occurrences of all other words meet their counts in a join.
@@ -22,13 +23,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, WordHashes, as_bytes, map_arrow, saved, slices
 
 ORDER = 6  # seven symbols of nine bits fill a long
-SUPPORT = 19
+SUPPORT = 21
 WORD_SUPPORT = 20
 END, PAD, SYMBOLS = 256, 257, 257
 END_TOKEN = 1  # stands for the hash of the end token
@@ -91,7 +92,7 @@ def gather(train: DataFrame) -> DataFrame:
                     kept[kind].append(np.unique(codes, return_counts=True))
                 if len(kept[kind]) > 8:
                     kept[kind] = [combined(kept[kind])]
-                    if len(kept[kind][0][0]) > 2_000_000:
+                    if len(kept[kind][0][0]) > 600_000:
                         yield from flush(kind)
         for kind in (True, False):
             if kept[kind]:
@@ -103,7 +104,10 @@ def gather(train: DataFrame) -> DataFrame:
 
 @dataclass
 class Trie:
-    """For each context length: sorted runs with log10 counts, and sorted contexts with what they share out."""
+    """The model in memory, for small corpora and tests.
+
+    For each context length: sorted runs with log10 counts, and sorted contexts with what they share out.
+    """
 
     order: int
     runs: list[np.ndarray]
@@ -187,7 +191,7 @@ def build(found: dict[int, tuple[np.ndarray, np.ndarray]], totals: dict[int, tup
 
 
 def learn(gathered: DataFrame, order: int = ORDER, support: int = SUPPORT) -> Trie:
-    """The trie from gathered counts; at most 2^support runs of each length come to the driver."""
+    """The trie from gathered counts, for tests; at most 2^support runs of each length come to the driver."""
     full = gathered.where("is_gram")
     n = full.agg(F.sum("n")).first()[0] or 0
     least = max(1, -(-n // (1 << support)))
@@ -202,11 +206,99 @@ def learn(gathered: DataFrame, order: int = ORDER, support: int = SUPPORT) -> Tr
     return build(pick(rows, "run"), pick(whole, "context"), order)
 
 
+def _low(column, symbols: int):
+    """The last symbols of a code."""
+    return F.col(column).bitwiseAND(F.lit((1 << 9 * symbols) - 1))
+
+
+@dataclass
+class Model:
+    """All that was counted: runs[k] (run, n) and contexts[k] (context, n, d: the symbols after it) for context length k."""
+
+    runs: list[DataFrame]
+    contexts: list[DataFrame]
+    seen: DataFrame  # (code, n, value): the log10 probability of each run of full length
+    log_rest: float
+
+    @classmethod
+    def of(cls, gathered: DataFrame) -> Model:
+        context = F.shiftright("run", 9)
+        runs = [gathered.where("is_gram").select(F.col("code").alias("run"), "n")]
+        for k in range(ORDER - 1, -1, -1):
+            runs.insert(0, saved(runs[0].groupBy(_low("run", k + 1).alias("run")).agg(F.sum("n").alias("n"))))
+        contexts = [saved(r.groupBy(context.alias("context")).agg(F.sum("n").alias("n"), F.count("*").alias("d"))) for r in runs]
+        own = Window.partitionBy(context)
+        value = F.log10("n") - F.log10(F.sum("n").over(own) + F.count("*").over(own))
+        seen = saved(runs[-1].select(F.col("run").alias("code"), "n", value.alias("value")))
+        return cls(runs, contexts, seen, -float(np.log10(max(SYMBOLS - runs[0].count(), 1))))
+
+    def frequent(self, support: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted codes and values of the most frequent runs, at most 2^support."""
+        top = 1 << 16
+        bins = self.seen.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count("*").alias("runs"), F.sum("n").alias("symbols")).toPandas().sort_values("n", ascending=False)
+        fit = bins[bins["runs"].cumsum() <= 1 << support]
+        least = int(fit["n"].min()) if len(fit) else max(top, -(-int(bins["symbols"].sum()) // (1 << support)))
+        rows = self.seen.where(F.col("n") >= least).select("code", "value").toArrow()
+        codes = rows["code"].to_numpy().astype(U64)
+        order = np.argsort(codes)
+        return codes[order], rows["value"].to_numpy()[order]
+
+    def left_out(self, k: int, contexts: DataFrame) -> DataFrame:
+        """(context, n1, e1): what the next shorter context shares out without the symbols seen after each context of length k."""
+        after = self.runs[k].withColumn("context", F.shiftright("run", 9)).join(contexts, "context", "left_semi")
+        short = self.runs[k - 1].select(F.col("run").alias("short"), F.col("n").alias("m"))
+        took = after.select("context", _low("run", k).alias("short")).join(short, "short").groupBy("context").agg(F.sum("m").alias("took"), F.count("*").alias("took_d"))
+        up = self.contexts[k - 1].withColumnRenamed("context", "up")
+        return took.withColumn("up", _low("context", k - 1)).join(up, "up").select("context", (F.col("n") - F.col("took")).alias("n1"), (F.col("d") - F.col("took_d")).alias("e1"))
+
+    def unseen(self, codes: DataFrame) -> DataFrame:
+        """(code, value): the log10 probabilities of distinct codes that are not in seen.
+
+        Down: whole holds runs looked up with nothing left out; part holds runs, one symbol longer, that are missing
+        after a context seen, so that the shorter context leaves out what the longer has. Back up: their values.
+        """
+        whole, part = codes.select(F.col("code").alias("run")), None
+        wholes, parts = {}, {}
+        for k in range(ORDER, -1, -1):
+            count = self.runs[k].select("run", F.col("n").alias("c"))
+            here = whole.withColumn("context", F.shiftright("run", 9)).join(self.contexts[k], "context", "left").join(count, "run", "left")
+            wholes[k] = here = saved(here.select("run", "n", "d", "c"))
+            below = here.where("n is not null and c is null").select(F.col("run").alias("longer"))
+            if part is not None:
+                gone = self.left_out(k + 1, part.select(F.shiftright("longer", 9).alias("context")).distinct())
+                there = part.select("longer", F.shiftright("longer", 9).alias("context"), _low("longer", k + 1).alias("run"))
+                parts[k] = there = saved(there.join(gone, "context").join(count, "run", "left").select("longer", "run", "n1", "e1", "c"))
+                below = below.union(there.where("c is null").select(F.col("run").alias("longer"))).distinct()
+            whole = here.where("n is null").select(_low("run", k).alias("run")).distinct()
+            part = saved(below)
+        rest = F.lit(self.log_rest)
+        w, v = None, None  # values of wholes and parts of the level below
+        for k in range(ORDER + 1):
+            at = wholes[k]
+            shorter = at.withColumn("low", _low("run", k))
+            if w is None:
+                shorter = shorter.withColumn("w", rest).withColumn("v", rest)
+            else:
+                shorter = shorter.join(w.select(F.col("run").alias("low"), F.col("value").alias("w")), "low", "left")
+                shorter = shorter.join(v.select(F.col("longer").alias("run"), F.col("value").alias("v")), "run", "left")
+            total = F.log10(F.col("n") + F.col("d"))
+            value = F.when(F.col("n").isNull(), F.col("w")).when(F.col("c").isNull(), F.log10("d") - total + F.col("v")).otherwise(F.log10("c") - total)
+            new_w = saved(shorter.select("run", value.alias("value")))
+            if k in parts:
+                total = F.log10(F.col("n1") + F.col("e1"))
+                escape = F.when(F.col("e1") > 0, F.log10("e1") - total).otherwise(0.0)
+                there = parts[k]
+                there = there.withColumn("v", rest) if v is None else there.join(v.select(F.col("longer").alias("run"), F.col("value").alias("v")), "run", "left")
+                v = saved(there.select("longer", F.when(F.col("c").isNull(), escape + F.col("v")).otherwise(F.log10("c") - total).alias("value")))
+            w = new_w
+        return w.withColumnRenamed("run", "code")
+
+
 class Memo:
-    """log10 probabilities of codes met before, one in each slot."""
+    """Values of codes met before, one in each slot; nan for a code that is not in the table."""
 
-    def __init__(self, trie: Trie, bits: int = 20):
-        self.trie, self.shift = trie, U64(64 - bits)
+    def __init__(self, codes: np.ndarray, values: np.ndarray, bits: int = 20):
+        self.codes, self.known, self.shift = codes, values, U64(64 - bits)
         self.keys, self.values = np.full(1 << bits, ~U64(0)), np.zeros(1 << bits)
 
     def of(self, code: np.ndarray) -> np.ndarray:
@@ -215,7 +307,10 @@ class Memo:
         miss = np.flatnonzero(self.keys[slot] != code)
         if len(miss):
             new, inverse = np.unique(code[miss], return_inverse=True)
-            values = self.trie.log10(new)
+            values = np.full(len(new), np.nan)
+            if len(self.codes):
+                at = _find(self.codes, new)
+                values[at >= 0] = self.known[at[at >= 0]]
             out[miss] = values[inverse]
             slot = (new * U64(0x9E3779B97F4A7C15)) >> self.shift
             self.keys[slot] = new
@@ -223,38 +318,51 @@ class Memo:
         return out
 
 
-def score(docs: DataFrame, is_training) -> DataFrame:
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Lists of so many values each."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
+
+
+def score(docs: DataFrame, is_training, support: int = SUPPORT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); is_training: a boolean column of docs."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(is_training, F.lit(False)).alias("training"))
     gathered = gather(rows.where("training and text is not null").unionByName(rows.where("training and text is null")))
-    trie = spark.sparkContext.broadcast(learn(gathered))
+    model = Model.of(gathered)
+    frequent = spark.sparkContext.broadcast(model.frequent(support))
     words = gathered.where("not is_gram").select("code", "n")
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = words.where(F.col("n") >= max(1, -(-n // (1 << WORD_SUPPORT)))).toPandas()  # at most 2^WORD_SUPPORT rows
-    often["code"] = often["code"].to_numpy().astype(np.int64).view(U64)
-    often = often.sort_values("code")
-    table = spark.sparkContext.broadcast((often["code"].to_numpy(), np.log10(often["n"].to_numpy() + 0.5)))
+    often = words.where(F.col("n") >= max(1, -(-n // (1 << WORD_SUPPORT)))).toArrow()  # at most 2^WORD_SUPPORT rows
+    common_words = often["code"].to_numpy().astype(np.int64).view(U64)
+    by_code = np.argsort(common_words)
+    table = spark.sparkContext.broadcast((common_words[by_code], np.log10(often["n"].to_numpy()[by_code] + 0.5)))
 
     def run(batches):
-        hashes, memo = WordHashes(), Memo(trie.value)
+        hashes, memo = WordHashes(), Memo(*frequent.value)
         known, logs = table.value
         for part in slices(batches, 500):
             texts = as_bytes(part["text"])
             code, starts = grams(texts)
-            model = np.add.reduceat(memo.of(code), starts)
+            value = memo.of(code)
+            apart = np.isnan(value)
+            summed = np.add.reduceat(np.where(apart, 0.0, value), starts)
+            owner = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(code))))[apart]
+            order = np.lexsort((code[apart], owner))
+            owner, left = owner[order], code[apart][order]
+            new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (left[1:] != left[:-1])])[: len(left)])
+            times, per = np.diff(np.append(new, len(left))), np.bincount(owner[new], minlength=len(texts))
             tokens, sizes = word_counts(texts, hashes)
             first = np.cumsum(sizes) - sizes
             at = _find(known, tokens) if len(known) else np.full(len(tokens), -1)
             found = at >= 0
             common = np.add.reduceat(np.where(found, logs[at] if len(logs) else 0.0, 0.0), first)
             hits = np.add.reduceat(found.astype(np.int64), first)
-            ends = np.cumsum(sizes - hits)
-            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(tokens[~found].view(np.int64)))
-            columns = [part["doc_id"], part["training"], pa.array(sizes), pa.array(hits), pa.array(common), pa.array(model), rare]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "training", "n_tokens", "hits", "common", "score", "rare"])
+            rare = _lists(tokens[~found].view(np.int64), sizes - hits)
+            columns = [part["doc_id"], part["training"], pa.array(sizes), pa.array(hits), pa.array(common), pa.array(summed), rare]
+            columns += [_lists(left[new].view(np.int64), per), _lists(times.astype(np.int32), per)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "training", "n_tokens", "hits", "common", "score", "rare", "runs", "times"])
 
-    schema = "doc_id long, training boolean, n_tokens long, hits long, common double, score double, rare array<long>"
+    schema = "doc_id long, training boolean, n_tokens long, hits long, common double, score double, rare array<long>, runs array<long>, times array<int>"
     scored = saved(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
     # what is rare: occurrences by word, counted from the gathered table, summed back by row
     seldom = scored.select("row", F.explode("rare").alias("code")).groupBy("row", "code").agg(F.count("*").alias("times"))
@@ -263,7 +371,13 @@ def score(docs: DataFrame, is_training) -> DataFrame:
         F.sum("times").alias("rare_hits"),
         F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - F.log10(F.lit(0.5)))).alias("rare_sum"),
     )
-    out = scored.drop("rare").join(back, "row", "left")
+    # the same for the runs of symbols that are not broadcast
+    apart = scored.select("row", F.explode(F.arrays_zip(F.col("runs").alias("code"), F.col("times").alias("times"))).alias("x")).select("row", "x.code", "x.times")
+    seen = model.seen.select("code", "value")
+    open_ = saved(apart.select("code").distinct().join(seen, "code", "left_anti"))
+    values = seen.unionByName(model.unseen(open_))
+    summed = apart.join(values, "code").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("runs_sum"))
+    out = scored.drop("rare", "runs", "times").join(back, "row", "left").join(summed, "row", "left")
     unseen = F.log10(F.lit(0.5)) * (F.col("n_tokens") - F.col("hits"))
     return out.select(
         "doc_id",
@@ -272,5 +386,5 @@ def score(docs: DataFrame, is_training) -> DataFrame:
         (F.col("hits") + F.coalesce("rare_hits", F.lit(0))).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("common") + unseen + F.coalesce("rare_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n + 0.5 * (v + 1))))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("runs_sum", F.lit(0.0))).alias("score"),
     )

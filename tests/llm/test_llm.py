@@ -118,6 +118,21 @@ def test_ppm_sums_to_one(spark, odd, empty):
     assert ppm.score(empty, F.lit(True)).count() == 0
 
 
+def test_ppm_keeps_rare_runs(spark):
+    rng = np.random.default_rng(7)
+    common = [f"word{k}" for k in range(40)]
+    docs = [(i, " ".join(rng.choice(common, 300)) + f" rare passage {i} of zyx{i * 7919}q") for i in range(320)]
+    docs += [(400, docs[3][1][-30:]), (401, "wholly unknown \u00e9\u6f22 QQ~~ 7919"), (402, ""), (403, None), (None, docs[5][1][-30:])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    training = F.col("doc_id") < 320
+    trie = ppm.learn(ppm.gather(d.where(training)), support=40)  # all runs, in memory
+    for support in (ppm.SUPPORT, 8, 0):
+        got = {r["doc_id"]: r["score"] for r in ppm.score(d, training, **({} if support == ppm.SUPPORT else {"support": support})).collect()}
+        for i, t in docs:
+            want = trie.log10(ppm.grams([(t or "").encode()])[0]).sum()
+            assert abs(got[i] - want) < 1e-6 * max(1, abs(want)), (support, i)
+
+
 def test_embeddings_against_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(300, 16))
