@@ -15,6 +15,7 @@ are not read.
 
 from __future__ import annotations
 
+import string
 from collections import Counter
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, map_arrow, saved, slices
 
-TRIM = b".,;:!?\"'()[]{}|"
+TRIM = string.punctuation.encode()  # all of ASCII
 
 
 STEMS = range(4, 9)  # lengths in bytes
@@ -33,7 +34,7 @@ SHARED = (2, 4)  # different words that share a stem
 
 
 def words_of(text: bytes) -> set[bytes]:
-    """The distinct words of a text, A-Z lowered, without outer punctuation."""
+    """The distinct words of a text, A-Z lowered, without outer ASCII punctuation."""
     out = {w.strip(TRIM) for w in set(text.lower().split())}
     out.discard(b"")
     return out

@@ -104,6 +104,18 @@ def test_toxicity_learns(spark, empty):
     assert toxicity.fit(d, spark.createDataFrame([], "doc_id long, quality int, toxic int")) is None
 
 
+def test_toxicity_sees_through_punctuation(spark):
+    import string
+
+    docs = [(i, f"plain text number {i} " + ("awfulword here" if i % 4 == 0 else "nice here")) for i in range(200)]
+    lab = [(i, 1, int(i % 4 == 0)) for i in range(200)]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(lab, "doc_id long, quality int, toxic int"))
+    glued = [(i, f"plain text {a}number{c} {c}awfulword{c * 3} here") for i, c in enumerate(string.punctuation) for a in ("", c)]
+    rows = toxicity.score(spark.createDataFrame(glued, "doc_id long, text string"), model).collect()
+    assert all(r["toxic"] for r in rows)
+    assert toxicity.words_of(b"#$%&idiot*<> ### it's") == {b"idiot", b"it's"}
+
+
 def test_ppm_sums_to_one(spark, odd, empty):
     train = spark.createDataFrame([(i, f"abracadabra {i} banana") for i in range(30)], "doc_id long, text string")
     trie = ppm.learn(ppm.gather(train))
