@@ -143,3 +143,15 @@ def test_annotation_retries(spark):
 
     got = models.annotate_images(spark.createDataFrame([("bad",)], "image_path string"), make_fn, tries=2, pause=0, sleep=lambda s: None).collect()
     assert got[0]["error"] == "down" and got[0]["reply"] is None
+
+
+def test_average_linkage_of_large_components(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(c, 0.5, (30, 3)) for c in (0.0, 1.5, 9.0)])
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    whole = {r["id"]: r["cluster_id"] for r in clustering.average_linkage(points, 1.2, stored).collect()}
+    assert 3 < len(set(whole.values())) < 90
+    rounds = clustering.average_linkage(points, 1.2, stored, most=10)
+    assert {r["id"]: r["cluster_id"] for r in rounds.collect()} == whole
+    heads = clustering._linked_in_rounds(points, 1.2, stored, rows=20)  # several blocks
+    assert {r["id"]: r["cluster_id"] for r in clustering._number(heads).collect()} == whole
