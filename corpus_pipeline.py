@@ -76,5 +76,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: SQL can't express the fitted rules nor the packing; tests hold the stages against brute force.
+#: SQL can't express the fitted rules nor the packing; a test checks the stages' columns and row counts on sf0.001.
 ORACLE_SQL = None
