@@ -172,8 +172,8 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     holder = saved(nodes.select("node", "doc_id", "n").join(anchor, "node"))
     forget(nodes)
     groups = saved(_groups(holder, GROUP))
-    # the sets of all grouped nodes, from one document each
-    texts = _likely(docs.select(F.col("doc_id").cast("long"), "text"), holder).join(holder.select("doc_id").distinct(), "doc_id", "left_semi")
+    # the sets of all grouped nodes, from one document each; an inner join stays above the filter, a semi join is moved below
+    texts = _likely(docs.select(F.col("doc_id").cast("long"), "text"), holder).join(holder.select("doc_id").distinct(), "doc_id")
     hashes = WordHashes()
 
     def sets_of(part):
