@@ -1,121 +1,256 @@
 """LM scoring by partial matching: byte contexts with escapes and symbol exclusion, learned from the corpus.
 
 Learning counts, over all whole training texts, every run of ORDER + 1 symbols (bytes, with an end symbol) and every
-word. The counts are combined in the tasks, then by a grouped sum; shorter runs are sums over the next longer ones.
-All runs and contexts stay in saved tables, whatever their count. Only the 2^SUPPORT most frequent runs are broadcast,
-with their probabilities; the other runs of each document meet theirs in a join and are summed back by row. A run that
-training has not seen gets its probability by joins that go down one context length at a time; in each join a key has
-at most SYMBOLS rows.
+word. A task counts in sorted numpy arrays and sends them, packed, to buckets by the KEY symbols before the counted
+one; a bucket merges what it gets as it streams in. All contexts of KEY symbols and more are then whole in one bucket,
+so each bucket holds its part of the trie down to that length. The runs of KEY symbols (at most 257^KEY, in practice a
+few ten thousand) are the trie's top, which every bucket gets.
+
+The 2^SUPPORT most frequent runs are broadcast with their probabilities. A document's other runs are asked for: each
+chunk of documents sends its distinct ones to their buckets, which look them up in their part of the trie and send the
+probabilities back. Nothing that was counted is left out, at any size. Words of the base score go the same way.
 
 A symbol's probability: from the longest context seen, the symbol's count over all counts and escapes; where it
 is missing there, the escape's share times the same from the next shorter context, without the symbols already ruled
-out; at last evenly over the symbols never seen. The word model (base score) keeps frequent words, at most
-2^WORD_SUPPORT, in a broadcast table; occurrences of all other words meet their counts in a join.
+out; at last evenly over the symbols never seen.
 
 Defined cases: null or empty text is the end symbol only. A null doc_id is scored but neither learned from nor held
 out. Repeated rows are learned from and scored each. With no training text N and V are 0 and all symbols are equally
-likely. An empty table gives an empty table. Extra columns are not read.
+likely. Long texts are taken in pieces of SPAN bytes. Hashes of words have 64 bits and are taken as the words
+themselves. An empty table gives an empty table. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, WordHashes, as_bytes, map_arrow, saved, slices
+from .common import U64, WordHashes, as_bytes, forget, mix, saved, slices
 
 ORDER = 6  # seven symbols of nine bits fill a long
+KEY = 3
 SUPPORT = 21
 WORD_SUPPORT = 20
 END, PAD, SYMBOLS = 256, 257, 257
 END_TOKEN = 1  # stands for the hash of the end token
 BITS = U64(9)
+SPAN = 1_000_000  # bytes of text whose symbols are in memory at once
+HELD = 3_000_000  # distinct codes that a counting task holds
+CHUNK = 16_000_000  # bytes of the documents in a chunk
+RUNS, WORDS = 0, 1
+BREAK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def low(symbols: int) -> np.uint64:
+    """A mask of the last symbols of a code."""
+    return U64((1 << 9 * symbols) - 1)
+
+
+def codes_of(items: list[tuple[bytes, bytes, bool]], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of order + 1 symbols for each byte and end of the items (bytes before or none, bytes, whether the text ends).
+
+    Also gives where each item starts among the codes. The bytes before are `order` bytes, or none at a text's start.
+    """
+    joined = b"".join(x for lead, piece, ends in items for x in (lead or bytes(order), piece, b"\0" * ends))
+    symbols = np.frombuffer(joined, dtype=np.uint8).astype(U64)
+    sizes = np.array([order + len(piece) + ends for _, piece, ends in items], dtype=np.int64)
+    stops = np.cumsum(sizes)
+    fresh = (stops - sizes)[[not lead for lead, _, _ in items]]
+    symbols[(fresh[:, None] + np.arange(order)).ravel()] = PAD
+    symbols[stops[[ends for _, _, ends in items]] - 1] = END
+    n = len(symbols) - order
+    code = symbols[:n].copy()
+    for k in range(1, order + 1):
+        code <<= BITS
+        code |= symbols[k : n + k]
+    keep = np.ones(n, dtype=bool)
+    keep[(stops[:-1, None] - order + np.arange(order)).ravel()] = False  # runs over the border of two items
+    emitted = sizes - order
+    return code[keep], np.cumsum(emitted) - emitted
 
 
 def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """Codes of order + 1 symbols for every byte and the end of each text, and where each text starts among them."""
-    lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    step = lengths + order
-    symbols = np.full(int(step.sum()), PAD, dtype=U64)
-    first = np.cumsum(step) - step + order
-    raw = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8).astype(U64)
-    starts = np.cumsum(lengths) - lengths
-    raw[starts + lengths - 1] = END
-    where = np.repeat(first - starts, lengths) + np.arange(len(raw))
-    symbols[where] = raw
-    code = np.zeros(len(raw), dtype=U64)
-    for k in range(order, -1, -1):
-        code = (code << BITS) | symbols[where - k]
-    return code, starts
-
-
-def word_counts(texts: list[bytes], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens of the texts, ends included, and the number of tokens of each text."""
-    split = [t.lower().split() for t in texts]
-    n = np.array([len(s) + 1 for s in split], dtype=np.int64)
-    flat = []
-    for s in split:
-        flat.append(hashes.of(s))
-        flat.append(np.array([END_TOKEN], dtype=U64))
-    return (np.concatenate(flat) if flat else np.zeros(0, dtype=U64)), n
-
-
-def gather(train: DataFrame) -> DataFrame:
-    """(is_gram, code, n): counts of all runs of symbols and of all tokens of the training texts."""
-
-    def combined(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        codes, counts = np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+    if not texts:
+        return np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+    return codes_of([(b"", t, True) for t in texts], order)
+
+
+def portions(texts: list[bytes]) -> Iterator[tuple[list[int], list[tuple[bytes, bytes, bool]]]]:
+    """(texts' numbers, items) of about SPAN bytes each; longer texts are cut."""
+    owners, items, size = [], [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, max(len(t), 1), SPAN):
+            piece = t[at : at + SPAN]
+            owners.append(i)
+            items.append((t[at - ORDER : at] if at else b"", piece, at + SPAN >= len(t)))
+            size += len(piece) + ORDER
+            if size >= SPAN:
+                yield owners, items
+                owners, items, size = [], [], 0
+    if items:
+        yield owners, items
+
+
+def word_portions(texts: list[bytes], hashes: WordHashes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(texts' numbers, hashes) of all tokens, ends included, in portions; long texts are cut between words."""
+    owners, flat, size = [], [], 0
+    for i, t in enumerate(texts):
+        at = 0
+        while True:
+            cut = BREAK.search(t, at + SPAN) if len(t) - at > SPAN else None
+            piece = t[at : cut.start()] if cut else t[at:] if at else t
+            words = hashes.of(piece.lower().split())
+            flat.append(words)
+            owners.append(np.full(len(words) + (cut is None), i, dtype=np.int64))
+            size += len(piece) + 8
+            if cut is None:
+                flat.append(np.array([END_TOKEN], dtype=U64))
+            if size >= SPAN:
+                yield np.concatenate(owners), np.concatenate(flat)
+                owners, flat, size = [], [], 0
+            if cut is None:
+                break
+            at = cut.start()
+    if flat:
+        yield np.concatenate(owners), np.concatenate(flat)
+
+
+def squeeze(x: np.ndarray, rising: bool = False) -> bytes:
+    """64-bit numbers as compressed byte planes; rising ones by their differences."""
+    x = x.astype(U64)
+    if rising and len(x):
+        x = np.concatenate([x[:1], x[1:] - x[:-1]])
+    return zstandard.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def expand(blob: bytes, rising: bool = False) -> np.ndarray:
+    x = np.ascontiguousarray(np.frombuffer(zstandard.decompress(blob), dtype=np.uint8).reshape(8, -1).T).view(U64).reshape(-1)
+    return np.cumsum(x, dtype=U64) if rising else x
+
+
+def summed(codes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in rising order and the sums of their counts (1 each where none are given)."""
+    if not len(codes):
+        return codes.astype(U64), np.zeros(0, dtype=np.int64)
+    if counts is None:
+        codes = np.sort(codes)
+    else:
         order = np.argsort(codes)
         codes, counts = codes[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-        return codes[first], np.add.reduceat(counts, first)
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[first], np.diff(np.append(first, len(codes))) if counts is None else np.add.reduceat(counts, first)
+
+
+def bucket_of(kind: int, codes: np.ndarray, buckets: int) -> np.ndarray:
+    """Runs go by the KEY symbols before the last one, words by their hash."""
+    by = (codes >> BITS) & low(KEY) if kind == RUNS else codes
+    return (mix(by + U64(kind + 1)) % U64(buckets)).astype(np.int64)
+
+
+def dealt(kind: int, codes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of codes by bucket (rising codes in each), the buckets that have some, and where each starts."""
+    bucket = bucket_of(kind, codes, buckets)
+    order = np.argsort(bucket, kind="stable")
+    used, first = np.unique(bucket[order], return_index=True)
+    return order, used, np.append(first, len(codes))
+
+
+def _batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in columns.values()], names=list(columns))
+
+
+COUNTS = "kind int, bucket int, codes binary, counts binary"
+
+
+def _counts(kind: list, bucket: list, codes: list, counts: list) -> pa.RecordBatch:
+    return _batch({"kind": (kind, pa.int32()), "bucket": (bucket, pa.int32()), "codes": (codes, pa.binary()), "counts": (counts, pa.binary())})
+
+
+class Held:
+    """Counts of codes in memory: sorted arrays, merged when there are several."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.loose = 0
+
+    def add(self, codes: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((codes, counts))
+        self.loose += len(codes)
+        if len(self.parts) > 1 and self.loose > HELD:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            self.parts = [summed(np.concatenate([a for a, _ in self.parts]), np.concatenate([b for _, b in self.parts]))]
+        self.loose = 0
+        return self.parts[0] if self.parts else (np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64))
+
+    def full(self) -> bool:
+        return bool(self.parts) and self.loose == 0 and len(self.parts[0][0]) > HELD
+
+
+def gather(train: DataFrame, buckets: int) -> DataFrame:
+    """(kind, bucket, codes, counts): counts of all runs of symbols and of all tokens of the training texts, by bucket."""
 
     def run(batches):
-        hashes = WordHashes()
-        kept = {True: [], False: []}
+        hashes, held = WordHashes(), {RUNS: Held(), WORDS: Held()}
 
         def flush(kind):
-            codes, counts = combined(kept[kind])
-            kept[kind] = []
-            for i in range(0, len(codes), 100_000):
-                part = codes[i : i + 100_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind)), pa.array(part), pa.array(counts[i : i + 100_000])], names=["is_gram", "code", "n"])
-
-        for part in slices(batches, 500):
+            codes, counts = held[kind].merge()
+            held[kind] = Held()
+            order, used, edge = dealt(kind, codes, buckets)
+            codes, counts = codes[order], counts[order]
+            yield _counts(
+                [kind] * len(used),
+                used.tolist(),
+                [squeeze(codes[a:b], True) for a, b in zip(edge[:-1], edge[1:], strict=True)],
+                [squeeze(counts[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)],
+            )
+
+        for part in slices(batches, 1000):
             texts = as_bytes(part["text"])
-            for kind, codes in ((True, grams(texts)[0]), (False, word_counts(texts, hashes)[0])):
-                if len(codes):
-                    kept[kind].append(np.unique(codes, return_counts=True))
-                if len(kept[kind]) > 8:
-                    kept[kind] = [combined(kept[kind])]
-                    if len(kept[kind][0][0]) > 600_000:
-                        yield from flush(kind)
-        for kind in (True, False):
-            if kept[kind]:
-                yield from flush(kind)
-
-    found = train.select("text").mapInArrow(run, "is_gram boolean, code long, n long")
-    return saved(found.groupBy("is_gram", "code").agg(F.sum("n").alias("n")))
+            for _, items in portions(texts):
+                held[RUNS].add(*summed(codes_of(items)[0]))
+                if held[RUNS].full():
+                    yield from flush(RUNS)
+            for _, words in word_portions(texts, hashes):
+                held[WORDS].add(*summed(words))
+                if held[WORDS].full():
+                    yield from flush(WORDS)
+        for kind in (RUNS, WORDS):
+            yield from flush(kind)
+
+    def merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held()
+        for batch in batches:
+            for codes, counts in zip(batch["codes"], batch["counts"], strict=True):
+                held.add(expand(codes.as_py(), True), expand(counts.as_py()).astype(np.int64))
+        codes, counts = held.merge()
+        yield _counts([key[0].as_py()], [key[1].as_py()], [squeeze(codes, True)], [squeeze(counts)])
+
+    sent = train.select("text").mapInArrow(run, COUNTS)
+    return saved(sent.groupBy("kind", "bucket").applyInArrow(merged, COUNTS))
 
 
 @dataclass
 class Trie:
-    """The model in memory, for small corpora and tests.
-
-    For each context length: sorted runs with log10 counts, and sorted contexts with what they share out.
-    """
+    """A part of the trie, for each context length: sorted runs with log10 counts, and sorted contexts with what they share out."""
 
     order: int
-    runs: list[np.ndarray]
-    log_count: list[np.ndarray]
-    contexts: list[np.ndarray]
-    plain: list[tuple[np.ndarray, np.ndarray]]  # log10 of the total, log10 of the escape's share
-    after: list[tuple[np.ndarray, np.ndarray]]  # the same in the next shorter context, without this one's symbols
-    log_rest: float
+    runs: list[np.ndarray] = field(default_factory=list)
+    log_count: list[np.ndarray] = field(default_factory=list)
+    contexts: list[np.ndarray] = field(default_factory=list)
+    plain: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # log10 of the total, log10 of the escape's share
+    after: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # the same in the next shorter context, without this one's symbols
+    log_rest: float = 0.0
 
     def log10(self, code: np.ndarray) -> np.ndarray:
         """log10 probability of the last symbol of each code."""
@@ -125,7 +260,7 @@ class Trie:
         for k in range(self.order, -1, -1):
             if not len(open_) or not len(self.contexts[k]):
                 continue
-            g = code[open_] & U64((1 << 9 * (k + 1)) - 1)
+            g = code[open_] & low(k + 1)
             at = _find(self.contexts[k], g >> BITS)
             has = at >= 0
             run = _find(self.runs[k], g)
@@ -149,149 +284,97 @@ def _find(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(table[at] == x, at, -1)
 
 
-def build(found: dict[int, tuple[np.ndarray, np.ndarray]], totals: dict[int, tuple[np.ndarray, np.ndarray]], order: int) -> Trie:
-    """found: runs of each length with their counts; totals: contexts with all that followed them, also what is not kept."""
-    runs, log_count, contexts, plain, after = [], [], [], [], []
-    kept, held, lost, kids = [], [], [], []
+def build(codes: np.ndarray, counts: np.ndarray, top: tuple[np.ndarray, np.ndarray], order: int = ORDER) -> Trie:
+    """The trie of runs (sorted codes) whose contexts of KEY symbols are whole, below the runs of KEY symbols of all."""
     log = lambda x: np.log10(np.maximum(x, 1e-300))
+    found = {order: (codes, counts)}
+    for k in range(order - 1, KEY - 1, -1):
+        found[k] = summed(found[k + 1][0] & low(k + 1), found[k + 1][1])
+    for k in range(KEY - 1, -1, -1):
+        found[k] = summed(top[0] & low(k + 1), top[1])
+    trie, kept, kids = Trie(order), [], []
     for k in range(order + 1):
-        codes, counts = found.get(k, (np.zeros(0, U64), np.zeros(0, np.int64)))
+        codes, counts = found[k]
         ctx, inverse = np.unique(codes >> BITS, return_inverse=True)
         n = np.bincount(inverse, counts, len(ctx))
         d = np.bincount(inverse, minlength=len(ctx)).astype(float)
-        tc, tn = totals.get(k, (np.zeros(0, U64), np.zeros(0, np.int64)))
-        place = _find(tc, ctx) if len(tc) else np.full(len(ctx), -1)
-        all_ = np.where(place >= 0, tn[place] if len(tn) else 0, n)
-        gone = np.maximum(all_ - n, 0.0)
-        total = n + d + gone
-        runs.append(codes)
-        log_count.append(log(counts))
-        contexts.append(ctx)
-        plain.append((log(total), log(d + gone) - log(total)))
+        trie.runs.append(codes)
+        trie.log_count.append(log(counts))
+        trie.contexts.append(ctx)
+        trie.plain.append((log(n + d), log(d) - log(n + d)))
         kept.append((n, d))
-        lost.append(gone)
-        held.append(counts)
         kids.append(inverse)
         if k == 0:
-            after.append((np.zeros(len(ctx)), np.zeros(len(ctx))))
+            trie.after.append((np.zeros(len(ctx)), np.zeros(len(ctx))))
+            continue
+        if not len(ctx):
+            trie.after.append((np.zeros(0), np.zeros(0)))
             continue
         # what the same symbols have in the shorter context
-        mask = U64((1 << 9 * k) - 1)
-        short = _find(runs[k - 1], codes & mask)
-        known = short >= 0
-        took = np.bincount(inverse[known], held[k - 1][short[known]], len(ctx))
-        took_d = np.bincount(inverse[known], minlength=len(ctx))
-        up = _find(contexts[k - 1], ctx & U64((1 << 9 * (k - 1)) - 1))
-        n1 = np.where(up >= 0, kept[k - 1][0][up] - took, 0.0)
-        e1 = np.where(up >= 0, kept[k - 1][1][up] - took_d + lost[k - 1][up], 0.0)
-        total1 = n1 + e1
-        after.append((log(total1), np.where(total1 > 0, log(e1) - log(total1), 0.0)))
-    rest = SYMBOLS - len(runs[0])
-    return Trie(order, runs, log_count, contexts, plain, after, -float(np.log10(max(rest, 1))))
-
-
-def learn(gathered: DataFrame, order: int = ORDER, support: int = SUPPORT) -> Trie:
-    """The trie from gathered counts, for tests; at most 2^support runs of each length come to the driver."""
-    full = gathered.where("is_gram")
-    n = full.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-n // (1 << support)))
-    codes = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND(F.lit((1 << 9 * (k + 1)) - 1)).alias("run")) for k in range(order + 1)]))
-    runs = full.select(codes, "n").groupBy("col.k", "col.run").agg(F.sum("n").alias("n"))
-    runs = saved(runs.select("k", "run", "n"))
-    rows = runs.where(F.col("n") >= least).toPandas().sort_values(["k", "run"])
-    contexts = F.shiftright("run", 9)
-    whole = runs.groupBy("k", contexts.alias("context")).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    whole = whole.toPandas().sort_values(["k", "context"])
-    pick = lambda t, c: {k: (x[c].to_numpy().astype(U64), x["n"].to_numpy()) for k, x in t.groupby("k")}
-    return build(pick(rows, "run"), pick(whole, "context"), order)
-
-
-def _low(column, symbols: int):
-    """The last symbols of a code."""
-    return F.col(column).bitwiseAND(F.lit((1 << 9 * symbols) - 1))
+        short = _find(trie.runs[k - 1], codes & low(k))
+        took = np.bincount(inverse, found[k - 1][1][short], len(ctx))
+        up = _find(trie.contexts[k - 1], ctx & low(k - 1))
+        n1, e1 = kept[k - 1][0][up] - took, kept[k - 1][1][up] - d
+        trie.after.append((log(n1 + e1), np.where(n1 + e1 > 0, log(e1) - log(n1 + e1), 0.0)))
+    trie.log_rest = -float(np.log10(max(SYMBOLS - len(trie.runs[0]), 1)))
+    return trie
 
 
-@dataclass
-class Model:
-    """All that was counted: runs[k] (run, n) and contexts[k] (context, n, d: the symbols after it) for context length k."""
-
-    runs: list[DataFrame]
-    contexts: list[DataFrame]
-    seen: DataFrame  # (code, n, value): the log10 probability of each run of full length
-    log_rest: float
-
-    @classmethod
-    def of(cls, gathered: DataFrame) -> Model:
-        context = F.shiftright("run", 9)
-        runs = [gathered.where("is_gram").select(F.col("code").alias("run"), "n")]
-        for k in range(ORDER - 1, -1, -1):
-            runs.insert(0, saved(runs[0].groupBy(_low("run", k + 1).alias("run")).agg(F.sum("n").alias("n"))))
-        contexts = [saved(r.groupBy(context.alias("context")).agg(F.sum("n").alias("n"), F.count("*").alias("d"))) for r in runs]
-        own = Window.partitionBy(context)
-        value = F.log10("n") - F.log10(F.sum("n").over(own) + F.count("*").over(own))
-        seen = saved(runs[-1].select(F.col("run").alias("code"), "n", value.alias("value")))
-        return cls(runs, contexts, seen, -float(np.log10(max(SYMBOLS - runs[0].count(), 1))))
-
-    def frequent(self, support: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted codes and values of the most frequent runs, at most 2^support."""
-        top = 1 << 16
-        bins = self.seen.groupBy(F.least("n", F.lit(top)).alias("n")).agg(F.count("*").alias("runs"), F.sum("n").alias("symbols")).toPandas().sort_values("n", ascending=False)
-        fit = bins[bins["runs"].cumsum() <= 1 << support]
-        least = int(fit["n"].min()) if len(fit) else max(top, -(-int(bins["symbols"].sum()) // (1 << support)))
-        rows = self.seen.where(F.col("n") >= least).select("code", "value").toArrow()
-        codes = rows["code"].to_numpy().astype(U64)
-        order = np.argsort(codes)
-        return codes[order], rows["value"].to_numpy()[order]
-
-    def left_out(self, k: int, contexts: DataFrame) -> DataFrame:
-        """(context, n1, e1): what the next shorter context shares out without the symbols seen after each context of length k."""
-        after = self.runs[k].withColumn("context", F.shiftright("run", 9)).join(contexts, "context", "left_semi")
-        short = self.runs[k - 1].select(F.col("run").alias("short"), F.col("n").alias("m"))
-        took = after.select("context", _low("run", k).alias("short")).join(short, "short").groupBy("context").agg(F.sum("m").alias("took"), F.count("*").alias("took_d"))
-        up = self.contexts[k - 1].withColumnRenamed("context", "up")
-        return took.withColumn("up", _low("context", k - 1)).join(up, "up").select("context", (F.col("n") - F.col("took")).alias("n1"), (F.col("d") - F.col("took_d")).alias("e1"))
-
-    def unseen(self, codes: DataFrame) -> DataFrame:
-        """(code, value): the log10 probabilities of distinct codes that are not in seen.
-
-        Down: whole holds runs looked up with nothing left out; part holds runs, one symbol longer, that are missing
-        after a context seen, so that the shorter context leaves out what the longer has. Back up: their values.
-        """
-        whole, part = codes.select(F.col("code").alias("run")), None
-        wholes, parts = {}, {}
-        for k in range(ORDER, -1, -1):
-            count = self.runs[k].select("run", F.col("n").alias("c"))
-            here = whole.withColumn("context", F.shiftright("run", 9)).join(self.contexts[k], "context", "left").join(count, "run", "left")
-            wholes[k] = here = saved(here.select("run", "n", "d", "c"))
-            below = here.where("n is not null and c is null").select(F.col("run").alias("longer"))
-            if part is not None:
-                gone = self.left_out(k + 1, part.select(F.shiftright("longer", 9).alias("context")).distinct())
-                there = part.select("longer", F.shiftright("longer", 9).alias("context"), _low("longer", k + 1).alias("run"))
-                parts[k] = there = saved(there.join(gone, "context").join(count, "run", "left").select("longer", "run", "n1", "e1", "c"))
-                below = below.union(there.where("c is null").select(F.col("run").alias("longer"))).distinct()
-            whole = here.where("n is null").select(_low("run", k).alias("run")).distinct()
-            part = saved(below)
-        rest = F.lit(self.log_rest)
-        w, v = None, None  # values of wholes and parts of the level below
-        for k in range(ORDER + 1):
-            at = wholes[k]
-            shorter = at.withColumn("low", _low("run", k))
-            if w is None:
-                shorter = shorter.withColumn("w", rest).withColumn("v", rest)
-            else:
-                shorter = shorter.join(w.select(F.col("run").alias("low"), F.col("value").alias("w")), "low", "left")
-                shorter = shorter.join(v.select(F.col("longer").alias("run"), F.col("value").alias("v")), "run", "left")
-            total = F.log10(F.col("n") + F.col("d"))
-            value = F.when(F.col("n").isNull(), F.col("w")).when(F.col("c").isNull(), F.log10("d") - total + F.col("v")).otherwise(F.log10("c") - total)
-            new_w = saved(shorter.select("run", value.alias("value")))
-            if k in parts:
-                total = F.log10(F.col("n1") + F.col("e1"))
-                escape = F.when(F.col("e1") > 0, F.log10("e1") - total).otherwise(0.0)
-                there = parts[k]
-                there = there.withColumn("v", rest) if v is None else there.join(v.select(F.col("longer").alias("run"), F.col("value").alias("v")), "run", "left")
-                v = saved(there.select("longer", F.when(F.col("c").isNull(), escape + F.col("v")).otherwise(F.log10("c") - total).alias("value")))
-            w = new_w
-        return w.withColumnRenamed("run", "code")
+def top_of(gathered: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of KEY symbols with their counts: at most 257^KEY by what a symbol is, whatever the corpus."""
+
+    def run(batches):
+        for batch in batches:
+            for codes, counts in zip(batch["codes"], batch["counts"], strict=True):
+                short, n = summed(expand(codes.as_py(), True) & low(KEY), expand(counts.as_py()).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(short.view(np.int64)), pa.array(n)], names=["run", "n"])
+
+    rows = gathered.where(F.col("kind") == RUNS).mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).toArrow()
+    return summed(rows["run"].to_numpy().astype(np.int64).view(U64), rows["n"].to_numpy())
+
+
+def frequent(gathered: DataFrame, kind: int, support: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Sorted codes of the most frequent, at most 2^support, with the values of values_of; the sum of all counts; how many there are."""
+    top = 1 << 16
+
+    def count(batches):
+        for batch in batches:
+            for blob in batch["counts"]:
+                n = expand(blob.as_py()).astype(np.int64)
+                each, inverse, times = np.unique(np.minimum(n, top), return_inverse=True, return_counts=True)
+                total = np.bincount(inverse, n, len(each)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(times), pa.array(total)], names=["n", "codes", "total"])
+
+    own = gathered.where(F.col("kind") == kind)
+    bins = own.mapInArrow(count, "n long, codes long, total long").groupBy("n").agg(F.sum("codes").alias("codes"), F.sum("total").alias("total"))
+    bins = bins.toPandas().sort_values("n", ascending=False)  # at most 2^16 rows
+    fit = bins[bins["codes"].cumsum() <= 1 << support]
+    least = int(fit["n"].min()) if len(fit) else max(top, -(-int(bins["total"].sum()) // (1 << support)))
+
+    def pick(batches):
+        for batch in batches:
+            for codes, counts in zip(batch["codes"], batch["counts"], strict=True):
+                codes, counts = expand(codes.as_py(), True), expand(counts.as_py()).astype(np.int64)
+                often = counts >= least
+                if often.any():
+                    yield _batch({"codes": ([squeeze(codes[often], True)], pa.binary()), "values": ([values_of(kind, codes, counts)[often].tobytes()], pa.binary())})
+
+    rows = own.mapInArrow(pick, "codes binary, values binary").collect()  # at most 2^support codes
+    codes = np.concatenate([np.zeros(0, dtype=U64), *(expand(bytes(r["codes"]), True) for r in rows)])
+    values = np.concatenate([np.zeros(0), *(np.frombuffer(r["values"]) for r in rows)])
+    order = np.argsort(codes)
+    return codes[order], values[order], int(bins["total"].sum()), int(bins["codes"].sum())
+
+
+def values_of(kind: int, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For all runs of whole contexts their log10 probabilities; for words log10(n + 0.5)."""
+    if kind == WORDS:
+        return np.log10(counts + 0.5)
+    context = codes >> BITS
+    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])[: len(codes)])
+    size = np.diff(np.append(first, len(codes)))
+    total = np.add.reduceat(counts, first) + size
+    return np.log10(counts) - np.repeat(np.log10(total), size)
 
 
 class Memo:
@@ -318,73 +401,159 @@ class Memo:
         return out
 
 
-def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """Lists of so many values each."""
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values))
+@dataclass
+class Chunk:
+    """Documents of one task: what is known of their scores, and the codes to ask for by document."""
+
+    doc: list = field(default_factory=list)
+    training: list = field(default_factory=list)
+    sums: list[np.ndarray] = field(default_factory=list)  # tokens, hits, common, score by document
+    asked: dict[int, list[tuple[np.ndarray, np.ndarray]]] = field(default_factory=lambda: {RUNS: [], WORDS: []})
+    size: int = 0
+
+    def row(self, chunk_id: int, buckets: int) -> pa.RecordBatch:
+        sums = np.concatenate(self.sums) if self.sums else np.zeros((0, 4))
+        out = {
+            "chunk_id": ([chunk_id], pa.int64()), "doc_id": ([self.doc], pa.list_(pa.int64())), "training": ([self.training], pa.list_(pa.bool_())),
+            "sums": ([sums.tobytes()], pa.binary()),
+        }
+        requests = []
+        for kind in (RUNS, WORDS):
+            codes = np.concatenate([np.zeros(0, dtype=U64), *(c for _, c in self.asked[kind])])
+            owner = np.concatenate([np.zeros(0, dtype=np.int64), *(o for o, _ in self.asked[kind])])
+            distinct, inverse = np.unique(codes, return_inverse=True)
+            order, used, edge = dealt(kind, distinct, buckets)
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            distinct = distinct[order]
+            requests += [{"kind": kind, "bucket": int(b), "codes": squeeze(distinct[x:y], True)} for b, x, y in zip(used, edge[:-1], edge[1:], strict=True)]
+            out[f"owner{kind}"] = ([squeeze(owner, True)], pa.binary())
+            out[f"place{kind}"] = ([squeeze(place[inverse])], pa.binary())
+        out["requests"] = ([requests], pa.list_(pa.struct([("kind", pa.int32()), ("bucket", pa.int32()), ("codes", pa.binary())])))
+        return _batch(out)
+
+
+CHUNKS = (
+    "chunk_id long, doc_id array<long>, training array<boolean>, sums binary, owner0 binary, place0 binary, owner1 binary, place1 binary, "
+    "requests array<struct<kind: int, bucket: int, codes: binary>>"
+)
+
+
+def _first_pass(runs, words, buckets: int):
+    """Rows of documents to chunks: scores by the broadcast tables, and requests for what these do not hold."""
 
+    def run(batches):
+        from pyspark import TaskContext
 
-def score(docs: DataFrame, is_training, support: int = SUPPORT) -> DataFrame:
+        hashes, memo, known = WordHashes(), Memo(*runs.value), Memo(*words.value, bits=16)
+        task, n, chunk = TaskContext.get().partitionId(), 0, Chunk()
+        for part in slices(batches, 1000):
+            texts = as_bytes(part["text"])
+            base = len(chunk.doc)
+            chunk.doc += part["doc_id"].to_pylist()
+            chunk.training += part["training"].to_pylist()
+            sums = np.zeros((len(texts), 4))
+
+            def ask(kind, owner, codes, base=base, chunk=chunk):
+                chunk.asked[kind].append((owner + base, codes))
+
+            for owners, items in portions(texts):
+                codes, starts = codes_of(items)
+                value = memo.of(codes)
+                apart = np.isnan(value)
+                np.add.at(sums[:, 3], owners, np.add.reduceat(np.where(apart, 0.0, value), starts))
+                owner = np.repeat(np.array(owners), np.diff(np.append(starts, len(codes))))
+                ask(RUNS, owner[apart], codes[apart])
+            for owner, tokens in word_portions(texts, hashes):
+                value = known.of(tokens)
+                apart = np.isnan(value)
+                sums[:, 0] += np.bincount(owner, minlength=len(texts))
+                sums[:, 1] += np.bincount(owner, ~apart, len(texts))
+                sums[:, 2] += np.bincount(owner, np.where(apart, 0.0, value), len(texts))
+                ask(WORDS, owner[apart], tokens[apart])
+            chunk.sums.append(sums)
+            chunk.size += sum(map(len, texts)) + 8 * len(texts)
+            if chunk.size >= CHUNK:
+                yield chunk.row((task << 32) + n, buckets)
+                n, chunk = n + 1, Chunk()
+        if chunk.doc:
+            yield chunk.row((task << 32) + n, buckets)
+
+    return run
+
+
+def _answer(top):
+    """One bucket: the values of the codes that each chunk asks for."""
+
+    def run(key, held: pa.Table, asked: pa.Table) -> pa.Table:
+        kind = key[0].as_py()
+        codes, counts = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+        for a, b in zip(held["codes"], held["counts"], strict=True):  # one row a bucket
+            codes, counts = expand(a.as_py(), True), expand(b.as_py()).astype(np.int64)
+        trie, out = None, []
+        for blob in asked["codes"]:
+            wanted = expand(blob.as_py(), True)
+            if kind == RUNS:
+                trie = trie or build(codes, counts, top.value)
+                values = trie.log10(wanted)
+            else:
+                at = _find(codes, wanted) if len(codes) else np.full(len(wanted), -1)
+                values = np.full(len(wanted), np.nan)  # nan: a word that training has not
+                values[at >= 0] = values_of(WORDS, codes, counts[at[at >= 0]])
+            out.append(squeeze(values.view(U64)))
+        return pa.table({"chunk_id": asked["chunk_id"], "kind": asked["kind"], "bucket": asked["bucket"], "values": pa.array(out, pa.binary())})
+
+    return run
+
+
+def _finish(key, chunk: pa.Table, answers: pa.Table) -> pa.Table:
+    """The documents of a chunk with the values that came back."""
+    row = {c: chunk[c][0].as_py() for c in chunk.column_names}
+    sums = np.frombuffer(row["sums"]).reshape(-1, 4).copy()
+    back = sorted(zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), range(answers.num_rows), strict=True))
+    for kind in (RUNS, WORDS):
+        parts = [expand(answers["values"][i].as_py()).view(np.float64) for k, _, i in back if k == kind]
+        if not parts:
+            continue
+        owner = expand(row[f"owner{kind}"], True).astype(np.int64)
+        value = np.concatenate(parts)[expand(row[f"place{kind}"]).astype(np.int64)]
+        if kind == RUNS:
+            sums[:, 3] += np.bincount(owner, value, len(sums))
+        else:
+            known = ~np.isnan(value)
+            sums[:, 1] += np.bincount(owner, known, len(sums))
+            sums[:, 2] += np.bincount(owner, np.where(known, value, np.log10(0.5)), len(sums))
+    whole = sums[:, :2].astype(np.int64)
+    columns = [pa.array(row["doc_id"], pa.int64()), pa.array(row["training"], pa.bool_()), whole[:, 0].copy(), whole[:, 1].copy(), sums[:, 2].copy(), sums[:, 3].copy()]
+    return pa.table([pa.array(x) for x in columns], names=["doc_id", "training", "n_tokens", "n_known", "common", "score"])
+
+
+def score(docs: DataFrame, is_training, support: int = SUPPORT, word_support: int = WORD_SUPPORT) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score); is_training: a boolean column of docs."""
     spark = docs.sparkSession
+    buckets = 2 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(is_training, F.lit(False)).alias("training"))
-    gathered = gather(rows.where("training and text is not null").unionByName(rows.where("training and text is null")))
-    model = Model.of(gathered)
-    frequent = spark.sparkContext.broadcast(model.frequent(support))
-    words = gathered.where("not is_gram").select("code", "n")
-    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    often = words.where(F.col("n") >= max(1, -(-n // (1 << WORD_SUPPORT)))).toArrow()  # at most 2^WORD_SUPPORT rows
-    common_words = often["code"].to_numpy().astype(np.int64).view(U64)
-    by_code = np.argsort(common_words)
-    table = spark.sparkContext.broadcast((common_words[by_code], np.log10(often["n"].to_numpy()[by_code] + 0.5)))
-
-    def run(batches):
-        hashes, memo = WordHashes(), Memo(*frequent.value)
-        known, logs = table.value
-        for part in slices(batches, 500):
-            texts = as_bytes(part["text"])
-            code, starts = grams(texts)
-            value = memo.of(code)
-            apart = np.isnan(value)
-            summed = np.add.reduceat(np.where(apart, 0.0, value), starts)
-            owner = np.repeat(np.arange(len(texts)), np.diff(np.append(starts, len(code))))[apart]
-            order = np.lexsort((code[apart], owner))
-            owner, left = owner[order], code[apart][order]
-            new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (left[1:] != left[:-1])])[: len(left)])
-            times, per = np.diff(np.append(new, len(left))), np.bincount(owner[new], minlength=len(texts))
-            tokens, sizes = word_counts(texts, hashes)
-            first = np.cumsum(sizes) - sizes
-            at = _find(known, tokens) if len(known) else np.full(len(tokens), -1)
-            found = at >= 0
-            common = np.add.reduceat(np.where(found, logs[at] if len(logs) else 0.0, 0.0), first)
-            hits = np.add.reduceat(found.astype(np.int64), first)
-            rare = _lists(tokens[~found].view(np.int64), sizes - hits)
-            columns = [part["doc_id"], part["training"], pa.array(sizes), pa.array(hits), pa.array(common), pa.array(summed), rare]
-            columns += [_lists(left[new].view(np.int64), per), _lists(times.astype(np.int32), per)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "training", "n_tokens", "hits", "common", "score", "rare", "runs", "times"])
-
-    schema = "doc_id long, training boolean, n_tokens long, hits long, common double, score double, rare array<long>, runs array<long>, times array<int>"
-    scored = saved(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
-    # what is rare: occurrences by word, counted from the gathered table, summed back by row
-    seldom = scored.select("row", F.explode("rare").alias("code")).groupBy("row", "code").agg(F.count("*").alias("times"))
-    met = seldom.join(words.where(F.col("n") < max(1, -(-n // (1 << WORD_SUPPORT)))), "code")
-    back = met.groupBy("row").agg(
-        F.sum("times").alias("rare_hits"),
-        F.sum(F.col("times") * (F.log10(F.col("n") + 0.5) - F.log10(F.lit(0.5)))).alias("rare_sum"),
-    )
-    # the same for the runs of symbols that are not broadcast
-    apart = scored.select("row", F.explode(F.arrays_zip(F.col("runs").alias("code"), F.col("times").alias("times"))).alias("x")).select("row", "x.code", "x.times")
-    seen = model.seen.select("code", "value")
-    open_ = saved(apart.select("code").distinct().join(seen, "code", "left_anti"))
-    values = seen.unionByName(model.unseen(open_))
-    summed = apart.join(values, "code").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("runs_sum"))
-    out = scored.drop("rare", "runs", "times").join(back, "row", "left").join(summed, "row", "left")
-    unseen = F.log10(F.lit(0.5)) * (F.col("n_tokens") - F.col("hits"))
-    return out.select(
+    gathered = gather(rows.where("training"), buckets)
+    share = spark.sparkContext.broadcast
+    top = share(top_of(gathered))
+    codes, values, _, _ = frequent(gathered, RUNS, support)
+    runs = share((codes, values))
+    codes, values, n, v = frequent(gathered, WORDS, word_support)
+    words = share((codes, values))
+    chunks = saved(rows.mapInArrow(_first_pass(runs, words, buckets), CHUNKS))
+    asked = chunks.select("chunk_id", F.explode("requests").alias("r")).select("chunk_id", "r.kind", "r.bucket", "r.codes")
+    by = ["kind", "bucket"]
+    answers = gathered.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_answer(top), "chunk_id long, kind int, bucket int, values binary")
+    schema = "doc_id long, training boolean, n_tokens long, n_known long, common double, score double"
+    done = saved(chunks.drop("requests").groupBy("chunk_id").cogroup(answers.groupBy("chunk_id")).applyInArrow(_finish, schema))
+    forget(chunks)
+    forget(gathered)
+    return done.select(
         "doc_id",
         "training",
         "n_tokens",
-        (F.col("hits") + F.coalesce("rare_hits", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("common") + unseen + F.coalesce("rare_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(n + 0.5 * (v + 1))))).alias("base_score"),
-        (F.col("score") + F.coalesce("runs_sum", F.lit(0.0))).alias("score"),
+        (F.col("common") - F.col("n_tokens") * F.lit(float(np.log10(n + 0.5 * (v + 1))))).alias("base_score"),
+        "score",
     )

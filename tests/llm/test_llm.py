@@ -116,33 +116,97 @@ def test_toxicity_sees_through_punctuation(spark):
     assert toxicity.words_of(b"#$%&idiot*<> ### it's") == {b"idiot", b"it's"}
 
 
-def test_ppm_sums_to_one(spark, odd, empty):
-    train = spark.createDataFrame([(i, f"abracadabra {i} banana") for i in range(30)], "doc_id long, text string")
-    trie = ppm.learn(ppm.gather(train))
+def brute_ppm(train):
+    """Counts of all runs by context length, from plain dictionaries; gives a function text -> log10 probability."""
+    order = ppm.ORDER
+    after = [{} for _ in range(order + 1)]
+    symbols = lambda t: [ppm.PAD] * order + list(t) + [ppm.END]
+    for t in train:
+        s = symbols(t)
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                own = after[k].setdefault(tuple(s[i - k : i]), {})
+                own[s[i]] = own.get(s[i], 0) + 1
+
+    def one(context, x):
+        p, gone = 1.0, set()
+        for k in range(order, -1, -1):
+            own = after[k].get(tuple(context[len(context) - k :]))
+            if own is None:
+                continue
+            left = {s: n for s, n in own.items() if s not in gone}
+            total = sum(left.values()) + len(left)
+            if x in left:
+                return p * left[x] / total
+            p *= len(left) / total if total else 1.0
+            gone = set(own)
+        return p / max(ppm.SYMBOLS - len(after[0].get((), {})), 1)
+
+    def score(t):
+        s = symbols(t)
+        return sum(np.log10(one(s[:i], s[i])) for i in range(order, len(s)))
+
+    return score
+
+
+def test_ppm_sums_to_one():
+    texts = [f"abracadabra {i} banana".encode() for i in range(30)]
+    codes, counts = ppm.summed(ppm.grams(texts)[0])
+    trie = ppm.build(codes, counts, ppm.summed(codes & ppm.low(ppm.KEY), counts))
     for context in (b"", b"abra", b"ban", b"qqq", b"a banan"):
-        symbols = [ppm.PAD] * ppm.ORDER + list(context)
         code = 0
-        for s in symbols[-ppm.ORDER :]:
+        for s in ([ppm.PAD] * ppm.ORDER + list(context))[-ppm.ORDER :]:
             code = code << 9 | s
         codes = np.array([code << 9 | s for s in range(ppm.SYMBOLS)], dtype=np.uint64)
         assert abs((10 ** trie.log10(codes)).sum() - 1) < 1e-6
-    assert ppm.score(odd, F.col("doc_id") % 2 == 0).count() == len(ODD)
-    assert ppm.score(empty, F.lit(True)).count() == 0
 
 
-def test_ppm_keeps_rare_runs(spark):
+def test_ppm_takes_long_texts_in_pieces(monkeypatch):
+    texts = [b"", ("ab cd\u00e9 " * 40).encode(), b"x" * 333, b"one two", b" "]
+    hashes = ppm.WordHashes()
+    whole = list(ppm.word_portions(texts, hashes))
+    monkeypatch.setattr(ppm, "SPAN", 50)
+    pieces = [ppm.codes_of(items)[0] for _, items in ppm.portions(texts)]
+    assert len(pieces) > 5 and (np.concatenate(pieces) == ppm.grams(texts)[0]).all()
+    cut = list(ppm.word_portions(texts, hashes))
+    assert len(cut) > 5
+    for k in (0, 1):
+        assert (np.concatenate([x[k] for x in cut]) == np.concatenate([x[k] for x in whole])).all()
+
+
+def test_ppm_against_brute_force(spark, odd, empty, monkeypatch):
     rng = np.random.default_rng(7)
     common = [f"word{k}" for k in range(40)]
-    docs = [(i, " ".join(rng.choice(common, 300)) + f" rare passage {i} of zyx{i * 7919}q") for i in range(320)]
-    docs += [(400, docs[3][1][-30:]), (401, "wholly unknown \u00e9\u6f22 QQ~~ 7919"), (402, ""), (403, None), (None, docs[5][1][-30:])]
-    d = spark.createDataFrame(docs, "doc_id long, text string")
-    training = F.col("doc_id") < 320
-    trie = ppm.learn(ppm.gather(d.where(training)), support=40)  # all runs, in memory
-    for support in (ppm.SUPPORT, 8, 0):
-        got = {r["doc_id"]: r["score"] for r in ppm.score(d, training, **({} if support == ppm.SUPPORT else {"support": support})).collect()}
-        for i, t in docs:
-            want = trie.log10(ppm.grams([(t or "").encode()])[0]).sum()
-            assert abs(got[i] - want) < 1e-6 * max(1, abs(want)), (support, i)
+    docs = [(i, " ".join(rng.choice(common, 30)) + f" rare passage {i} of zyx{i * 7919}q", 0) for i in range(60)]
+    docs += [(400, docs[3][1][-30:], 0), (401, "wholly unknown \u00e9\u6f22 QQ~~ 7919", 0), (402, "", 0), (403, None, 0), (None, docs[5][1][-30:], 0), (4, docs[4][1], 0)]
+    schema = "doc_id long, text string, code int"
+    d = spark.createDataFrame(docs, schema)
+    training = F.col("doc_id") < 60
+    learned = [(t or "").encode() for i, t, _ in docs if i is not None and i < 60]
+    brute = brute_ppm(learned)
+    tokens = lambda t: [*t.lower().split(), None]
+    counts = {}
+    for t in learned:
+        for w in tokens(t):
+            counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    want = []
+    for i, t, _ in docs:
+        own = tokens((t or "").encode())
+        base = sum(np.log10((counts.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in own)
+        want.append((-1 if i is None else i, len(own), sum(w in counts for w in own), n, base, brute((t or "").encode())))
+    for support, word_support, span in ((ppm.SUPPORT, ppm.WORD_SUPPORT, ppm.SPAN), (8, 4, 50), (0, 0, 50)):
+        monkeypatch.setattr(ppm, "SPAN", span)
+        rows = ppm.score(d, training, support, word_support).drop("training").collect()
+        got = [(-1 if r[0] is None else r[0], *r[1:]) for r in rows]
+        assert [x[:4] for x in sorted(got)] == [x[:4] for x in sorted(want)]
+        assert np.allclose([x[4:] for x in sorted(got)], [x[4:] for x in sorted(want)], atol=1e-6)
+    nothing = ppm.score(odd, F.lit(False)).collect()
+    assert {r["train_tokens"] for r in nothing} == {0}
+    texts = sorted(len((t or "").encode()) + 1 for _, t in ODD)
+    assert np.allclose(sorted(-r["score"] for r in nothing), [n * np.log10(ppm.SYMBOLS) for n in texts])
+    assert ppm.score(odd, F.col("doc_id") % 2 == 0).count() == len(ODD)
+    assert ppm.score(empty, F.lit(True)).count() == 0
 
 
 def test_embeddings_against_brute_force(spark):
