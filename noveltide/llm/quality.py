@@ -1,17 +1,20 @@
 """Quality rules: gradient-boosted trees over document statistics, scored as flat numpy node arrays.
 
-The statistics of every whole text are taken in Arrow batches next to the scoring; nothing is shuffled. The trees are
+The statistics of every whole text are taken in Arrow batches next to the scoring; nothing is shuffled, and only the
+text column goes to Python. The trees are
 fitted on at most `sample` labelled rows (those with the smallest hash of doc_id), of which only the statistics come
 to the driver. On chosen statistics (repetition, symbols) the score may only fall.
 
 Defined cases: null or empty text has no words and fails the base rules. Null and repeated doc_ids are scored as rows
-of their own; a label counts for all rows of its doc_id, the lowest one if there are several, null ones not at all.
+of their own; a label counts for all rows of its doc_id, the lowest one if there are several, null ones not at all. Of several
+labelled rows with one doc_id, the one of smallest statistics is learned from.
 With no labels, or labels of one class only, there is no model and the base rules decide. An empty table gives an
 empty table. Extra columns are carried through by keep_good and not read otherwise.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, map_arrow, shingle_hashes, slices
+from .common import WordHashes, as_bytes, map_arrow, shingle_hashes
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Statistics in the model, with the direction in which quality may go as they rise (0: either).
@@ -180,8 +183,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Trees | Non
         x = [statistics(t, hashes)[1] for t in as_bytes(part["text"])]
         return part["doc_id"], part["quality"].cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))
 
-    got = map_arrow(rows.select("doc_id", "text", "quality"), run, "doc_id long, quality int, x array<double>").toPandas()
-    got = got.drop_duplicates("doc_id").sort_values("doc_id")
+    got = map_arrow(rows.select("doc_id", "text", "quality"), run, "doc_id long, quality int, x array<double>")
+    got = got.groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id")  # at most `sample` rows
     if got["quality"].nunique() < 2:
         return None
     return fit_trees(np.array(got["x"].tolist()), (got["quality"].to_numpy() > 0).astype(float), list(FEATURES.values()))
@@ -212,10 +215,12 @@ def assess(docs: DataFrame, trees: Trees | None) -> DataFrame:
 
 def keep_good(docs: DataFrame, trees: Trees | None) -> DataFrame:
     """The rows of docs that the rules keep, with all columns."""
-    hashes = WordHashes()
 
-    def run(batches):
-        for part in slices(batches):
-            yield part.filter(pa.array(verdicts(as_bytes(part["text"]), trees, hashes)[2]))
+    @F.arrow_udf("boolean")
+    def good(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes = WordHashes()
+        for part in parts:
+            kept = [verdicts(as_bytes(part.slice(i, 1000)), trees, hashes)[2] for i in range(0, len(part), 1000)]
+            yield pa.array(np.concatenate(kept) if kept else [], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good(docs["text"]))
