@@ -7,7 +7,7 @@ afterwards. What comes back per document is a compressed bitmap of lines to keep
 
 Defined cases: null or empty text is one empty line. A null doc_id never counts as a holder and its lines all stay.
 Rows with equal doc_id count as one document; each of their texts loses lines as that document does. Extra columns
-are carried through untouched. An empty table gives an empty table.
+are carried through untouched, whatever their names (n_lines and n_dropped are replaced). An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, as_bytes, map_arrow, saved, slices
+from .common import SPACE, as_bytes, free_name, map_arrow, saved, slices
 
 RECORD = "h1 long, h2 long, doc_id long, text_key long, pos int"
 
@@ -153,19 +153,16 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     points in at least min_docs documents lose all lines except those in the largest doc_id that holds the key.
     """
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    bits = keep_bitmaps(docs, min_chars, min_docs).select(
-        F.col("doc_id").alias("_bits_doc"), F.col("text_key").alias("_bits_key"), "keep_bits"
-    )
+    doc, key, keep_bits = (free_name(docs.columns, x) for x in ("_doc", "_key", "_keep_bits"))
+    bits = keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs).toDF(doc, key, keep_bits)
     left = docs.select(*names, "text")
-    both = left.join(
-        bits, (F.col("doc_id").cast("long") == F.col("_bits_doc")) & (F.xxhash64("text") == F.col("_bits_key")), "left"
-    ).select(*names, "text", F.col("keep_bits").alias("_keep_bits"))
+    both = left.join(bits, (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64("text") == F.col(key)), "left").select(*names, "text", keep_bits)
     schema = left.select(*names, "text", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
 
     def run(batches):
         for part in slices(batches):
             texts, lines, dropped = [], [], []
-            for text, packed in zip(as_bytes(part["text"]), part["_keep_bits"].to_pylist(), strict=True):
+            for text, packed in zip(as_bytes(part["text"]), part[keep_bits].to_pylist(), strict=True):
                 n, gone = text.count(b"\n") + 1, 0
                 if packed is not None:
                     keep = np.unpackbits(np.frombuffer(zlib.decompress(packed), dtype=np.uint8)).astype(bool)

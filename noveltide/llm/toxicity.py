@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, width: int = 1
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(known), "doc_id")
 
     def bag(part):
         return part["doc_id"], part["grade"].cast(pa.int32()), pa.array([features_of(t) for t in as_bytes(part["text"])], pa.list_(pa.binary()))
@@ -154,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, width: int = 1
                     k.update(f)
             yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array([k[f] for f in n], pa.int64())], names=["feature", "n", "k"])
 
-    bags = saved(map_arrow(rows.select("doc_id", "text", "grade"), bag, "doc_id long, grade int, found array<binary>"))
+    bags = map_arrow(rows.select("doc_id", "text", "grade"), bag, "doc_id long, grade int, found array<binary>")
+    bags = saved(bags.groupBy("doc_id", "grade").agg(F.min("found").alias("found")))  # one row a doc_id, whatever the order
     n, bad = bags.agg(F.count("*"), F.count_if(F.col("grade") > 0)).first()
     if bad == 0 or bad == n:
         return None
