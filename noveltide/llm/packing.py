@@ -13,6 +13,7 @@ doc_ids are packed as they are. An empty table gives an empty table. Extra colum
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
@@ -30,37 +31,65 @@ BUCKETS = 256
 #: Words as the tokenizer sees them: \x1c-\x1f are white space for str.split() but not for it.
 WORD = re.compile(r"[\S\x1c-\x1f]+")
 ODD = re.compile(r"[\x1c-\x1f]")
-#: A character that stands alone as a word between others; words that hold it are encoded one by one.
-MARK = "\x02"
+#: What the tokenizer cuts words into (a fixed value: the pattern in its file), and the same for lower-cased words of
+#: the characters in PLAIN, for which its normalisation is lower-casing alone.
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
 
 
 class WordIds(dict):
-    """Packed token ids by white-space-separated word; the tokenizer drops white space and never joins over it."""
+    """Packed token ids by white-space-separated word; the tokenizer drops white space and never joins over it.
+
+    Where its file says that words are cut by CUTS and that a token's name tells whether it ends such a piece, the ids
+    of unknown words are put together from those of their pieces, of which there are fewer, encoded many at a time.
+    """
 
     def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.tokenizer.encode_special_tokens = True
-        mark = self._ids([MARK])[0]
-        #: The id of MARK, which stands between the words of a batch; none if the vocabulary has no id of its own for it.
-        self.mark = int.from_bytes(mark, "little") if len(mark) == 4 and self._ids([f"a {MARK} a"])[0][4:-4] == mark else None
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        end = told["model"].get("end_of_word_suffix")
+        steps = [x.get("type") for x in (told.get("normalizer") or {}).get("normalizers", [])]
+        cuts = [x.get("pattern", {}).get("Regex") for x in (told.get("pre_tokenizer") or {}).get("pretokenizers", [])[:1]]
+        self.ends = None
+        if end and steps == ["NFC", "Replace", "Lowercase"] and cuts == [CUTS]:
+            self.ends = np.zeros(max(told["model"]["vocab"].values()) + 1, dtype=bool)
+            self.ends[[i for t, i in told["model"]["vocab"].items() if t.endswith(end)]] = True
+        self.pieces: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn_pieces(self, new: list[str]) -> None:
+        if len(self.pieces) + len(new) > self.limit:
+            self.pieces.clear()
+        for i in range(0, len(new), 1000):
+            some = new[i : i + 1000]
+            ids = self._ids([" ".join(some)])[0]
+            ends = (4 * np.flatnonzero(self.ends[np.frombuffer(ids, dtype="<u4")]) + 4).tolist()
+            if len(ends) == len(some):
+                self.pieces.update(zip(some, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            else:
+                self.pieces.update(zip(some, self._ids(some), strict=True))
+
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Encodes words not known yet; gives those too long to keep."""
-        new = [w for w in words if MARK not in w] if self.mark is not None else []
-        own = list(words.difference(new)) if len(new) < len(words) else []
-        found = dict(zip(own, self._ids(own), strict=True)) if own else {}
-        for i in range(0, len(new), 1000):
-            ids = self._ids([f" {MARK} ".join(new[i : i + 1000])])[0]
-            ends = [*(4 * np.flatnonzero(np.frombuffer(ids, dtype="<u4") == self.mark)).tolist(), len(ids)]
-            at = 0
-            for w, end in zip(new[i : i + 1000], ends, strict=True):
-                found[w] = ids[at:end]
-                at = end + 4
+        plain = [w for w in words if PLAIN.fullmatch(w)] if self.ends is not None else []
+        rest = list(words.difference(plain)) if len(plain) < len(words) else []
+        found = dict(zip(rest, self._ids(rest), strict=True)) if rest else {}
+        for i in range(0, len(plain), 20_000):
+            some = plain[i : i + 20_000]
+            cut = [PIECE.findall(w.lower()) for w in some]
+            keep = self.pieces
+            new = list(set().union(*cut).difference(keep))
+            if len(keep) + len(new) > self.limit:
+                new = list(set().union(*cut))
+            self._learn_pieces(new)
+            found.update((w, b"".join([self.pieces[p] for p in c])) for w, c in zip(some, cut, strict=True))
         if len(self) + len(found) > self.limit:
             self.clear()
         long = {w: found.pop(w) for w in [w for w in found if len(w) > 48]}
