@@ -1,24 +1,28 @@
 """Best-fit packing of token pieces into sequences.
 
 Documents become pieces of at most `capacity` tokens. Only the histogram of lengths (at most `capacity` numbers) comes
-to the driver: a configuration linear program over it is solved by multiplicative weights whose pricing step is a
-knapsack dynamic program; the solution is rounded down and what is left over is laid out by best fit decreasing. The
-layout is a table of runs (length, ranks from..to -> sequences, place), and the pieces find their place in it by their
-rank within their length. Ranks are prefix sums over hash buckets, so a length that a third of all pieces share is
-never in one task.
+to the driver. There a configuration linear program over it (each configuration is a multiset of lengths that fits in a
+sequence, and all pieces of all lengths have to be covered by as few sequences as possible) is solved by
+multiplicative weights: each length starts with the weight length / capacity, which falls as it gets covered; a
+knapsack dynamic program over the weights prices the configurations, its best value bounds the optimum from below, and
+configurations for the lengths covered least are taken from its table. The solution is rounded to whole sequences, and
+what rounding leaves over is laid out by best fit decreasing. The layout is a table of runs (length, ranks from..to ->
+sequences, place) whose size does not grow with the input, and the pieces find their run by their length and a block of
+ranks. Ranks are prefix sums over hash buckets, so a length that a third of all pieces share is never in one task.
 
 Defined cases: null text is empty and gives one piece with the end id only. Rows are independent, so null and repeated
-doc_ids are packed as they are. An empty table gives an empty table. Extra columns are not read.
+doc_ids are packed as they are. Equal lengths take places in the order of a hash, doc_id and piece. An empty table
+gives an empty table. Extra columns are not read. A document's ids are in memory at once, however long it is.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -135,59 +139,124 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, wi
     return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
 
 
-def price(values: np.ndarray, capacity: int) -> tuple[float, Counter]:
-    """The most valuable configuration: an unbounded knapsack over lengths 1..capacity with these values."""
-    sizes = np.flatnonzero(values > 0)
-    worth = values[sizes]
+def price(sizes: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
+    """For each room up to capacity the largest value of lengths that fit, with at most about `most` of each length."""
     best = np.zeros(capacity + 1)
-    last = np.zeros(capacity + 1, dtype=np.int32)
-    for c in range(1, capacity + 1):
-        n = np.searchsorted(sizes, c, side="right")
-        if n:
-            total = best[c - sizes[:n]] + worth[:n]
-            k = int(total.argmax())
-            if total[k] > best[c - 1]:
-                best[c], last[c] = total[k], sizes[k]
+    for s, v, k in zip(sizes.tolist(), values.tolist(), np.minimum(most, capacity // sizes).astype(int).tolist(), strict=True):
+        while k > 0 and s <= capacity:  # 1, 2, 4 ... pieces at a time
+            np.maximum(best[s:], best[:-s] + v, out=best[s:])
+            s, v, k = 2 * s, 2 * v, k // 2
+    return best
+
+
+def filled(room: int, best: np.ndarray, sizes: np.ndarray, values: np.ndarray) -> Counter:
+    """A most valuable filling of the room, by going back through the table; of equals the longest first."""
+    found = Counter()
+    while True:
+        n = int(np.searchsorted(sizes, room, side="right"))
+        if not n:
+            return found
+        total = (best[room - sizes[:n]] + values[:n])[::-1]
+        s = int(sizes[n - 1 - int(total.argmax())])
+        found[s] += 1
+        room -= s
+
+
+@dataclass
+class Solution:
+    """Amounts by configuration; `bound` is a lower bound of any solution's number of sequences."""
+
+    amounts: dict[tuple, float]
+    bound: float
+
+    def gap(self) -> float:
+        return sum(self.amounts.values()) / self.bound - 1 if self.bound else 0.0
+
+
+def configurations(counts: np.ndarray, capacity: int, leads: tuple = (4.0, 1.0), tolerance: float = 0.003, **how) -> Solution:
+    """The configuration linear program for so many pieces of each length, all but those of full length.
+
+    Solved with each lead until the gap is within the tolerance; the solution with fewest sequences counts.
+    """
+    best = None
+    for lead in leads:
+        found = covered_by(counts, capacity, lead, **how)
+        if best is None or sum(found.amounts.values()) < sum(best.amounts.values()):
+            best = Solution(found.amounts, max(found.bound, best.bound if best else 0.0))
+        if best.gap() <= tolerance:
+            break
+    return best
+
+
+def covered_by(counts: np.ndarray, capacity: int, lead: float, rounds: int = 400, seeds: int = 64, step: float = 0.5, fall: float = 1.0, columns: int = 48) -> Solution:
+    """Multiplicative weights until every length is covered.
+
+    Each round sets the weights, prices all lengths for the bound, and takes a configuration for each of `seeds` lengths:
+    the length and the most valuable filling of the rest of its room by a random draw of `columns` lengths, drawn by the
+    pieces that are left of them (partial pricing). Taken are the lengths covered least, where the longest may be `lead`
+    ahead. A configuration covers at most the share `step` of a length at a time.
+    """
+    sizes = np.flatnonzero(counts[:capacity])
+    need = counts[sizes].astype(float)
+    place = {int(s): i for i, s in enumerate(sizes)}
+    left, bound = need.copy(), float((need * sizes).sum() / capacity)
+    amounts: dict[tuple, float] = {}
+    rng = np.random.default_rng(11)
+    for n in range(rounds):
+        open_ = np.flatnonzero(left > 0)
+        if not len(open_):
+            break
+        covered = 1 - left / need
+        weights = sizes / capacity * np.exp(-fall * (covered - covered[open_].min()))
+        if n % 8 == 0:  # the weights over the best price are feasible duals
+            bound = max(bound, float((need * weights).sum() / price(sizes, weights, need, capacity)[capacity]))
+        order = np.argsort(np.round(covered[open_], 2) - lead * sizes[open_] / capacity, kind="stable")
+        for i in open_[order[:seeds]]:
+            seed, best_config, room = int(sizes[i]), None, capacity + 1
+            if left[i] <= 0:
                 continue
-        best[c] = best[c - 1]
-    found, c = Counter(), capacity
-    while c > 0:
-        if last[c]:
-            found[int(last[c])] += 1
-            c -= int(last[c])
-        else:
-            c -= 1
-    return float(best[capacity]), found
-
-
-def configurations(counts: np.ndarray, capacity: int, rounds: int = 100, step: float = 6.0) -> list[tuple[Counter, int]]:
-    """Whole numbers of sequences by configuration, never using more pieces of a length than there are."""
-    need = counts.astype(float).copy()
-    need[capacity:] = 0  # a full piece is a sequence of its own
-    if need.sum() == 0:
-        return []
-    covered = np.zeros_like(need)
-    chosen: dict[tuple, float] = Counter()
-    for _ in range(rounds):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            done = np.where(need > 0, covered / np.maximum(need, 1e-9), 0.0)
-        values = np.where(need > 0, np.exp(-step * (done - done[need > 0].min())) * np.arange(len(need)), 0.0)
-        _, config = price(values, capacity)
-        amount = min(need[s] / k for s, k in config.items()) / 4
-        chosen[tuple(sorted(config.items()))] += amount
-        for s, k in config.items():
-            covered[s] += k * amount
-    with np.errstate(divide="ignore", invalid="ignore"):
-        most = np.where(need > 0, covered / np.maximum(need, 1e-9), 0.0).max()
-    left = need.copy()
-    out = []
-    for config, amount in sorted(chosen.items(), key=lambda x: -x[1]):
-        whole = math.floor(min([amount / min(most, 1.0) if most else 0.0, *(left[s] / k for s, k in config)]))
-        if whole:
-            out.append((Counter(dict(config)), whole))
+            for _ in range(3):
+                drawn = np.flatnonzero(left > 0)
+                if len(drawn) > columns:
+                    drawn = np.sort(drawn[np.argpartition(rng.exponential(size=len(drawn)) / left[drawn], columns)[:columns]])
+                own, worth = sizes[drawn], weights[drawn]
+                table = price(own, worth, np.ceil(left[drawn] / 8), capacity - seed)
+                config = filled(capacity - seed, table, own, worth)
+                config[seed] += 1
+                free = capacity - sum(s * k for s, k in config.items())
+                if free < room:
+                    best_config, room = config, free
+                if room <= capacity // 1000:
+                    break
+            at = np.array([place[s] for s in best_config])
+            k = np.fromiter(best_config.values(), dtype=float)
+            amount = float((left[at] / k).min())
+            if amount > 1:  # never less than a sequence that there are pieces for
+                amount = max(1.0, min(amount, float((step * need[at] / k).min())))
+            left[at] -= k * amount
+            left[left < 1e-9 * need] = 0.0
+            key = tuple(sorted(best_config.items()))
+            amounts[key] = amounts.get(key, 0.0) + amount
+    return Solution(amounts, bound)
+
+
+def rounded(amounts: dict[tuple, float], counts: np.ndarray, capacity: int) -> list[tuple[Counter, int]]:
+    """Whole numbers of sequences by configuration: rounded down, then up where pieces are left, largest fraction first.
+
+    Configurations that leave a fiftieth of a sequence free or more are left to best fit.
+    """
+    left = counts.copy()
+    full = {c: x + 1e-6 for c, x in amounts.items() if 50 * (capacity - sum(s * k for s, k in c)) < capacity}
+    whole = {c: int(x) for c, x in full.items()}
+    for config, times in whole.items():
+        for s, k in config:
+            left[s] -= k * times
+    for config, x in sorted(full.items(), key=lambda y: y[1] % 1, reverse=True):
+        if x - whole[config] > 1e-3 and all(left[s] >= k for s, k in config):
+            whole[config] += 1
             for s, k in config:
-                left[s] -= k * whole
-    return out
+                left[s] -= k
+    return [(Counter(dict(c)), n) for c, n in whole.items() if n]
 
 
 def layout(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -208,7 +277,7 @@ def layout(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int
 
     if counts[capacity]:
         put(Counter({capacity: 1}), int(counts[capacity]))
-    for config, times in configurations(counts, capacity):
+    for config, times in rounded(configurations(counts, capacity).amounts, counts, capacity):
         put(config, times)
     # best fit decreasing over what rounding left: kinds of open sequences by free room, with their numbers
     room: dict[int, Counter] = {}  # free room -> how many sequences of each content
@@ -254,28 +323,48 @@ def place_pieces(found: DataFrame, capacity: int = 4096) -> DataFrame:
     """found (pieces with `length`) with sequence_id and offset added; the other columns are kept."""
     spark = found.sparkSession
     names = [c for c in found.columns if c not in ("sequence_id", "offset")]
-    rows = saved(found.select(*names).withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS))))
+    spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(BUCKETS))
+    rows = saved(found.select(*names).withColumn("_b", spread))
     counts = rows.groupBy("length", "_b").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = saved(counts.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))))
     histogram = {x["length"]: x["n"] for x in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    runs = layout(histogram, capacity)
-    # bounded by the number of configurations times their lengths, whatever the number of documents
-    table = spark.createDataFrame(runs or [(0,) * 6], "length long, _from long, _to long, _seq long, _copies long, _place long")
-    inner = Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "start")
-    ranked = rows.join(F.broadcast(counts.select("length", "_b", "_before")), ["length", "_b"]).withColumn(
-        "_rank", F.col("_before") + F.row_number().over(inner) - 1
-    )
-    # each run is found by its length and a block of ranks, so a hot length meets only the runs near its rank
-    hit = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    table, widths = blocks(layout(histogram, capacity))
+    inner = Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "start", "ids_crc32")
+    ranked = rows.join(counts.select("length", "_b", "_before"), ["length", "_b"]).withColumn("_rank", F.col("_before") + F.row_number().over(inner) - 1)
+    # a row for each length
+    ranked = ranked.join(F.broadcast(spark.createDataFrame(widths)), "length").withColumn("_block", F.expr("_rank div _width"))
+    # bounded by the number of configurations and of what they leave over, whatever the number of documents; a piece
+    # meets the few runs of its length near its rank
+    hit = ranked.join(F.broadcast(spark.createDataFrame(table)), ["length", "_block"]).where("_rank >= _from and _rank < _to")
     nth = F.col("_rank") - F.col("_from")
     return hit.select(
-        *[ranked[c] for c in names],
+        *names,
         (F.col("_seq") + F.floor(nth / F.col("_copies"))).cast("long").alias("sequence_id"),
-        (F.col("_place") + (nth % F.col("_copies")) * ranked["length"]).cast("long").alias("offset"),
+        (F.col("_place") + (nth % F.col("_copies")) * F.col("length")).cast("long").alias("offset"),
     )
 
 
+def blocks(runs: list[tuple[int, int, int, int, int, int]]) -> tuple[pa.Table, pa.Table]:
+    """The runs once for each block of ranks that they touch, and by length how many ranks a block has.
+
+    A length has about as many blocks as runs, so there are at most about twice as many rows as runs.
+    """
+    x = np.array(runs, dtype=np.int64).reshape(-1, 6)
+    top = int(x[:, 0].max(initial=0)) + 1
+    n, ranks = np.bincount(x[:, 0], minlength=top), np.bincount(x[:, 0], x[:, 2] - x[:, 1], top).astype(np.int64)
+    width = np.maximum(1, -(-ranks // np.maximum(n, 1)))
+    own = width[x[:, 0]]
+    first, last = x[:, 1] // own, (x[:, 2] - 1) // own
+    times = last - first + 1
+    row = np.repeat(np.arange(len(x)), times)
+    block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + first[row]
+    names = ["length", "_from", "_to", "_seq", "_copies", "_place"]
+    table = pa.table([*(x[row, k].copy() for k in range(6)), block], names=[*names, "_block"])
+    used = np.flatnonzero(n)
+    return table, pa.table([used, width[used]], names=["length", "_width"])
+
+
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset) of all pieces of all documents."""
     return place_pieces(pieces(docs, path, capacity, end_id, with_ids), capacity)

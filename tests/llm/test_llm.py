@@ -64,13 +64,21 @@ def test_bpe_round_trip(odd, empty):
     assert bpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
-def test_packing_is_gapless(odd, empty):
+@pytest.mark.parametrize("capacity", [16, 128])
+def test_packing_against_brute_force(spark, odd, empty, capacity):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    rows = packing.pack(odd, path, 128, with_ids=True).collect()
-    assert sum(r["length"] for r in rows) == sum(len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ODD)
+    tok.encode_special_tokens = True
+    want = []
+    for i, t in ODD:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+        for k, at in enumerate(range(0, len(ids), capacity)):
+            cut = ids[at : at + capacity]
+            want.append((-1 if i is None else i, k, at, len(cut), zlib.crc32(np.array(cut, dtype="<u4").tobytes())))
+    rows = packing.pack(odd, path, capacity, with_ids=True).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == sorted(want)
     seqs = {}
     for r in rows:
         assert zlib.crc32(bytes(r["ids"])) == r["ids_crc32"]
@@ -80,17 +88,61 @@ def test_packing_is_gapless(odd, empty):
         for offset, length in sorted(parts):
             assert offset == at
             at += length
-        assert at <= 128
+        assert at <= capacity
+    assert len(seqs) <= sum(x[3] for x in want) / capacity * 1.2 + 1
     assert packing.pack(empty, path).count() == 0
 
 
-def test_layout_is_near_the_bound():
+def test_words_are_encoded_as_by_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, own = Tokenizer.from_file(path), packing.WordIds(path, limit=50)
+    tok.encode_special_tokens = True
+    assert own.ends is not None
+    rng = np.random.default_rng(8)
+    chars = list("aAbÉéß×÷ªµŒ'’ı İ12.,<|>\x1c\x02\u0301 中ñÑsStTdD\n\t")
+    for text in ["", "<|endoftext|> don't DON'T ''s", *("".join(rng.choice(chars, int(rng.integers(1, 40)))) for _ in range(2000))]:
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize(("n", "share"), [(3_000, 0.0), (100_000, 0.9), (3_000_000, 0.9)])
+def test_configurations_lay_out_nearly_all(n, share):
+    rng = np.random.default_rng(0)
+    lengths = np.clip(np.exp(rng.normal(5.3, 0.9, n)).astype(int) + 1, 1, 4096)
+    counts = np.bincount(lengths, minlength=4097)
+    solved = packing.configurations(counts, 4096)
+    assert solved.gap() < 0.005
+    placed = sum(config.total() * times for config, times in packing.rounded(solved.amounts, counts, 4096))
+    assert placed >= share * (n - counts[4096])
+    runs = packing.layout({int(s): int(counts[s]) for s in np.flatnonzero(counts)}, 4096)
+    assert sum(b - a for _, a, b, *_ in runs) == n
+    used = {(q, (b - a) // k) for _, a, b, q, k, _ in runs}
+    assert max(q + m for q, m in used) <= solved.bound * 1.005 + counts[4096] + 2
+    table, widths = packing.blocks(runs)
+    assert table.num_rows <= 2 * len(runs) + 4096
+
+
+def test_layout_covers_every_rank_once():
     rng = np.random.default_rng(0)
-    lengths = rng.integers(1, 200, 3000)
-    runs = packing.layout({int(s): int(n) for s, n in zip(*np.unique(lengths, return_counts=True), strict=True)}, 256)
-    assert sum(b - a for _, a, b, *_ in runs) == 3000
-    used = {s + i for _, a, b, s, k, _ in runs for i in range((b - a) // k)}
-    assert len(used) <= np.ceil(lengths.sum() / 256) * 1.05
+    for lengths in (rng.integers(1, 200, 3000), np.full(500, 7), np.full(10, 256), np.array([256, 1]), np.arange(1, 257)):
+        sizes, times = np.unique(lengths, return_counts=True)
+        runs = packing.layout({int(s): int(n) for s, n in zip(sizes, times, strict=True)}, 256)
+        seen, content = {}, {}
+        for s, a, b, q, k, place in runs:
+            for rank in range(a, b):
+                assert (s, rank) not in seen
+                seen[s, rank] = True
+                content.setdefault(q + (rank - a) // k, []).append((place + (rank - a) % k * s, s))
+        assert len(seen) == len(lengths)
+        for parts in content.values():
+            at = 0
+            for place, s in sorted(parts):
+                assert place == at
+                at += s
+            assert at <= 256
+        assert len(content) <= np.ceil(lengths.sum() / 256) * 1.05 + 1
+    assert packing.layout({}, 256) == []
 
 
 def test_toxicity_learns(spark, empty):
