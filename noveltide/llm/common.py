@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 #: The ASCII white space of the word contracts; also what bytes.split() and bytes.strip() use.
 SPACE = b" \t\n\x0b\x0c\r"
 U64 = np.uint64
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,14 +32,19 @@ def saved(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # what was shuffled for the table is not needed once it is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back.saved_path = path
     return back
 
 
 def forget(df: DataFrame) -> None:
-    """Deletes the files of a saved() table; only for tables whose every user has itself been saved."""
+    """Deletes the files of a saved() or components() table; only where every user has itself been saved."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_path)
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -143,8 +149,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "u").select(
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
         )
-        e = saved(small.select("col.*").where("u <> v").distinct())
+        before, e = e, saved(small.select("col.*").where("u <> v").distinct())
+        forget(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+            found = e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+            found.saved_path = e.saved_path
+            return found
         mark = now

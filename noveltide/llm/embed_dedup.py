@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_arrow, saved
+from .common import components, forget, map_arrow, saved
 
 
 def fold_keys(vectors: DataFrame) -> DataFrame:
@@ -151,6 +151,7 @@ def near_vectors(
     found = saved(
         pairs.groupBy(*cell, "b1", "b2").applyInPandas(lambda pdf: compare(pdf, threshold), "rep long, links long, root long")
     )
+    forget(indexed)
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     reps = folded.select(*key, "rep", "weight").join(linked, "rep", "left").join(groups.withColumnRenamed("id", "rep"), "rep", "left")

@@ -166,8 +166,9 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     nodes = saved(nodes)
     forget(whole)
     cells = nodes.select(F.explode("tokens").alias("token"), "node")
-    common = cells.groupBy("token").agg(F.count("*").alias("seen")).where("seen > 1").select("token")
+    common = saved(cells.groupBy("token").agg(F.count("*").alias("seen")).where("seen > 1").select("token"))
     matrix = saved(cells.join(common, "token"))  # tokens of at least two different sets
+    forget(common)
     anchor = matrix.groupBy("node").agg(F.min("token").alias("anchor"))
     holder = saved(nodes.select("node", "doc_id", "n").join(anchor, "node"))
     forget(nodes)
@@ -182,6 +183,7 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
 
     sets = map_arrow(texts, sets_of, "node long, shingles binary").dropDuplicates(["node"])
     sets = saved(sets.join(groups, "node"))
+    forget(holder)
     held = saved(matrix.join(groups.drop("n"), "node"))
     forget(matrix)
     # the group with most tokens stands first: a family then meets in one group and not in one for each token
@@ -190,25 +192,33 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     star = held.select("token", "node").join(first, "token").select(F.col("top.grp").alias("grp"), "node")
     asked = saved(star.union(groups.select("grp", "node")).distinct())
     edges = saved(_links(sets, asked, percent))
+    forget(asked)
     parts = components(edges)
     # round two: tokens whose nodes are still in different components, in groups by the commonest such token of a node
     state = held.select("token", "node").join(parts.withColumnRenamed("id", "node"), "node", "left")
     state = state.select("token", "node", F.coalesce("component_id", "node").alias("part"))
     mixed = state.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("seen")).where("low <> high")
     state = saved(state.join(mixed.select("token", "seen"), "token"))
+    forget(held)
+    forget(parts)
     home = state.groupBy("node").agg(F.max(F.struct("seen", "token")).alias("top")).join(groups.select("node", "n"), "node")
-    groups = saved(_groups(home.select("node", "n", F.col("top.token").alias("anchor")), 4 * GROUP))
+    first_groups, groups = groups, saved(_groups(home.select("node", "n", F.col("top.token").alias("anchor")), 4 * GROUP))
     first_sets, sets = sets, saved(sets.select("node", "shingles").join(groups, "node"))
+    forget(first_groups)
     forget(first_sets)
     spans = saved(state.join(groups, "node").groupBy("token", "grp").agg(F.min("part").alias("low"), F.max("part").alias("high")))
+    forget(state)
     x, y = spans.alias("x"), spans.alias("y")
     apart = F.least("x.low", "y.low") != F.greatest("x.high", "y.high")
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") <= F.col("y.grp")) & apart)
     pairs = pairs.select(F.col("x.grp").alias("opened"), F.col("y.grp").alias("grp")).distinct()
     more = saved(pairs.join(groups, "grp").select(F.col("opened").alias("grp"), "node"))
-    edges = edges.union(_links(sets, more, percent))
-    parts = components(edges)
-    forget(sets)
+    later = saved(_links(sets, more, percent))
+    for spent in (sets, more, spans, groups):
+        forget(spent)
+    parts = components(edges.union(later))
+    forget(edges)
+    forget(later)
     nodes = found.select("doc_id", "n_shingles", "node").join(parts.withColumnRenamed("id", "node"), "node", "left")
     nodes = nodes.withColumn("part", F.coalesce("component_id", "node")).drop("component_id")
     least = nodes.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("least"))

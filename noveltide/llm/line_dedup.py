@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, as_bytes, free_name, map_arrow, saved, slices
+from .common import SPACE, as_bytes, forget, free_name, map_arrow, saved, slices
 
 RECORD = "h1 long, h2 long, doc_id long, text_key long, pos int"
 
@@ -121,6 +121,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
     records = saved(line_records(docs, min_chars))
     ranged = records.repartitionByRange(*order).sortWithinPartitions(*order)
     found = saved(ranged.mapInArrow(_stream(min_docs), RECORD + ", is_open boolean"))
+    forget(records)
     edge = found.where("is_open")
     # at most three runs a range are open, so this holds at most three times as many keys as there are partitions
     verdict = (

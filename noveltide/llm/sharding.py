@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 
 BUCKETS = 1024
 
@@ -44,6 +44,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4) -> DataF
         "shard", F.when(F.col("members").isNotNull(), F.pmod(F.xxhash64("r", F.lit(2)), F.lit(shards)).cast("int"))
     )
     state = saved(state)
+    forget(rows)
     total = state.agg(F.sum("size")).first()[0] or 0
     target = total / shards
     for step in range(rounds):
@@ -69,7 +70,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4) -> DataF
         moves = moves.join(F.broadcast(grant), ["goal", "ask_bucket"], "left")  # at most shards * BUCKETS rows
         coin = F.pmod(F.xxhash64("r", F.lit(100 + step)), F.lit(1_000_003)) / F.lit(1_000_003.0)
         goes = F.col("shard").isNotNull() & (F.col("shard") != F.col("goal")) & (coin < F.coalesce("share", F.lit(0.0)))
-        state = saved(moves.withColumn("shard", F.when(goes, F.col("goal")).otherwise(F.col("shard"))).select(*state.columns))
+        before, state = state, saved(moves.withColumn("shard", F.when(goes, F.col("goal")).otherwise(F.col("shard"))).select(*state.columns))
+        forget(before)
     return _slots(_even_out(state, shards, total))
 
 

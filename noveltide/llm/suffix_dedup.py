@@ -462,6 +462,7 @@ def dedup_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     chunks = pack_chunks(docs).repartition(parts, "chunk_id").write.bucketBy(parts, "chunk_id").sortBy("chunk_id")
     chunks.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     chunks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # only the name goes: the files are in a folder of their own
     sent = chunks.mapInArrow(_emit_anchors(length, buckets), "bucket int, chunk_id long, found binary")
     answers = sent.groupBy("bucket").applyInArrow(_answer_anchors, "chunk_id long, bucket int, bits binary")
     answers = answers.groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
