@@ -4,8 +4,9 @@ Equal vectors of a label are first folded into one with a count, so copies cost
 on at most `sample` folded vectors; every vector is then indexed, in the cell of its nearest centroid and in those
 cells that a partner could have as its nearest: for partners at the threshold, at most chord * |c - c'| may separate
 the two products, of which `slack` is allowed for (1.0 would make the search exact). A pair is counted in the smallest
-cell that it shares. Cells above `block` vectors are split into blocks by hash, and a task compares one pair of blocks
-of one cell; it returns sums of links and a spanning forest, never all pairs.
+cell that it shares. There is a cell for about `cell_rows` vectors of a label, up to a quarter of the sample; beyond that
+cells grow, and nothing is left out: cells above `block` vectors are split into blocks by hash, and a task compares one
+pair of blocks of one cell; it returns sums of links and a spanning forest, never all pairs.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and null labels or vec_ids,
 link with nothing; vectors of different length never link. Repeated vec_ids count as vectors of their own. A null
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import components, forget, map_arrow, saved
 
+ROWS = 256  # vectors whose products with all centroids are in memory at once
+
 
 def fold_keys(vectors: DataFrame) -> DataFrame:
     """(vec_id, label, embedding, size, k1, k2): vectors fit for comparison, with a 128-bit hash of their components."""
@@ -50,9 +53,10 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarr
     rng = np.random.default_rng(seed)
     c = x[rng.choice(len(x), size=min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = (x @ c.T).argmax(axis=1)
         total = np.zeros_like(c)
-        np.add.at(total, near, x)
+        for at in range(0, len(x), ROWS):
+            part = x[at : at + ROWS]
+            np.add.at(total, (part @ c.T).argmax(axis=1), part)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
         c = np.where(norm > 0, total / np.maximum(norm, 1e-300), c)
     return c
@@ -60,11 +64,14 @@ def centroids(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarr
 
 def cells_of(x: np.ndarray, c: np.ndarray, chord: float, slack: float) -> list[list[int]]:
     """For unit rows the cell of the nearest centroid and those that a partner's nearest could be, sorted."""
-    products = x @ c.T
-    home = products.argmax(axis=1)
-    apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))
-    inside = products >= products[np.arange(len(x)), home][:, None] - slack * chord * apart[home]
-    return [np.flatnonzero(r).tolist() for r in inside]
+    found = []
+    for at in range(0, len(x), ROWS):
+        products = x[at : at + ROWS] @ c.T
+        home = products.argmax(axis=1)
+        apart = np.sqrt(np.maximum(2 - 2 * (c[home] @ c.T), 0))
+        inside = products >= products[np.arange(len(home)), home][:, None] - slack * chord * apart
+        found += [np.flatnonzero(r).tolist() for r in inside]
+    return found
 
 
 def compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -73,26 +80,25 @@ def compare(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     x = np.array(pdf["embedding"].tolist(), dtype=np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     ids, weight = pdf["rep"].to_numpy(), pdf["weight"].to_numpy()
-    most = max(map(len, pdf["cells"]))
-    lists = np.full((len(pdf), most), -1)
-    for i, cells in enumerate(pdf["cells"]):
-        lists[i, : len(cells)] = cells
+    # smaller cells that two of the vectors at least are in: a pair that shares one is counted there
     cell = pdf["cell"].iat[0]
+    size = [len(v) for v in pdf["cells"]]
+    owner, flat = np.repeat(np.arange(len(pdf)), size), np.concatenate([np.asarray(v) for v in pdf["cells"]])
+    owner, flat = owner[flat < cell], flat[flat < cell]
+    names, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    member = np.zeros((len(pdf), len(names)), dtype=np.float32)
+    member[owner, column] = 1
+    member = member[:, times > 1]
     left = np.arange(len(pdf)) if one else np.flatnonzero(pdf["block"].to_numpy() == pdf["b1"].to_numpy())
     right = left if one else np.flatnonzero(pdf["block"].to_numpy() == pdf["b2"].to_numpy())
     links = np.zeros(len(pdf), dtype=np.int64)
     root = np.arange(len(pdf))
     for at in range(0, len(left), 256):
         rows = left[at : at + 256]
-        i, j = np.nonzero(x[rows] @ x[right].T >= threshold)
+        i, j = np.nonzero((x[rows] @ x[right].T >= threshold) & (member[rows] @ member[right].T == 0))
         i, j = rows[i], right[j]
         if one:
             i, j = i[i < j], j[i < j]
-        # only in the smallest cell that both are in
-        a, b = lists[i], lists[j]
-        lower = np.where((a[:, :, None] == b[:, None, :]) & (a[:, :, None] >= 0), a[:, :, None], np.iinfo(np.int64).max)
-        first = lower.reshape(len(i), -1).min(axis=1) == cell if len(i) else np.zeros(0, dtype=bool)
-        i, j = i[first], j[first]
         np.add.at(links, i, weight[j])
         np.add.at(links, j, weight[i])
         while True:  # smallest root of both ends, until nothing moves
@@ -118,26 +124,25 @@ def near_vectors(
     folded = saved(rows.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")))
     spark = vectors.sparkSession
     n, groups = folded.agg(F.count("*"), F.count_distinct("label", "size")).first()
-    k = int(max(1, min(1024, n / max(groups, 1) / cell_rows)))
+    k = int(max(1, min(sample // 4, n / max(groups, 1) / cell_rows)))
     tables = {}
     if k > 1:
         some = folded.orderBy(F.xxhash64("k1", "k2"), "rep").limit(sample).select("size", "embedding").toPandas()
         for size, part in some.groupby("size"):
             x = np.array(part["embedding"].tolist())
             tables[size] = centroids(x / np.linalg.norm(x, axis=1, keepdims=True), k)
-    shared = spark.sparkContext.broadcast(tables)  # at most 1024 centroids for each vector length
+    shared = spark.sparkContext.broadcast(tables)  # at most sample / 4 centroids for each vector length
     chord = float(np.sqrt(2 - 2 * threshold))
 
     def index(part):
-        sizes, found = part["size"].to_pylist(), []
-        lists = part["embedding"].to_pylist()
-        for size, v in zip(sizes, lists, strict=True):
-            c = shared.value.get(size)
-            if c is None:
-                found.append([0])
-            else:
-                x = np.array([v])
-                found.append(cells_of(x / np.linalg.norm(x), c, chord, slack)[0])
+        sizes, lists = part["size"].to_numpy(), part["embedding"].to_pylist()
+        found = [[0]] * len(lists)
+        for size in np.unique(sizes):
+            c, rows = shared.value.get(int(size)), np.flatnonzero(sizes == size)
+            if c is not None:
+                x = np.array([lists[i] for i in rows])
+                for i, cells in zip(rows, cells_of(x / np.linalg.norm(x, axis=1, keepdims=True), c, chord, slack), strict=True):
+                    found[i] = cells
         return part["rep"], part["weight"], part["label"], part["size"], part["embedding"], pa.array(found, pa.list_(pa.int32()))
 
     schema = "rep long, weight long, label long, size int, embedding array<double>, cells array<int>"
