@@ -89,7 +89,7 @@ def part_tokens(shingles: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, node, tokens) of every row; node is null where nothing can link."""
+    """(doc_id, text_key, n_shingles, node, tokens) of every row; node is null where nothing can link."""
     hashes = WordHashes()
 
     def run(part):
@@ -106,9 +106,10 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 lengths.append(lengths[-1])
         flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, dtype=np.int64)
         lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat))
-        return part["doc_id"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists
+        return part["doc_id"], part["text_key"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, node long, tokens array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    return map_arrow(rows, run, "doc_id long, text_key long, n_shingles long, node long, tokens array<long>")
 
 
 def open_group(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -154,7 +155,11 @@ def open_group(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id): components of documents with Jaccard similarity of at least percent / 100."""
+    """(doc_id, n_shingles, component_id, text_key, group_key) of every row: components of Jaccard similarity percent / 100.
+
+    component_id is the smallest doc_id of the component. Where doc_ids repeat with different texts, rows are told apart
+    by doc_id and text_key (xxhash64 of the text), and components by group_key (null for rows that have no set).
+    """
     if not 72 <= percent <= 100:
         raise ValueError("percent must be from 72 to 100")
     whole = saved(signatures(docs, width, percent))
@@ -219,10 +224,11 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     parts = components(edges.union(later))
     forget(edges)
     forget(later)
-    nodes = found.select("doc_id", "n_shingles", "node").join(parts.withColumnRenamed("id", "node"), "node", "left")
+    nodes = found.join(parts.withColumnRenamed("id", "node"), "node", "left")
     nodes = nodes.withColumn("part", F.coalesce("component_id", "node")).drop("component_id")
     least = nodes.where("part is not null").groupBy("part").agg(F.min("doc_id").alias("least"))
-    return nodes.join(least, "part", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    nodes = nodes.join(least, "part", "left")
+    return nodes.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "text_key", F.col("part").alias("group_key"))
 
 
 def _likely(texts: DataFrame, holder: DataFrame) -> DataFrame:

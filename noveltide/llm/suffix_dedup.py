@@ -95,8 +95,8 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 class Chunk:
     """The documents of a chunk and the stretches of their windows with one anchor."""
 
-    def __init__(self, ids: bytes, known: bytes, sizes: bytes, text: bytes, length: int):
-        self.ids = np.frombuffer(ids, dtype="<i8")
+    def __init__(self, ids: bytes, keys: bytes, known: bytes, sizes: bytes, text: bytes, length: int):
+        self.ids, self.keys = np.frombuffer(ids, dtype="<i8"), np.frombuffer(keys, dtype="<i8")
         self.known = np.frombuffer(known, dtype=np.uint8).astype(bool)
         self.sizes = np.frombuffer(sizes, dtype="<i8")
         self.starts = np.cumsum(self.sizes) - self.sizes
@@ -157,13 +157,13 @@ def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def pack_chunks(docs: DataFrame) -> DataFrame:
-    """(chunk_id, ids, known, sizes, texts): rows of about CHUNK bytes, in the order of the input's partitions."""
+    """(chunk_id, ids, keys, known, sizes, texts): rows of about CHUNK bytes, in the order of the input's partitions."""
 
     def run(batches):
         from pyspark import TaskContext
 
         task, n = TaskContext.get().partitionId(), 0
-        ids, texts, size = [], [], 0
+        ids, keys, texts, size = [], [], [], 0
 
         def flush():
             nonlocal n
@@ -171,35 +171,37 @@ def pack_chunks(docs: DataFrame) -> DataFrame:
             row = (
                 (task << 32) + n,
                 np.array([i or 0 for i in ids], dtype="<i8").tobytes(),
+                np.array(keys, dtype="<i8").tobytes(),
                 known.tobytes(),
                 np.array([len(t) for t in texts], dtype="<i8").tobytes(),
                 zstandard.compress(b"".join(texts), 1),
             )
             n += 1
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["chunk_id", "ids", "known", "sizes", "texts"])
+            kinds = (pa.int64(), *[pa.binary()] * 5)
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=["chunk_id", "ids", "keys", "known", "sizes", "texts"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                for i, t in zip(part["doc_id"].to_pylist(), as_bytes(part["text"]), strict=True):
+                for i, k, t in zip(part["doc_id"].to_pylist(), part["text_key"].to_pylist(), as_bytes(part["text"]), strict=True):
                     ids.append(i)
+                    keys.append(k)
                     texts.append(t)
                     size += len(t) + 8
                     if size >= CHUNK:
                         yield flush()
-                        ids, texts, size = [], [], 0
+                        ids, keys, texts, size = [], [], [], 0
         if ids:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "chunk_id long, ids binary, known binary, sizes binary, texts binary")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "chunk_id long, ids binary, keys binary, known binary, sizes binary, texts binary")
 
 
 def _chunks(part: pa.RecordBatch, length: int):
     for i in range(part.num_rows):
-        row = {c: part[c][i].as_py() for c in ("chunk_id", "ids", "known", "sizes", "texts")}
-        yield i, row["chunk_id"], Chunk(row["ids"], row["known"], row["sizes"], row["texts"], length)
+        row = {c: part[c][i].as_py() for c in ("chunk_id", "ids", "keys", "known", "sizes", "texts")}
+        yield i, row["chunk_id"], Chunk(row["ids"], row["keys"], row["known"], row["sizes"], row["texts"], length)
 
 
 def _rows(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
@@ -443,15 +445,18 @@ def _drop(length: int, buckets: int):
                 kept = [chunk.text[x:y][~gone[x:y]].tobytes() for x, y in zip(a, b, strict=True)]
                 ids = pa.array(chunk.ids, mask=~chunk.known)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(chunk.sizes), pa.array(total[b] - total[a]), pa.array(spans[b] - spans[a]), pa.array(kept, pa.binary())],
-                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+                    [ids, pa.array(chunk.sizes), pa.array(total[b] - total[a]), pa.array(spans[b] - spans[a]), pa.array(kept, pa.binary()), pa.array(chunk.keys)],
+                    names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text_key"],
                 )
 
     return run
 
 
 def dedup_passages(docs: DataFrame, length: int = 50) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): kept is what stays of the text's bytes (binary), for every row."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept, text_key) for every row: kept is what stays of the text's bytes (binary).
+
+    text_key is xxhash64 of the text; rows of one doc_id and text have the same result.
+    """
     if not GRAM + 2 <= length <= GRAM + 31:
         raise ValueError(f"length must be from {GRAM + 2} to {GRAM + 31}")
     spark = docs.sparkSession
@@ -473,4 +478,4 @@ def dedup_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     verdicts = strings.groupBy("bucket").applyInArrow(_answer_strings(length), "chunk_id long, place binary, masks binary")
     verdicts = verdicts.groupBy("chunk_id").agg(F.collect_list(F.struct("place", "masks")).alias("verdicts"))
     judged = told.join(verdicts, "chunk_id", "left")
-    return judged.mapInArrow(_drop(length, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return judged.mapInArrow(_drop(length, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text_key long")

@@ -305,6 +305,26 @@ def test_sharding(odd, empty):
     assert sharding.shard_documents(empty).count() == 0
 
 
+def shingles(t, width):
+    w = words(t)
+    k = min(width, len(w))
+    return {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
+
+
+def brute_components(sets, percent):
+    """For each set the number of the first set in its component."""
+    head = list(range(len(sets)))
+    links = [(a, b) for a in head for b in range(a) if sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(head[a], head[b])
+            changed |= head[a] != low or head[b] != low
+            head[a] = head[b] = low
+    return head
+
+
 @pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
 def test_jaccard_against_brute_force(spark, odd, empty, width, percent):
     rng = np.random.default_rng(width)
@@ -316,22 +336,11 @@ def test_jaccard_against_brute_force(spark, odd, empty, width, percent):
             for _ in range(int(rng.integers(0, 3))):
                 copy[int(rng.integers(len(copy)))] = f"z{k}"
             docs.append((100 + f * 10 + k, " ".join(copy)))
-    sets = {}
-    for i, t in docs:
-        w = words(t)
-        k = min(width, len(w))
-        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} if w else set()
-    head = {i: i for i in sets}
-    changed = True
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
-    while changed:
-        changed = False
-        for a, b in links:
-            low = min(head[a], head[b])
-            changed |= head[a] != low or head[b] != low
-            head[a] = head[b] = low
+    sets = [shingles(t, width) for _, t in docs]
+    head = brute_components(sets, percent)
+    want = sorted((i, len(s), min(docs[k][0] for k in range(len(docs)) if head[k] == h)) for (i, _), s, h in zip(docs, sets, head, strict=True))
     got = jaccard.similar_documents(spark.createDataFrame(docs, "doc_id long, text string"), width, percent).collect()
-    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(i, len(sets[i]), head[i]) for i in sets}
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
     assert jaccard.similar_documents(odd, width, percent).count() == len(ODD)
     assert jaccard.similar_documents(empty, width, percent).count() == 0
 
@@ -394,16 +403,3 @@ def test_quality_statistics_and_signs(spark, odd, empty):
     assert quality.assess(odd, None).count() == len(ODD)
     assert quality.assess(empty, None).count() == 0
     assert quality.keep_good(odd, None).columns == odd.columns
-
-
-def test_pipeline_stages(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    d = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    columns, before = docs.columns, docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.saved(stage(spark, docs, d))
-        assert docs.columns == columns, name
-        assert 0 < docs.count() <= before
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, d)
-    assert packed.select("doc_id").distinct().count() == docs.count()
