@@ -415,7 +415,7 @@ def _answer_strings(length: int):
     return run
 
 
-def _drop(length: int, buckets: int):
+def _drop(length: int, buckets: int, as_text: bool):
     def run(batches):
         for batch in batches:
             for i, _, chunk in _chunks(batch, length):
@@ -444,17 +444,19 @@ def _drop(length: int, buckets: int):
                 a, b = chunk.starts, chunk.starts + chunk.sizes
                 kept = [chunk.text[x:y][~gone[x:y]].tobytes() for x, y in zip(a, b, strict=True)]
                 ids = pa.array(chunk.ids, mask=~chunk.known)
+                left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(chunk.sizes), pa.array(total[b] - total[a]), pa.array(spans[b] - spans[a]), pa.array(kept, pa.binary()), pa.array(chunk.keys)],
+                    [ids, pa.array(chunk.sizes), pa.array(total[b] - total[a]), pa.array(spans[b] - spans[a]), left, pa.array(chunk.keys)],
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text_key"],
                 )
 
     return run
 
 
-def dedup_passages(docs: DataFrame, length: int = 50) -> DataFrame:
+def dedup_passages(docs: DataFrame, length: int = 50, as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, text_key) for every row: kept is what stays of the text's bytes (binary).
 
+    With as_text kept is a string, and characters of which a byte went go whole.
     text_key is xxhash64 of the text; rows of one doc_id and text have the same result.
     """
     if not GRAM + 2 <= length <= GRAM + 31:
@@ -478,4 +480,5 @@ def dedup_passages(docs: DataFrame, length: int = 50) -> DataFrame:
     verdicts = strings.groupBy("bucket").applyInArrow(_answer_strings(length), "chunk_id long, place binary, masks binary")
     verdicts = verdicts.groupBy("chunk_id").agg(F.collect_list(F.struct("place", "masks")).alias("verdicts"))
     judged = told.join(verdicts, "chunk_id", "left")
-    return judged.mapInArrow(_drop(length, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text_key long")
+    kept = "string" if as_text else "binary"
+    return judged.mapInArrow(_drop(length, buckets, as_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kept}, text_key long")
