@@ -58,10 +58,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Null texts stay null. Rows with a null doc_id take no part. Rows of one doc_id do not cut each other.
     """
-    found = suffix_dedup.dedup_passages(docs.where("doc_id is not null").select("doc_id", "text"), 50)
-    whole = F.expr("try_validate_utf8(cast(kept as string))")
+    found = suffix_dedup.dedup_passages(docs.where("doc_id is not null").select("doc_id", "text"), 50, as_text=True)
     doc, key, text = (free_name(docs.columns, x) for x in ("_id", "_key", "_text"))
-    cut = found.where("n_removed > 0").select("doc_id", "text_key", F.coalesce(whole, _repair("kept")))
+    cut = found.where("n_removed > 0").select("doc_id", "text_key", "kept")
     cut = cut.dropDuplicates(["doc_id", "text_key"]).toDF(doc, key, text)
     rest = docs.join(cut, (docs["doc_id"].cast("long") == F.col(doc)) & (F.xxhash64(docs["text"]) == F.col(key)), "left")
     return _with_text(rest, F.coalesce(F.col(text), docs["text"]), docs.columns)
@@ -82,14 +81,6 @@ def _with_text(df: DataFrame, text, columns: list[str]) -> DataFrame:
     return df.select(*[text.alias(c) if c == "text" else length.alias(c) if c == "n_chars" else F.col(c) for c in columns])
 
 
-def _repair(column: str):
-    @F.pandas_udf("string")
-    def valid(raw):
-        return raw.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
-
-    return valid(column)
-
-
 STAGES = [
     ("quality rules", quality_rules),
     ("line dedup", line_duplicates),
