@@ -6,10 +6,11 @@
    equal anchors. The distinct anchors of a chunk go to buckets as packed hashes; the buckets answer with one bit an
    anchor: held by another document, or not. Only those go on.
 3. The stretches of text whose windows share such an anchor (at most 2 * length - GRAM bytes) go to buckets by anchor,
-   each different stretch of a chunk once, with its smallest doc_id. Equal stretches are one string there. Strings of
-   one anchor that differ get a suffix array and its Burrows-Wheeler transform; breadth-first backward extension of
-   its intervals finds the common prefixes by increasing length and stops at `length`: what is still in one interval
-   then shares `length` bytes. Windows that start in a smaller document are flagged, one bit a window.
+   each different stretch of a chunk once, with its smallest doc_id. Stretches with one hash are one string there, and it
+   goes into a suffix array once for its smallest document and once for all others. On its Burrows-Wheeler transform,
+   breadth-first backward extension of intervals finds the common prefixes by increasing value and stops at `length`:
+   what is still in one interval then shares `length` bytes. Windows that start in a smaller document are flagged, one
+   bit a window.
 4. The flags return to their chunks, where the covered bytes are dropped.
 
 What moves is bounded per chunk and bucket, hot passages are folded in their chunk first, and no text but the
@@ -137,11 +138,12 @@ class Chunk:
         np.maximum.at(high, inverse, ids)
         return unique, inverse, low != high
 
-    def picked(self, unique: np.ndarray, inverse: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Different stretches with a flagged anchor: one place each, the smallest doc_id, and the stretch -> string map."""
+    def picked(self, unique: np.ndarray, inverse: np.ndarray, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Different stretches with a flagged anchor: one place each, of the smallest doc_id, the stretch -> string map, and
+        whether another document of the chunk has the string."""
         some = np.flatnonzero(flags[inverse]) if len(inverse) else np.zeros(0, dtype=np.int64)
         if not len(some):
-            return some, some, some
+            return some, some, some, some.astype(bool)
         first = self.first[some]
         key = span_keys(self.text, first, first + self.count[some] + self.length - 1)
         order = np.lexsort((self.ids[self.doc[some]], key))
@@ -149,7 +151,10 @@ class Chunk:
         fresh[1:] = key[order][1:] != key[order][:-1]
         string = np.empty(len(some), dtype=np.int64)
         string[order] = np.cumsum(fresh) - 1
-        return some, order[fresh], string
+        ids = self.ids[self.doc[some]]
+        several = np.zeros(int(fresh.sum()), dtype=bool)
+        several[string[ids > ids[order[fresh]][string]]] = True
+        return some, order[fresh], string, several
 
 
 def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
@@ -268,13 +273,13 @@ def _emit_strings(length: int, buckets: int):
         for batch in batches:
             for i, chunk_id, chunk in _chunks(batch, length):
                 answers = [(x["bucket"], x["bits"]) for x in batch["answers"][i].as_py() or []]
-                some, chosen, _ = chunk.picked(*_flags(chunk, answers, buckets))
+                some, chosen, _, several = chunk.picked(*_flags(chunk, answers, buckets))
                 if not len(chosen):
                     continue
                 rows = some[chosen]
                 gram = chunk.gram[rows]
                 bucket = bucket_of(mix(gram), buckets)
-                out = {"bucket": [], "chunk_id": [], "place": [], "docs": [], "grams": [], "counts": [], "strings": []}
+                out = {"bucket": [], "chunk_id": [], "place": [], "docs": [], "several": [], "grams": [], "counts": [], "strings": []}
                 for b in np.unique(bucket):
                     own = np.flatnonzero(bucket == b)
                     spans = [chunk.stretch(int(r)) for r in rows[own]]
@@ -283,61 +288,86 @@ def _emit_strings(length: int, buckets: int):
                     out["chunk_id"].append(chunk_id)
                     out["place"].append(own.astype("<i4").tobytes())
                     out["docs"].append(chunk.ids[chunk.doc[rows[own]]].astype("<i8").tobytes())
+                    out["several"].append(several[own].astype(np.uint8).tobytes())
                     out["grams"].append(gram[own].astype("<u8").tobytes())
                     out["counts"].append(chunk.count[rows[own]].astype(np.uint8).tobytes())
                     out["strings"].append(zstandard.compress(text, 1))
-                kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 5)
+                kinds = (pa.int32(), pa.int64(), *[pa.binary()] * 6)
                 yield _rows({c: (v, k) for (c, v), k in zip(out.items(), kinds, strict=True)})
 
     return run
 
 
+PACKED = 7  # symbols of nine bits in the first key of suffix_order
+
+
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix array of an integer array, ordered by at least `depth` symbols (by doubling)."""
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    have = 1
-    order = np.argsort(rank, kind="stable")
-    while have < depth:
-        after = np.zeros(len(rank), dtype=np.int64)
-        after[: len(rank) - have] = rank[have:] + 1
-        key = rank * (len(rank) + 1) + after
+    """Suffix array of an array of numbers below 512, ordered by at least `depth` symbols (by doubling)."""
+    n = len(symbols)
+    key = np.zeros(n, dtype=np.int64)
+    for k in range(PACKED):
+        key <<= 9
+        key[: max(n - k, 0)] |= symbols[k:] + 1 if k else symbols + 1
+    have, rank = PACKED, np.empty(n, dtype=np.int64)
+    while True:
         order = np.argsort(key, kind="stable")
-        new = np.empty(len(rank), dtype=np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
-        rank = new
+        rank[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
+        if have >= depth or rank[order[-1]] == n - 1:
+            return order
+        after = np.zeros(n, dtype=np.int64)
+        after[: max(n - have, 0)] = rank[have:] + 1
+        key = rank * (n + 1) + after
         have *= 2
-        if rank[order[-1]] == len(rank) - 1:
-            break
-    return order
+
+
+def transform(symbols: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The Burrows-Wheeler transform (the symbol before each suffix) and, for each row, how many symbols stand before its own.
+
+    That is the count of smaller symbols plus the rank of the row among the rows of its symbol: where a row of the
+    interval of x lies in the interval of c x, when c is its symbol.
+    """
+    before = symbols[order - 1]
+    by_symbol = np.argsort(before.astype(np.uint16), kind="stable")
+    onto = np.empty(len(order), dtype=np.int64)
+    onto[by_symbol] = np.arange(len(order))
+    return before, onto
 
 
 def equal_prefixes(symbols: np.ndarray, length: int) -> np.ndarray:
-    """For each suffix the number of its interval of suffixes with the same first `length` symbols.
+    """For each suffix the number of its interval of suffixes with the same first `length` symbols, none of them 0.
 
-    Works on the Burrows-Wheeler transform. Level by level, an interval of common prefix x is extended backwards by a
-    symbol c to the interval of c x; its borders are where the rows one symbol on lie in different intervals. A border
-    first seen at level l separates suffixes with l - 1 symbols in common, so the common prefixes come out by rising
-    value; borders found stay found, and only the rows still undecided are looked at again, up to `length`.
+    Breadth-first over the transform: the queue holds the intervals of strings of one length, at first the one of the
+    empty string. Each interval is extended backwards by every symbol in it but 0, the separator. Where the right border
+    of an extension is not known yet, the suffixes at its sides have exactly `level` symbols in common, and the extension
+    enters the queue. So common prefixes come out by rising value, and those still unknown when the strings have
+    `length` symbols are `length` or more: there the search stops.
     """
     order = suffix_order(symbols, length)
     n = len(order)
-    row = np.empty(n, dtype=np.int64)
-    row[order] = np.arange(n)
-    onward = row[(order + 1) % n]  # row -> row of the suffix one symbol shorter: the transform's last-to-first map, undone
-    border = np.ones(n, dtype=bool)
-    head = symbols[order]
-    border[1:] = head[1:] != head[:-1]
-    open_rows = np.flatnonzero(~border)
-    for _ in range(length - 1):
-        if not len(open_rows):
+    before, onto = transform(symbols, order)
+    border = np.zeros(n + 1, dtype=bool)
+    border[0] = border[n] = True
+    low, high = np.zeros(1, dtype=np.int64), np.full(1, n, dtype=np.int64)
+    for _ in range(length):
+        width = high - low
+        if not len(width):
             break
-        group = np.cumsum(border)
-        found = group[onward[open_rows]] != group[onward[open_rows - 1]]
-        border = border.copy()
-        border[open_rows[found]] = True
-        open_rows = open_rows[~found]
+        rows = np.repeat(low - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
+        of = np.repeat(np.arange(len(width)), width)
+        inner = before[rows] > 0
+        rows, of = rows[inner], of[inner]
+        place, symbol = onto[rows], before[rows]
+        # the rows of an interval with one symbol go to one run of places
+        by_place = np.argsort(place)
+        place, of, symbol = place[by_place], of[by_place], symbol[by_place]
+        ends = np.flatnonzero(np.concatenate([(of[1:] != of[:-1]) | (symbol[1:] != symbol[:-1]), [True]])) if len(of) else of
+        right = place[ends] + 1
+        left = place[np.concatenate([[0], ends[:-1] + 1])] if len(ends) else right
+        new = ~border[right]
+        border[right[new]] = True
+        low, high = left[new], right[new]
     out = np.empty(n, dtype=np.int64)
-    out[order] = np.cumsum(border) - 1
+    out[order] = np.cumsum(border[:n]) - 1
     return out
 
 
@@ -375,9 +405,14 @@ def _portions(starts: np.ndarray, sizes: np.ndarray, most: int = 2_000_000):
 
 def _answer_strings(length: int):
     def run(table: pa.Table) -> pa.Table:
-        """One bucket: for each string of each chunk, a 32-bit mask of its windows to drop."""
-        cols = {c: table[c].to_pylist() for c in ("docs", "grams", "counts", "strings")}
+        """One bucket: for each string of each chunk two 32-bit masks of its windows to drop.
+
+        The first is for the smallest document of the chunk with this string, the second for all others. Every different
+        string goes into the transform once for its smallest document and, if others hold it, once for these.
+        """
+        cols = {c: table[c].to_pylist() for c in ("docs", "several", "grams", "counts", "strings")}
         docs = np.concatenate([np.frombuffer(x, dtype="<i8") for x in cols["docs"]])
+        several = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in cols["several"]]).astype(bool)
         grams = np.concatenate([np.frombuffer(x, dtype="<u8") for x in cols["grams"]])
         counts = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in cols["counts"]]).astype(np.int64)
         sizes = counts + length - 1
@@ -391,26 +426,32 @@ def _answer_strings(length: int):
         number = np.empty(len(order), dtype=np.int64)
         number[order] = np.cumsum(fresh) - 1
         holder = order[fresh]
-        full = (U64(1) << counts.astype(U64)) - U64(1)
-        # anchors with different strings: windows may be shared in part
+        later = docs > docs[holder][number]
+        shared = np.zeros(len(holder), dtype=bool)
+        shared[number[later | several]] = True
         g = grams[holder]
         edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
-        own = np.zeros(len(holder), dtype=U64)
+        own, others = np.zeros(len(holder), dtype=U64), np.zeros(len(holder), dtype=U64)
         todo, size = [], 0
         spans = list(zip(edge[:-1], edge[1:], strict=True))
         for n, (a, b) in enumerate(spans):
-            if b - a > 1 and docs[holder[a:b]].min() != docs[holder[a:b]].max():
+            if b - a > 1 or shared[a]:  # a string that only one document has, alone at its anchor, repeats nothing
                 todo += range(a, b)
-                size += int(sizes[holder[a:b]].sum())
+                size += int((sizes[holder[a:b]] * (1 + shared[a:b])).sum())
             if todo and (size >= SUFFIXES or n == len(spans) - 1):
-                rows = holder[todo]
-                strings = [flat[starts[r] : starts[r] + sizes[r]].tobytes() for r in rows]
-                own[todo] = repeated_windows(strings, docs[rows], counts[rows], length)
+                todo = np.array(todo)
+                rows, twice = holder[todo], todo[shared[todo]]
+                both = np.concatenate([rows, holder[twice]])
+                strings = [flat[starts[r] : starts[r] + sizes[r]].tobytes() for r in both]
+                who = np.concatenate([docs[rows], np.full(len(twice), np.iinfo(np.int64).max)])
+                masks = repeated_windows(strings, who, counts[both], length)
+                own[todo], others[twice] = masks[: len(todo)], masks[len(todo) :]
                 todo, size = [], 0
-        mask = np.where(docs > docs[holder][number], full, own[number]).astype("<u4")
+        first = np.where(later, others[number], own[number]).astype("<u4")
+        rest = others[number].astype("<u4")
         ends = np.cumsum([len(x) // 8 for x in cols["docs"]])
-        masks = [mask[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        return pa.table({"chunk_id": table["chunk_id"], "place": table["place"], "masks": pa.array(masks, pa.binary())})
+        cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())
+        return pa.table({"chunk_id": table["chunk_id"], "place": table["place"], "masks": cut(first), "others": cut(rest)})
 
     return run
 
@@ -420,16 +461,15 @@ def _drop(length: int, buckets: int, as_text: bool):
         for batch in batches:
             for i, _, chunk in _chunks(batch, length):
                 answers = [(x["bucket"], x["bits"]) for x in batch["answers"][i].as_py() or []]
-                some, chosen, string = chunk.picked(*_flags(chunk, answers, buckets))
-                mask = np.zeros(len(chosen), dtype=U64)
+                some, chosen, string, _ = chunk.picked(*_flags(chunk, answers, buckets))
+                mask, rest = np.zeros(len(chosen), dtype=U64), np.zeros(len(chosen), dtype=U64)
                 for x in batch["verdicts"][i].as_py() or []:
-                    mask[np.frombuffer(x["place"], dtype="<i4")] = np.frombuffer(x["masks"], dtype="<u4")
+                    at = np.frombuffer(x["place"], dtype="<i4")
+                    mask[at], rest[at] = np.frombuffer(x["masks"], dtype="<u4"), np.frombuffer(x["others"], dtype="<u4")
                 cover = np.zeros(len(chunk.text) + 1, dtype=np.int32)
                 if len(some):
                     holder = chunk.ids[chunk.doc[some[chosen]]]
-                    full = (U64(1) << chunk.count[some].astype(U64)) - U64(1)
-                    # another document of the chunk that holds the same string is larger than its smallest holder
-                    own = np.where(chunk.ids[chunk.doc[some]] > holder[string], full, mask[string])
+                    own = np.where(chunk.ids[chunk.doc[some]] > holder[string], rest[string], mask[string])
                     for k in range(int(chunk.count[some].max())):
                         at = chunk.first[some[(own >> U64(k)) & U64(1) == 1]] + k
                         np.add.at(cover, at, 1)
@@ -475,10 +515,10 @@ def dedup_passages(docs: DataFrame, length: int = 50, as_text: bool = False) ->
     answers = answers.groupBy("chunk_id").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
     told = chunks.join(saved(answers), "chunk_id", "left")
     strings = told.mapInArrow(
-        _emit_strings(length, buckets), "bucket int, chunk_id long, place binary, docs binary, grams binary, counts binary, strings binary"
+        _emit_strings(length, buckets), "bucket int, chunk_id long, place binary, docs binary, several binary, grams binary, counts binary, strings binary"
     )
-    verdicts = strings.groupBy("bucket").applyInArrow(_answer_strings(length), "chunk_id long, place binary, masks binary")
-    verdicts = verdicts.groupBy("chunk_id").agg(F.collect_list(F.struct("place", "masks")).alias("verdicts"))
+    verdicts = strings.groupBy("bucket").applyInArrow(_answer_strings(length), "chunk_id long, place binary, masks binary, others binary")
+    verdicts = verdicts.groupBy("chunk_id").agg(F.collect_list(F.struct("place", "masks", "others")).alias("verdicts"))
     judged = told.join(verdicts, "chunk_id", "left")
     kept = "string" if as_text else "binary"
     return judged.mapInArrow(_drop(length, buckets, as_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kept}, text_key long")

@@ -380,11 +380,27 @@ def test_suffix_dedup_against_brute_force(spark, odd, empty, chunk, monkeypatch)
     assert suffix_dedup.dedup_passages(empty).count() == 0
 
 
-def test_suffix_order():
-    s = np.array(list(b"mississippi")) + 1
-    s = np.append(s, 0)
-    want = sorted(range(len(s)), key=lambda i: s[i:].tolist())
-    assert suffix_dedup.suffix_order(s, 12).tolist() == want
+def test_suffix_order_and_transform():
+    s = np.append(np.array(list(b"mississippi")) - 96, 0)
+    order = suffix_dedup.suffix_order(s, 12)
+    assert order.tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+    before, onto = suffix_dedup.transform(s, order)
+    assert "".join(chr(x + 96) if x else "$" for x in before) == "ipssm$pissii"
+    assert [order[onto[r]] for r in range(len(s))] == [(i - 1) % len(s) for i in order]
+
+
+@pytest.mark.parametrize("length", [1, 3, 10, 50])
+def test_equal_prefixes_against_brute_force(length):
+    rng = np.random.default_rng(length)
+    base = rng.integers(1, 4, 400)
+    strings = [base[a : a + int(n)].tolist() for a, n in zip(rng.integers(0, 300, 40), rng.integers(length, length + 60, 40), strict=True)]
+    s = np.array([x for t in strings for x in [*t, 0]])
+    group = suffix_dedup.equal_prefixes(s, length)
+    seen = {}
+    for i in range(len(s) - length + 1):
+        if (s[i : i + length] > 0).all():
+            seen.setdefault(tuple(s[i : i + length]), set()).add(group[i])
+    assert all(len(x) == 1 for x in seen.values()) and len({min(x) for x in seen.values()}) == len(seen)
 
 
 def test_quality_statistics_and_signs(spark, odd, empty):
