@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import l2_normalize
+from .classes import register_classes
 
 
 def embed_images(tensors: DataFrame, make_fn: Callable, batch_size: int = 32) -> DataFrame:
@@ -66,7 +67,13 @@ def annotate_images(images: DataFrame, make_fn: Callable, parallel: int = 1, tri
 
 def build_index(vectors: DataFrame) -> DataFrame:
     """(ref_id, label, vector) of labelled unit vectors; ref_id is a hash of the crop's path."""
-    return vectors.select(F.xxhash64("crop_path").alias("ref_id"), "label", "vector")
+    return vectors.where("label is not null and vector is not null").select(F.xxhash64("crop_path").alias("ref_id"), "label", "vector")
+
+
+def rebuild_index(vectors: DataFrame, events: DataFrame, source: str, at) -> tuple[DataFrame, DataFrame]:
+    """(index, class events): the index of all labelled vectors, with its classes registered where they are new."""
+    index = build_index(vectors)
+    return index, register_classes(events, index.select(F.col("label").alias("class_name")), source, at)
 
 
 def run_step(name: str, step: Callable[[], DataFrame], write: Callable[[DataFrame], DataFrame], empty: DataFrame) -> tuple[DataFrame, dict]:

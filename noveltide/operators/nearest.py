@@ -18,8 +18,10 @@ def _nearest(q: pd.DataFrame, ids: np.ndarray, labels: np.ndarray, refs: np.ndar
     for i in range(0, len(q), 512):
         x = np.array(q["vector"].iloc[i : i + 512].tolist(), dtype=np.float64)
         rough = (x * x).sum(1)[:, None] + (refs * refs).sum(1) - 2 * x @ refs.T
-        # the product form is rounded: take the differences of all that could be nearest
-        close = rough <= rough.min(axis=1, keepdims=True) + 1e-9
+        # the product form is rounded, by a share of the norms: take the differences of all that could be nearest
+        own = (x * x).sum(1)[:, None] + (refs * refs).sum(1)
+        margin = 4 * (x.shape[1] + 4) * np.finfo(float).eps * own.max(axis=1, keepdims=True)
+        close = rough <= rough.min(axis=1, keepdims=True) + margin
         rows, cols = np.nonzero(close)
         exact = ((x[rows] - refs[cols]) ** 2).sum(1)
         order = np.lexsort((cols, exact, rows))

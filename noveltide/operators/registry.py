@@ -3,7 +3,8 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.events import version_id
+from ..functions.events import size_mb, version_id
+from .classes import sync_classes, with_baseline
 
 #: The version that an empty registry starts with.
 BASELINE_ID = "v1_initial"
@@ -18,9 +19,23 @@ def version_numbers(versions: DataFrame) -> DataFrame:
     return out.withColumn("version_id", version_id(F.col("version_num"), F.col("created_at")))
 
 
-def register_version(versions: DataFrame, new: DataFrame) -> DataFrame:
-    """versions and the new rows that have a model path."""
-    return versions.unionByName(new.where("model is not null"), allowMissingColumns=True)
+def register_version(versions: DataFrame, new: DataFrame, stats: DataFrame | None = None, baseline: list[str] | None = None) -> DataFrame:
+    """versions and the new rows (line, model, created_at, classes, bytes) that have a model path, filled in.
+
+    A new row gets the next number of its line (in order of created_at, then model), its id, its size in MB, its classes
+    with the baseline's at the end, the statistics of its training set (stats: one row a line) and the status
+    `registered`. A model that its line has already is left out.
+    """
+    have = versions.groupBy("line").agg(F.max("version_num").alias("_last"))
+    fresh = new.where("model is not null").join(versions.select("line", "model"), ["line", "model"], "left_anti").join(have, "line", "left")
+    w = Window.partitionBy("line").orderBy("created_at", "model")
+    fresh = fresh.withColumn("version_num", (F.coalesce("_last", F.lit(0)) + F.row_number().over(w)).cast("int")).drop("_last")
+    fresh = fresh.withColumn("version_id", version_id(F.col("version_num"), F.col("created_at"))).withColumn("size_mb", size_mb(F.col("bytes"))).drop("bytes")
+    names = F.array(*map(F.lit, BASELINE_CLASSES if baseline is None else baseline))
+    fresh = fresh.withColumn("classes", with_baseline(F.col("classes"), names)).withColumn("status", F.lit("registered"))
+    if stats is not None:
+        fresh = fresh.join(stats, "line", "left")
+    return versions.unionByName(fresh, allowMissingColumns=True)
 
 
 def init_baseline(versions: DataFrame) -> DataFrame:
@@ -68,6 +83,18 @@ def deploy_version(versions: DataFrame, deployments: DataFrame, requests: DataFr
     return deployments.unionByName(good, allowMissingColumns=True), results
 
 
+def set_current(versions: DataFrame, deployments: DataFrame, requests: DataFrame, action: str = "deploy") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """deploy_version with what follows from it: (deployments, results, known classes by line).
+
+    requests (line, model, deployed_at); versions have classes. The known classes of a line become those of its deployed
+    version and the baseline's, sorted. Rolling back is a deployment of an older version with the action `rollback`.
+    """
+    after, results = deploy_version(versions, deployments, requests, action)
+    current = current_version(versions, after)
+    base = F.array(*map(F.lit, BASELINE_CLASSES))
+    return after, results, current.select("line", "model", sync_classes(base, F.col("classes")).alias("classes"))
+
+
 def index_of_version(index: DataFrame, classes: Column | list[str]) -> DataFrame:
     """The known vectors of a version's classes, in any case."""
     names = F.array(*map(F.lit, classes)) if isinstance(classes, list) else classes

@@ -84,40 +84,37 @@ def sc11_squared_l2(spark, d):
     return v.join(b, "id").select("id", F.round(squared_l2(F.col("vector"), F.col("other")), 6).alias("d2"))
 
 
-_SOME = "SELECT * FROM vectors WHERE label < 4"
-
-
 @query(
     f"""SELECT id, round(list_sort(list(dist))[3], 6) AS core FROM (SELECT a.id, sqrt(list_sum(list_transform(list_zip(a.vector, b.vector), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS dist
-    FROM ({_SOME}) a JOIN ({_SOME}) b ON a.id <> b.id) GROUP BY id""",
+    FROM vectors a JOIN vectors b ON a.id <> b.id) GROUP BY id""",
     "vectors",
 )
 def ml6_core_distance(spark, d):
     (v,) = views(spark, d, "vectors")
-    return clustering.core_distances(v.where("label < 4"), 3).withColumn("core", F.round("core", 6))
+    return clustering.core_distances(v, 3).withColumn("core", F.round("core", 6))
 
 
 @query(
-    """SELECT a.id AS a, b.id AS b, round(sqrt(list_sum(list_transform(list_zip(a.vector, b.vector), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), 6) AS w
-    FROM vectors a JOIN vectors b ON a.id < b.id WHERE a.label = 1 AND b.label = 1""",
+    """SELECT * FROM (WITH p AS (SELECT a.id AS a, b.id AS b, sqrt(list_sum(list_transform(list_zip(a.vector, b.vector), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS dist FROM vectors a JOIN vectors b ON a.id <> b.id),
+    c AS (SELECT a AS id, list_sort(list(dist))[3] AS core FROM p GROUP BY a)
+    SELECT a AS id, round(min(greatest(x.core, y.core, dist)), 6) AS w FROM p JOIN c x ON x.id = a JOIN c y ON y.id = b GROUP BY a)""",
     "vectors",
 )
 def ml7_mutual_reachability(spark, d):
     (v,) = views(spark, d, "vectors")
-    p = v.where("label = 1")
-    return clustering.mutual_reachability(p, p.select("id", F.lit(0.0).alias("core"))).withColumn("w", F.round("w", 6))
+    return clustering.nearest_reachable(v, stored(clustering.core_distances(v, 3))).select("id", F.round("w", 6).alias("w"))
 
 
 @query(
     f"""SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM (
       SELECT id, max(CASE WHEN own THEN s / (n - 1) END) AS a, min(CASE WHEN NOT own THEN s / n END) AS b, max(CASE WHEN own THEN n END) AS n FROM (
         SELECT x.id, x.label = y.label AS own, y.label, count(*) AS n, sum(sqrt(list_sum(list_transform(list_zip(x.vector, y.vector), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))) AS s
-        FROM ({_SOME}) x, ({_SOME}) y GROUP BY ALL) GROUP BY id)""",
+        FROM vectors x, vectors y GROUP BY ALL) GROUP BY id)""",
     "vectors",
 )
 def ml11_silhouette(spark, d):
     (v,) = views(spark, d, "vectors")
-    return clustering.silhouette(v.where("label < 4").withColumnRenamed("label", "cluster_id")).select(F.round("silhouette", 6).alias("silhouette"))
+    return clustering.silhouette(v.withColumnRenamed("label", "cluster_id")).select(F.round("silhouette", 6).alias("silhouette"))
 
 
 @query(
@@ -146,14 +143,14 @@ def ml9_average_linkage(spark, d):
 @query()
 def ml10_kmeans_best_k(spark, d):
     (v,) = views(spark, d, "vectors")
-    return clustering.kmeans_best_k(v.select("id", "vector"), v.count(), starts=2)
+    return clustering.kmeans_best_k(v.select("id", "vector"), v.count())
 
 
 @query()
 def ml12_cluster_novel(spark, d):
     asked, known = views(spark, d, "asked", "known")
     new = nearest.novel(nearest.nearest_known(asked, known), NOVEL)
-    return clustering.cluster_novel(asked.join(new.select("query_id"), "query_id").select(F.col("query_id").alias("id"), "vector"), stored, starts=2)
+    return clustering.cluster_novel(asked.join(new.select("query_id"), "query_id").select(F.col("query_id").alias("id"), "vector"), stored)
 
 
 # Paths and boxes
@@ -288,7 +285,7 @@ def st5_cached_image_set(spark, d):
 
 @query(
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_orderkey % 17 <> 0 AS valid,
-    CAST(CASE WHEN l_orderkey % 17 = 0 OR l_orderkey % 19 = 0 OR l_orderkey % 23 = 0 OR l_linenumber % 7 = 0 THEN 0 ELSE 1 END AS INT) AS n FROM boxes WHERE l_partkey % 10 = 0""",
+    CAST(CASE WHEN l_orderkey % 17 = 0 OR l_orderkey % 19 = 0 OR l_orderkey % 23 = 0 OR l_linenumber % 7 = 0 THEN 0 ELSE 1 END AS INT) AS n FROM boxes""",
     "boxes",
 )
 def sc12_parse_findings(spark, d):
@@ -299,7 +296,7 @@ def sc12_parse_findings(spark, d):
 
 @query(
     """SELECT count(DISTINCT image_path) AS images, sum(CASE WHEN l_orderkey % 17 = 0 OR l_orderkey % 19 = 0 OR l_orderkey % 23 = 0 OR l_linenumber % 7 = 0 THEN 0 ELSE 1 END)::BIGINT AS findings
-    FROM boxes WHERE l_partkey % 10 = 0""",
+    FROM boxes""",
     "boxes",
 )
 def ag3_annotation_summary(spark, d):
@@ -434,8 +431,8 @@ def ag6_class_stats(spark, d):
 
 
 @query(
-    f"""SELECT *, min_crops >= 10 AS should_train, CASE WHEN min_crops >= 10 THEN printf('Dataset has %d crops across %d classes (min %d/class). Sufficient for fine-tuning with augmentation.', total_crops, num_classes, min_crops)
-    ELSE printf('Not enough data: %d crops in smallest class (need at least 10)', min_crops) END AS reason, CASE WHEN total_crops < 100 THEN 8 ELSE 16 END AS batch,
+    f"""SELECT *, min_crops >= 10 AS should_train, CASE WHEN min_crops >= 10 THEN printf('%d crops in %d classes, %d or more in each: enough to train on', total_crops, num_classes, min_crops)
+    ELSE printf('the smallest class has %d crops of the 10 that it needs', min_crops) END AS reason, CASE WHEN total_crops < 100 THEN 8 ELSE 16 END AS batch,
     CASE WHEN total_crops < 100 THEN 10 WHEN total_crops < 500 THEN 5 END AS freeze, CASE WHEN total_crops < 100 THEN 10 WHEN total_crops < 500 THEN 15 ELSE 20 END AS patience,
     CASE WHEN total_crops < 100 THEN 0.005 ELSE 0.01 END::DOUBLE AS lr0, 1.0::DOUBLE AS mosaic, CASE WHEN total_crops < 100 THEN 0.2 WHEN total_crops < 500 THEN 0.1 ELSE 0.05 END::DOUBLE AS mixup FROM ({_STATS})""",
     "clusters",
@@ -708,3 +705,6 @@ def ag11_items_processed(spark, d):
     k = F.col("o_orderkey")
     first = F.when((k % 3 != 0) & (k % 2 == 0), F.array(F.lit(1), F.lit(2)))
     return table(spark, d, "orders").select("o_orderkey", ev.items_processed(first, F.when(k % 3 != 0, F.array(F.lit(1)))).alias("n"))
+
+
+from . import round_trips  # noqa: E402, F401  (adds its queries)

@@ -106,10 +106,19 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
-    """Cached annotations, and whether the cache counts: at least one row has findings."""
+def read_run_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """(run, step, status, latency, items, failures) of all runs; none where nothing was written."""
+    schema = "run long, step string, status string, latency double, items long, failures long"
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def read_annotations(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, bool]:
+    """Cached annotations, and whether the cache counts: at least one row has findings.
+
+    multi_line: the file is one JSON document; else it has one a line, as write_annotations leaves it.
+    """
     schema = "image_path string, image_name string, anomalies_found boolean, findings array<struct<box_2d array<double>, physical_traits string>>, prompt_tokens int, error string"
     if not _exists(spark, path):
         return spark.createDataFrame([], schema), False
-    found = spark.read.schema(schema).option("multiLine", "true").json(path)
+    found = spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
     return found, bool(found.where(F.size("findings") > 0).limit(1).count())

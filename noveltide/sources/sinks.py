@@ -1,10 +1,39 @@
-"""Writers. All of them can be run again with the same result."""
+"""Writers. All of them can be run again with the same result: they replace what is there, or add only what is missing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import _exists
+
+
+def _add_missing(rows: DataFrame, path: str, key: list[str], kind: str = "parquet") -> None:
+    """Appends the rows whose key is not there yet; one row a key, the smallest."""
+    spark = rows.sparkSession
+    if _exists(spark, path):
+        there = spark.read.format(kind).schema(rows.select(*key).schema).load(path)
+        rows = rows.join(there.distinct(), key, "left_anti")
+    rows.write.format(kind).mode("append").save(path)
+
+
+def write_crops(crops: DataFrame, path: str) -> None:
+    """Cut regions with their pixels, in 64 folders by a hash of the source image; what was there before goes."""
+    crops.withColumn("part", F.pmod(F.xxhash64("image_path"), F.lit(64))).write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def write_crop_sources(sources: DataFrame, path: str) -> None:
+    """(stem, source_image, center) as JSON maps from stem to its image and box, one entry a line."""
+    entry = F.struct("source_image", F.col("center").alias("bbox_normalized"))
+    sources.select(F.to_json(F.create_map("stem", entry)).alias("value")).write.mode("overwrite").text(path)
+
+
+def clean_run(spark: SparkSession, root: str, names: list[str]) -> None:
+    """Deletes the folders of a run before the next one starts; those that are not there are no error."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def write_clusters(crops: DataFrame, path: str) -> None:
     """One folder a cluster; what was there before goes."""
@@ -32,12 +61,13 @@ def write_unknowns(classified: DataFrame, path: str) -> None:
 
 
 def write_annotations(annotations: DataFrame, path: str) -> None:
-    """Adds to the cache, which is keyed by image_path."""
-    annotations.write.mode("append").parquet(path)
+    """Adds to the cache, one JSON row an image: images that it has keep what they have."""
+    _add_missing(annotations, path, ["image_path"], "json")
 
 
 def write_step_metrics(metrics: DataFrame, path: str) -> None:
-    metrics.write.mode("append").partitionBy("run").parquet(path)
+    """Adds the steps of runs that are not there yet."""
+    _add_missing(metrics, path, ["run", "step"])
 
 
 def save_index(index: DataFrame, path: str) -> None:
@@ -49,14 +79,26 @@ def reset_index(spark, path: str) -> None:
 
 
 def write_dataset_version(dataset: DataFrame, path: str, tag: str, message: str = "") -> None:
-    """An immutable snapshot under its tag, and a row in the table of tags; an existing tag is an error."""
-    dataset.write.mode("errorifexists").parquet(f"{path}/data/version={tag}")
+    """An immutable snapshot under its tag, and a row in the table of tags; an existing tag is left as it is."""
+    dataset.write.mode("ignore").parquet(f"{path}/data/version={tag}")
     row = dataset.sparkSession.range(1).select(F.lit(tag).alias("tag"), F.lit(message).alias("message"), F.current_timestamp().alias("at"))
-    row.write.mode("append").parquet(f"{path}/tags")
+    _add_missing(row, f"{path}/tags", ["tag"])
 
 
 def write_deployment(deployment: DataFrame, path: str) -> None:
-    deployment.write.mode("append").parquet(path)
+    """Adds deployments (line, model, deployed_at, action) that are not there yet."""
+    _add_missing(deployment, path, ["line", "model", "deployed_at"])
+
+
+def reset_tables(spark: SparkSession, root: str, names: list[str], backup: str, index: DataFrame | None = None) -> None:
+    """Every named table back to its backup; without one the index is rebuilt from the given rows, others are emptied."""
+    for name in names:
+        if _exists(spark, f"{backup}/{name}"):
+            restore_table(spark, f"{backup}/{name}", f"{root}/{name}")
+        elif name == "index" and index is not None:
+            save_index(index, f"{root}/{name}")
+        else:
+            clean_run(spark, root, [name])
 
 
 def restore_table(spark, snapshot: str, path: str) -> None:
