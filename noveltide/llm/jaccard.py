@@ -113,10 +113,10 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def open_group(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Edges between the members of a group (side 0) and the nodes that ask for it (side 1): a forest over the links found."""
+    """Edges between the members of a group (side 0) and the nodes that ask for it: a forest over the links found."""
     sets = [np.frombuffer(x, dtype=np.uint64) for x in pdf["shingles"]]
     nodes, side = pdf["node"].to_numpy(), pdf["side"].to_numpy()
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(pdf["asks"].to_numpy())
     if not len(left) or not len(right) or len(set(nodes)) < 2:
         return pd.DataFrame({"a": [], "b": []}, dtype="int64")
     size = np.array([len(s) for s in sets])
@@ -178,16 +178,16 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     holder = saved(nodes.select("node", "doc_id", "n").join(anchor, "node"))
     forget(nodes)
     groups = saved(_groups(holder, GROUP))
-    # the sets of all grouped nodes, from one document each; an inner join stays above the filter, a semi join is moved below
-    texts = _likely(docs.select(F.col("doc_id").cast("long"), "text"), holder).join(holder.select("doc_id").distinct(), "doc_id")
+    # the sets of all grouped nodes; only they are shuffled, once
+    texts = _likely(docs.select(F.col("doc_id").cast("long"), "text"), holder)
     hashes = WordHashes()
 
     def sets_of(part):
         sets = [shingle_set(t, width, hashes) for t in as_bytes(part["text"])]
         return pa.array([set_key(s) - (1 << 63) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())
 
-    sets = map_arrow(texts, sets_of, "node long, shingles binary").dropDuplicates(["node"])
-    sets = saved(sets.join(groups, "node"))
+    sets = map_arrow(texts.select("text"), sets_of, "node long, shingles binary")
+    sets = saved(sets.join(holder.select("node"), "node").dropDuplicates(["node"]))
     forget(holder)
     held = saved(matrix.join(groups.drop("n"), "node"))
     forget(matrix)
@@ -195,8 +195,8 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     width_of = held.groupBy("grp").agg(F.count_distinct("token").alias("width"))
     first = held.select("token", "grp").distinct().join(width_of, "grp").groupBy("token").agg(F.max(F.struct("width", "grp")).alias("top"))
     star = held.select("token", "node").join(first, "token").select(F.col("top.grp").alias("grp"), "node")
-    asked = saved(star.union(groups.select("grp", "node")).distinct())
-    edges = saved(_links(sets, asked, percent))
+    asked = saved(star.distinct().join(groups.select("grp", "node"), ["grp", "node"], "left_anti"))
+    edges = saved(_links(sets, groups, asked, percent))
     forget(asked)
     parts = components(edges)
     # round two: tokens whose nodes are still in different components, in groups by the commonest such token of a node
@@ -208,17 +208,15 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     forget(parts)
     home = state.groupBy("node").agg(F.max(F.struct("seen", "token")).alias("top")).join(groups.select("node", "n"), "node")
     first_groups, groups = groups, saved(_groups(home.select("node", "n", F.col("top.token").alias("anchor")), 4 * GROUP))
-    first_sets, sets = sets, saved(sets.select("node", "shingles").join(groups, "node"))
     forget(first_groups)
-    forget(first_sets)
     spans = saved(state.join(groups, "node").groupBy("token", "grp").agg(F.min("part").alias("low"), F.max("part").alias("high")))
     forget(state)
     x, y = spans.alias("x"), spans.alias("y")
     apart = F.least("x.low", "y.low") != F.greatest("x.high", "y.high")
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") <= F.col("y.grp")) & apart)
     pairs = pairs.select(F.col("x.grp").alias("opened"), F.col("y.grp").alias("grp")).distinct()
-    more = saved(pairs.join(groups, "grp").select(F.col("opened").alias("grp"), "node"))
-    later = saved(_links(sets, more, percent))
+    more = saved(pairs.where("opened <> grp").join(groups, "grp").select(F.col("opened").alias("grp"), "node"))
+    later = saved(_links(sets, groups, more, percent))
     for spent in (sets, more, spans, groups):
         forget(spent)
     parts = components(edges.union(later))
@@ -251,17 +249,18 @@ def _groups(anchored: DataFrame, most: int) -> DataFrame:
     return anchored.join(splits, "anchor").select("node", "n", F.xxhash64("anchor", F.pmod(F.xxhash64("node"), F.col("splits"))).alias("grp"))
 
 
-def _links(sets: DataFrame, asked: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between nodes: each row (grp, node) of asked opens a group for a node.
+def _links(sets: DataFrame, groups: DataFrame, asked: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) between nodes: a group (node, n, grp) is opened for its members and for those that ask for it (grp, node).
 
-    The nodes that ask for a group are dealt into chunks of bounded count and size, and its members go once to each
-    chunk, so a hub of thousands of nodes is many tasks and its members are repeated little.
+    The nodes that a group is opened for are dealt into chunks of bounded count and size, and its members go once to
+    each chunk, so a hub of thousands of nodes is many tasks and its members are repeated little. Only narrow rows are
+    dealt; each set then meets its places in one join.
     """
-    asked = asked.join(sets.select("node", "n"), "node")
-    chunks = asked.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / F.lit(4 * GROUP), F.sum("n") / F.lit(GROUP_SHINGLES))).cast("int").alias("chunks"))
-    members = sets.join(chunks, "grp").select(
-        "grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "node", "shingles"
-    )
-    asks = asked.join(chunks, "grp").select("grp", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("side"), "node")
-    rows = members.union(asks.join(sets.select("node", "shingles"), "node").select(*members.columns))
+    every = asked.join(groups.select("node", "n"), "node").select("grp", "n").union(groups.select("grp", "n"))
+    chunks = every.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / F.lit(4 * GROUP), F.sum("n") / F.lit(GROUP_SHINGLES))).cast("int").alias("chunks"))
+    place = F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int")
+    members = groups.select("grp", "node").join(chunks, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), place.alias("own"), "node")
+    members = members.select("grp", "chunk", F.lit(0).alias("side"), (F.col("chunk") == F.col("own")).alias("asks"), "node")
+    others = asked.join(chunks, "grp").select("grp", place.alias("chunk"), F.lit(1).alias("side"), F.lit(True).alias("asks"), "node")
+    rows = members.union(others).join(sets.select("node", "shingles"), "node")
     return rows.groupBy("grp", "chunk").applyInPandas(lambda pdf: open_group(pdf, percent), "a long, b long")
