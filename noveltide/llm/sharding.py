@@ -4,7 +4,7 @@ Documents with equal texts are linked. Linked documents start on a shard given b
 rounds of joins, towards the shard that holds most bytes of their group, as far as that shard's quota of free bytes
 allows; single documents have no links and fill every shard up to the common size at the end. Quotas and places are
 prefix sums over hash buckets, so no task ever sorts a whole shard or group, and a group with a third of all rows is
-simply spread when it exceeds the quota.
+dealt over many keys in the joins and spread over shards when it exceeds the quota.
 
 Law: `bytes`. The size of a document is its UTF-8 bytes plus 8 (8 for null text).
 Defined cases: null text has size 8 and crc32 0, and null texts are not linked. Null and repeated doc_ids are rows of
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import forget, saved
 
 BUCKETS = 1024
+SPLIT = 1000  # members of a group for each key that it is dealt over
 
 
 def _prefix(counts: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
@@ -40,32 +41,37 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4) -> DataF
     )
     # linked documents: groups of at least two
     groups = rows.where("grp is not null").groupBy("grp").agg(F.count("*").alias("members"), F.sum("size").alias("bytes")).where("members > 1")
-    state = rows.join(groups, "grp", "left").withColumn(
+    known = rows.where("grp is not null").join(groups, "grp", "left")
+    state = known.unionByName(rows.where("grp is null"), allowMissingColumns=True).withColumn(
         "shard", F.when(F.col("members").isNotNull(), F.pmod(F.xxhash64("r", F.lit(2)), F.lit(shards)).cast("int"))
     )
-    state = saved(state)
+    # a large group is dealt over as many keys as it has SPLIT members, so that no task gets it whole
+    salts = F.coalesce(F.ceil(F.col("members") / F.lit(SPLIT)), F.lit(64))
+    state = saved(state.withColumn("salt", F.pmod(F.xxhash64("r", F.lit(9)), salts).cast("int")))
     forget(rows)
     total = state.agg(F.sum("size")).first()[0] or 0
     target = total / shards
     for step in range(rounds):
         linked = state.where("shard is not null")
-        here = linked.groupBy("grp", "shard").agg(F.sum("size").alias("held"))
+        here = linked.groupBy("grp", "members", "shard").agg(F.sum("size").alias("held"))
         # the neighbours' shard: most bytes of the group, ties by a hash that differs from group to group
-        want = here.groupBy("grp").agg(F.max_by("shard", F.struct("held", F.xxhash64("grp", "shard").alias("tie"))).alias("goal"))
+        want = here.groupBy("grp", "members").agg(F.max_by("shard", F.struct("held", F.xxhash64("grp", "shard").alias("tie"))).alias("goal"))
+        every_salt = F.explode(F.sequence(F.lit(0), F.ceil(F.col("members") / F.lit(SPLIT)).cast("int") - 1))
+        want = want.select("grp", every_salt.alias("salt"), "goal")
         load = linked.groupBy("shard").agg(F.sum("size").alias("load"))
         every = state.sparkSession.range(shards).select(F.col("id").cast("int").alias("goal"))
         room = every.join(load.withColumnRenamed("shard", "goal"), "goal", "left").select(
             "goal", F.greatest(F.lit(target) - F.coalesce("load", F.lit(0)), F.lit(0.0)).alias("room")
         )
         # a group is moved as one where it fits: its hash gives the order in the queue for the goal
-        asks = linked.join(want, "grp").where("shard <> goal").select("grp", "goal", "size", "r")
+        asks = linked.join(want, ["grp", "salt"]).where("shard <> goal").select("grp", "goal", "size", "r")
         asks = asks.withColumn("bucket", F.pmod(F.xxhash64("grp", F.lit(step)), F.lit(BUCKETS)))
         queue = _prefix(asks.groupBy("goal", "bucket").agg(F.sum("size").alias("asked")), ["goal"], "asked", "ahead")
         # whole buckets that fit go; of the first that does not, the share that still fits goes by document hash
         grant = queue.join(F.broadcast(room), "goal").select(
             "goal", "bucket", F.least(F.greatest((F.col("room") - F.col("ahead")) / F.col("asked"), F.lit(0.0)), F.lit(1.0)).alias("share")
         )
-        moves = state.join(want, "grp", "left").withColumn("ask_bucket", F.pmod(F.xxhash64("grp", F.lit(step)), F.lit(BUCKETS)))
+        moves = state.join(want, ["grp", "salt"], "left").withColumn("ask_bucket", F.pmod(F.xxhash64("grp", F.lit(step)), F.lit(BUCKETS)))
         grant = grant.select("goal", F.col("bucket").alias("ask_bucket"), "share")
         moves = moves.join(F.broadcast(grant), ["goal", "ask_bucket"], "left")  # at most shards * BUCKETS rows
         coin = F.pmod(F.xxhash64("r", F.lit(100 + step)), F.lit(1_000_003)) / F.lit(1_000_003.0)

@@ -298,13 +298,38 @@ def test_embeddings_against_brute_force(spark, slack, cell_rows):
 
 def test_sharding(odd, empty):
     rows = sharding.shard_documents(odd, 4).collect()
-    assert len(rows) == len(ODD)
+    assert sorted((r["doc_id"] or -1, r["size"], r["text_crc32"]) for r in rows) == sorted((i or -1, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in ODD)
     for s in range(4):
         assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
-    assert sum(r["size"] for r in rows) == sum(len((t or "").encode()) + 8 for _, t in ODD)
     assert sharding.shard_documents(empty).count() == 0
 
 
+def test_sharding_balances_and_keeps_groups_together(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SPLIT", 50)
+    rng = np.random.default_rng(12)
+    size = [*[2] * 60, *[5] * 40, *[40] * 5, 900]  # copies of each text; the last group is a third of all rows
+    texts = [f"text {g} " + "x" * int(rng.integers(10, 400)) for g, n in enumerate(size) for _ in range(1)]
+    docs = [(g, texts[g]) for g, n in enumerate(size) for _ in range(n)] + [(0, f"single {k} " + "y" * int(rng.integers(10, 400))) for k in range(1000)] + [(0, None)] * 20
+    docs = [(i, t) for i, (_, t) in enumerate(docs)]
+    rows = sharding.shard_documents(spark.createDataFrame(docs, "doc_id long, text string"), 8).collect()
+    shard = {r["doc_id"]: r["shard"] for r in rows}
+    load = np.zeros(8)
+    for r in rows:
+        load[r["shard"]] += r["size"]
+    assert abs(load - load.mean()).max() <= 2 * max(r["size"] for r in rows)
+
+    def cut(where):
+        """Linked documents away from the shard that holds most of their group."""
+        away, at = 0, 0
+        for n in size:
+            own = [where(i) for i in range(at, at + n)]
+            away += n - max(own.count(x) for x in set(own))
+            at += n
+        return away
+
+    assert cut(shard.get) < 0.7 * cut(lambda i: zlib.crc32(str(i).encode()) % 8)
+
+
 def shingles(t, width):
     w = words(t)
     k = min(width, len(w))
@@ -403,6 +428,104 @@ def test_equal_prefixes_against_brute_force(length):
     assert all(len(x) == 1 for x in seen.values()) and len({min(x) for x in seen.values()}) == len(seen)
 
 
+def brute_quality(t):
+    w = words_as_they_are(t)
+    lines = [x for x in (t or "").split("\n") if words_as_they_are(x)]
+    runs = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    times = {}
+    for r in runs:
+        times[r] = times.get(r, 0) + 1
+    cover = {i + k for i, r in enumerate(runs) if times[r] > 1 for k in range(8)}
+    failed = len(w) < 20 or 100 * len(cover) > 30 * len(w)
+    return len(w), sum(map(len, w)), sum((t or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover), failed
+
+
+def words_as_they_are(t):
+    return re.findall(r"[^\x20\x09-\x0D]+", t or "")
+
+
+def test_quality_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    docs = list(ODD)
+    for i in range(60):
+        part = " ".join(rng.choice([f"w{k}" for k in range(30)] + ["#a", "é|", "\u00a0x", "<b>", "A*b"], int(rng.integers(1, 60))))
+        docs.append((100 + i, part + rng.choice(["\n", " ", "\n\n", "\x1c", "\x0b"]) + part[: int(rng.integers(0, len(part)))] + "\n" + part))
+    rows = quality.assess(spark.createDataFrame(docs, "doc_id long, text string"), None).collect()
+    got = sorted((r["doc_id"] or -1, r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in rows)
+    assert got == sorted((i or -1, *brute_quality(t)) for i, t in docs)
+    assert all(r["kept"] == (not r["base_failed"]) for r in rows)  # no model: the base rules decide
+
+
+def held_out(spark, fit, verdict, column, good):
+    """Share of right verdicts on labelled documents of sf0.01 that were not fitted on, for label values that are good and not."""
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    known = spark.read.parquet(f"{d}/labels.parquet").where(f"{column} is not null")
+    side = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    counts = {True: [0, 0], False: [0, 0]}
+    for half in (0, 1):
+        model = fit(docs, known.where(side == half))
+        for r in verdict(docs, model).join(known.where(side != half).select("doc_id", column), "doc_id").collect():
+            if "base_failed" not in r or not r["base_failed"]:
+                own = r["kept"] if "kept" in r else not r["toxic_found"]
+                counts[(r[column] > 0) == good][0] += own == ((r[column] > 0) == good)
+                counts[(r[column] > 0) == good][1] += 1
+    return {k: a / max(b, 1) for k, (a, b) in counts.items()}, counts
+
+
+def test_quality_on_held_out_labels(spark):
+    share, counts = held_out(spark, quality.fit, quality.assess, "quality", True)
+    print("quality, held out: right on good and on bad documents", share, counts)
+    assert share[True] > 0.95 and (share[False] > 0.8 or counts[False][1] < 5)
+
+
+def test_toxicity_on_held_out_labels(spark):
+    verdict = lambda docs, model: toxicity.score(docs, model).withColumnRenamed("toxic", "toxic_found")
+    share, counts = held_out(spark, toxicity.fit, verdict, "toxic", False)
+    print("toxicity, held out: right on clean and on toxic documents", share, counts)
+    assert share[True] > 0.97 and share[False] > 0.4
+
+
+def test_long_text_among_short_ones(spark):
+    """A text of 3 MB, one word of 300 kB, and a text of one line, in every operator that reads texts."""
+    rng = np.random.default_rng(2)
+    long = " ".join(rng.choice([f"word{k}" for k in range(500)], 400_000).tolist())
+    docs = [(1, long), (2, "short text"), (3, long + " end"), (4, "z" * 300_000), (5, None), (6, "\n".join([LINE] * 3))]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    assert {r["doc_id"]: r["n_words"] for r in quality.assess(d, None).collect()}[1] == 400_000
+    assert line_dedup.dedup_lines(d).count() == 6
+    found = {r["doc_id"]: r for r in jaccard.similar_documents(d).collect()}
+    assert found[3]["component_id"] == 1 and found[4]["component_id"] == 4
+    cut = {r["doc_id"]: r["n_removed"] for r in suffix_dedup.dedup_passages(d).collect()}
+    assert cut[3] == len(long) and cut[1] == 0 and cut[4] == 0
+    packed = packing.pack(d, public_tokenizers.path("word_bpe_49k.json")).where("doc_id = 1").agg(F.sum("length"), F.max("length")).first()
+    assert packed[0] > 400_000 and packed[1] == 4096
+    scored = {r["doc_id"]: r for r in ppm.score(d, F.col("doc_id") != 3).collect()}
+    assert scored[3]["n_tokens"] == 400_002 and scored[3]["n_known"] == 400_001
+    assert sharding.shard_documents(d, 2).count() == 6 and toxicity.score(d, None).count() == 6
+
+
+CLASH = "doc_id long, text string, text_key long, kept string, keep_bits string, _keep_bits string, _doc string, _key string, node long, shard int, length int, tokens int, grp int, part int, component_id int, training int, n_lines int"
+
+
+def test_columns_of_clashing_names(spark):
+    docs = [(i, t, *[None] * 15) for i, t in ODD]
+    d = spark.createDataFrame(docs, CLASH)
+    plain = d.select("doc_id", "text")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for fn in (
+        lambda x: line_dedup.dedup_lines(x).select("doc_id", "text", "n_dropped"),
+        lambda x: jaccard.similar_documents(x),
+        lambda x: suffix_dedup.dedup_passages(x),
+        lambda x: packing.pieces(x, path),
+        lambda x: ppm.score(x, F.col("doc_id") < 20).select("doc_id", "n_tokens", "n_known"),
+        lambda x: sharding.shard_documents(x, 3).select("doc_id", "size", "shard"),
+        lambda x: quality.assess(x, None),
+        lambda x: toxicity.score(x, None),
+    ):
+        assert sorted(map(repr, fn(d).collect())) == sorted(map(repr, fn(plain).collect()))
+
+
 def test_quality_statistics_and_signs(spark, odd, empty):
     t = "a b\na b\n\n # |x é\n" + " ".join(["one two three four five six seven eight nine"] * 2)
     (n, chars, symbols, dup, repeat), _ = quality.statistics(t.encode(), quality.WordHashes())
