@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import boxes as bx
 from ..operators import classes, labels, manifest, models, registry, routing, runs
 from ..sources import files, sinks
+from ..streaming import streams
 from .queries import _CLASSIFIED, _COUNTS, _STATUS, _mapped, _with_metadata, query
 from .storage import new_folder
 from .views import table, views
@@ -236,3 +237,42 @@ def st4_added_classes(spark, d):
 def fl10_allowed_classes(spark, d):
     named = views(spark, d, "clusters")[0].where("defect_name is not null")
     return classes.allowed_classes(named.groupBy(F.col("defect_name").alias("label")).agg(F.count("*").alias("crops")), ["Nation_1", "NATION_3"])
+
+
+# Streams over files that hold the tables; each takes what is there and ends
+
+
+def _settled(spark, stream):
+    """What a stream of aggregates has when all its input is taken."""
+    path = new_folder(spark)
+    last = stream.writeStream.outputMode("complete").foreachBatch(lambda rows, n: rows.write.mode("overwrite").parquet(path))
+    last.option("checkpointLocation", new_folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query("SELECT seq, level, source, message FROM log", "log")
+def sm2_stream_log(spark, d):
+    (log,) = views(spark, d, "log")
+    source, path = new_folder(spark), new_folder(spark)
+    log.select(F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"), "level", "source", "message", F.lit(None).cast("string").alias("data")).write.json(source)
+    checkpoint = new_folder(spark)
+    for _ in range(2):  # the second finds nothing new
+        streams.append_log(streams.stream_log(spark, source), path, checkpoint).awaitTermination()
+    return spark.read.parquet(path).select("seq", "level", "source", "message")
+
+
+@query("SELECT run, step, status, latency, failures FROM metrics", "metrics")
+def sm3_stream_step_state(spark, d):
+    (steps,) = views(spark, d, "steps")
+    source = new_folder(spark)
+    steps.write.parquet(source)
+    found = _settled(spark, streams.stream_step_state(spark.readStream.schema(steps.schema).parquet(source)))
+    return found.select("run", "step", "status", "latency", "failures")
+
+
+@query("SELECT node, max_by(state, row(ts, seq)) AS state FROM states WHERE state IS NOT NULL GROUP BY node", "states")
+def sm5_stream_node_state(spark, d):
+    (log,) = views(spark, d, "log")
+    source = new_folder(spark)
+    log.write.parquet(source)
+    return _settled(spark, streams.stream_node_state(spark.readStream.schema(log.schema).parquet(source))).select("node", "state")

@@ -29,9 +29,11 @@ def append_log(log: DataFrame, path: str, checkpoint: str):
 
 
 def stream_step_state(events: DataFrame) -> DataFrame:
-    """Last status of each run and step (update mode); state is one row for each."""
+    """Last status of each run and step, seconds from first to last event, and failures (update mode); state is one row for each."""
     order = F.struct("ts", "seq")
-    return events.groupBy("run", "step").agg(F.max_by("status", order).alias("status"), F.min("ts").alias("started"), F.max("ts").alias("last"))
+    first, last = F.min(F.col("ts").cast("timestamp")), F.max(F.col("ts").cast("timestamp"))
+    found = events.groupBy("run", "step").agg(F.max_by("status", order).alias("status"), first.alias("started"), last.alias("last"), F.count_if(F.col("status") == "failed").alias("failures"))
+    return found.withColumn("latency", F.round((F.unix_micros("last") - F.unix_micros("started")) / 1e6, 3))
 
 
 def stream_node_state(log: DataFrame) -> DataFrame:
