@@ -49,7 +49,7 @@ class WordIds(dict):
     of unknown words are put together from those of their pieces, of which there are fewer, encoded many at a time.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
