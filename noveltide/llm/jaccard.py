@@ -10,7 +10,8 @@ group's shingles still allows the threshold.
 
 Equal sets are one node from the start. Groups are opened in two rounds: first, for each node, the largest group of
 each of its tokens, which joins large families with few openings; then the nodes with a token whose nodes are still in
-different components are put into larger groups, and all of these that share such a token are opened for each other. No link that could join different components is left out, and none is assumed.
+different components are put into larger groups, which are opened for each node outside that shares such a token with a
+node of another component in them. No link that could join different components is left out, and none is assumed.
 
 Defined cases: null or empty text, or text without words, has no set and links with nothing. A null doc_id links with
 nothing and is its own component (null). Repeated rows are equal sets. Hashes of shingles and sets have 64 bits and
@@ -125,14 +126,7 @@ def open_group(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
     low, high = size[left].min(), size[left].max()
-    root = {}
-
-    def find(x):
-        while root.get(x, x) != x:
-            root[x] = root.get(root[x], root[x])
-            x = root[x]
-        return x
-
+    head = np.unique(nodes, return_inverse=True)[1]  # equal where edges join nodes
     edges = []
     for q in right:
         n = size[q]
@@ -146,11 +140,11 @@ def open_group(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
         at = np.repeat(a - np.cumsum(hits) + hits, hits) + np.arange(hits.sum())
         both = np.bincount(owner[at], minlength=len(left))
         linked = 100 * both >= percent * (size[left] + n - both)
-        for i in left[linked]:
-            x, y = find(nodes[i]), find(nodes[q])
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                edges.append((nodes[i], nodes[q]))
+        apart = left[linked][head[left[linked]] != head[q]]
+        if len(apart):
+            own, first = np.unique(head[apart], return_index=True)
+            edges += [(nodes[i], nodes[q]) for i in apart[first]]
+            head[np.isin(head, own)] = head[q]
     return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
 
@@ -196,7 +190,7 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     first = held.select("token", "grp").distinct().join(width_of, "grp").groupBy("token").agg(F.max(F.struct("width", "grp")).alias("top"))
     star = held.select("token", "node").join(first, "token").select(F.col("top.grp").alias("grp"), "node")
     asked = saved(star.distinct().join(groups.select("grp", "node"), ["grp", "node"], "left_anti"))
-    edges = saved(_links(sets, groups, asked, percent))
+    edges = saved(_links(sets, groups, asked, percent, 4 * GROUP))
     forget(asked)
     parts = components(edges)
     # round two: tokens whose nodes are still in different components, in groups by the commonest such token of a node
@@ -207,17 +201,24 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     forget(held)
     forget(parts)
     home = state.groupBy("node").agg(F.max(F.struct("seen", "token")).alias("top")).join(groups.select("node", "n"), "node")
-    first_groups, groups = groups, saved(_groups(home.select("node", "n", F.col("top.token").alias("anchor")), 4 * GROUP))
+    first_groups, groups = groups, saved(_groups(home.select("node", "n", F.col("top.token").alias("anchor")), 16 * GROUP))
     forget(first_groups)
-    spans = saved(state.join(groups, "node").groupBy("token", "grp").agg(F.min("part").alias("low"), F.max("part").alias("high")))
+    placed = saved(state.select("token", "node", "part").join(groups.select("node", "grp"), "node"))
     forget(state)
-    x, y = spans.alias("x"), spans.alias("y")
-    apart = F.least("x.low", "y.low") != F.greatest("x.high", "y.high")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") <= F.col("y.grp")) & apart)
-    pairs = pairs.select(F.col("x.grp").alias("opened"), F.col("y.grp").alias("grp")).distinct()
-    more = saved(pairs.where("opened <> grp").join(groups, "grp").select(F.col("opened").alias("grp"), "node"))
-    later = saved(_links(sets, groups, more, percent))
-    for spent in (sets, more, spans, groups):
+    spans = placed.groupBy("token", "grp").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    x, y = spans.alias("x"), placed.alias("y")
+    apart = (F.col("x.grp") != F.col("y.grp")) & ((F.col("x.low") != F.col("y.part")) | (F.col("x.high") != F.col("y.part")))
+    wish = x.join(y, (F.col("x.token") == F.col("y.token")) & apart)
+    wish = saved(wish.select(F.col("y.grp").alias("home"), F.col("x.grp").alias("grp"), "y.node").distinct())
+    forget(placed)
+    # of two groups the one with fewer such nodes sends them to the other
+    cost = wish.groupBy("home", "grp").agg(F.count("*").alias("cost"))
+    back = cost.select(F.col("grp").alias("home"), F.col("home").alias("grp"), F.col("cost").alias("back"))
+    way = cost.join(back, ["home", "grp"]).where("cost < back or cost = back and home < grp").select("home", "grp")
+    more = saved(wish.join(way, ["home", "grp"]).select("grp", "node"))
+    forget(wish)
+    later = saved(_links(sets, groups, more, percent, 8 * GROUP))
+    for spent in (sets, more, groups):
         forget(spent)
     parts = components(edges.union(later))
     forget(edges)
@@ -249,15 +250,15 @@ def _groups(anchored: DataFrame, most: int) -> DataFrame:
     return anchored.join(splits, "anchor").select("node", "n", F.xxhash64("anchor", F.pmod(F.xxhash64("node"), F.col("splits"))).alias("grp"))
 
 
-def _links(sets: DataFrame, groups: DataFrame, asked: DataFrame, percent: int) -> DataFrame:
+def _links(sets: DataFrame, groups: DataFrame, asked: DataFrame, percent: int, chunk: int) -> DataFrame:
     """Edges (a, b) between nodes: a group (node, n, grp) is opened for its members and for those that ask for it (grp, node).
 
-    The nodes that a group is opened for are dealt into chunks of bounded count and size, and its members go once to
+    The nodes that a group is opened for are dealt into chunks of about `chunk` nodes and bounded size, and its members go once to
     each chunk, so a hub of thousands of nodes is many tasks and its members are repeated little. Only narrow rows are
     dealt; each set then meets its places in one join.
     """
     every = asked.join(groups.select("node", "n"), "node").select("grp", "n").union(groups.select("grp", "n"))
-    chunks = every.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / F.lit(4 * GROUP), F.sum("n") / F.lit(GROUP_SHINGLES))).cast("int").alias("chunks"))
+    chunks = every.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / F.lit(chunk), F.sum("n") / F.lit(GROUP_SHINGLES))).cast("int").alias("chunks"))
     place = F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int")
     members = groups.select("grp", "node").join(chunks, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), place.alias("own"), "node")
     members = members.select("grp", "chunk", F.lit(0).alias("side"), (F.col("chunk") == F.col("own")).alias("asks"), "node")
