@@ -6,8 +6,9 @@
    equal anchors. The distinct anchors of a chunk go to buckets as packed hashes; the buckets answer with one bit an
    anchor: held by another document, or not. Only those go on.
 3. The stretches of text whose windows share such an anchor (at most 2 * length - GRAM bytes) go to buckets by anchor,
-   each different stretch of a chunk once, with its smallest doc_id. Stretches with one hash are one string there, and it
-   goes into a suffix array once for its smallest document and once for all others. On its Burrows-Wheeler transform,
+   each different stretch of a chunk once, with its smallest doc_id. Stretches with one hash are one string there. One
+   that is alone at its anchor is the same in all its documents; the different ones of an anchor go into a suffix array,
+   each once for its smallest document and once for all others. On its Burrows-Wheeler transform,
    breadth-first backward extension of intervals finds the common prefixes by increasing value and stops at `length`:
    what is still in one interval then shares `length` bytes. Windows that start in a smaller document are flagged, one
    bit a window.
@@ -407,8 +408,9 @@ def _answer_strings(length: int):
     def run(table: pa.Table) -> pa.Table:
         """One bucket: for each string of each chunk two 32-bit masks of its windows to drop.
 
-        The first is for the smallest document of the chunk with this string, the second for all others. Every different
-        string goes into the transform once for its smallest document and, if others hold it, once for these.
+        The first is for the smallest document of the chunk with this string, the second for all others. The different
+        strings of one anchor go into the transform, each once for its smallest document and, if others hold it, once for
+        these. A string that is alone at its anchor goes as a whole from all its documents but the smallest.
         """
         cols = {c: table[c].to_pylist() for c in ("docs", "several", "grams", "counts", "strings")}
         docs = np.concatenate([np.frombuffer(x, dtype="<i8") for x in cols["docs"]])
@@ -431,11 +433,11 @@ def _answer_strings(length: int):
         shared[number[later | several]] = True
         g = grams[holder]
         edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
-        own, others = np.zeros(len(holder), dtype=U64), np.zeros(len(holder), dtype=U64)
+        own, others = np.zeros(len(holder), dtype=U64), (U64(1) << counts[holder].astype(U64)) - U64(1)
         todo, size = [], 0
         spans = list(zip(edge[:-1], edge[1:], strict=True))
         for n, (a, b) in enumerate(spans):
-            if b - a > 1 or shared[a]:  # a string that only one document has, alone at its anchor, repeats nothing
+            if b - a > 1:
                 todo += range(a, b)
                 size += int((sizes[holder[a:b]] * (1 + shared[a:b])).sum())
             if todo and (size >= SUFFIXES or n == len(spans) - 1):
