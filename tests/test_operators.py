@@ -154,4 +154,4 @@ def test_average_linkage_of_large_components(spark):
     rounds = clustering.average_linkage(points, 1.2, stored, most=10)
     assert {r["id"]: r["cluster_id"] for r in rounds.collect()} == whole
     heads = clustering._linked_in_rounds(points, 1.2, stored, rows=20)  # several blocks
-    assert {r["id"]: r["cluster_id"] for r in clustering._number(heads).collect()} == whole
+    assert {r["id"]: r["cluster_id"] for r in clustering._number(heads, stored).collect()} == whole
