@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir; where it is unset, one of our own in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
