@@ -86,6 +86,24 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(docs, fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import RULES, judge
+
+    return judge(_read(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(_read(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .search import build_index, search
+
+    return search(build_index(_read(spark, sf_dir, "documents")), _read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,6 +123,9 @@ QUERIES = {
         op8_jaccard_join,
         op9_suffix_dedup,
         op10_quality_rules,
+        op11_url_filter,
+        op12_phrases,
+        op13_search,
         pipeline,
     )
 }
@@ -150,5 +171,32 @@ b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_n FROM s x JOIN s y
 e AS (SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_n >= 90 * (x.n + y.n - both_n)),
 v AS (SELECT doc_id AS id FROM documents), {_COMPONENTS}
 SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM t LEFT JOIN n ON n.doc_id = t.doc_id JOIN c ON c.id = t.doc_id
+""",
+    "op12_phrases": f"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM t),
+n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM (
+    SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)
+  )
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase HAVING count(*) >= 30),
+c AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE k >= 2),
+s AS (
+  SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, CAST(2000000 AS HUGEINT) * c.a // (CAST(l.f AS HUGEINT) + r.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(ws[1 : c.k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(ws[c.k + 1 : size], ' ')
+), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (
+  SELECT lang, array_to_string(ws[i : i + m - 1], ' ') AS phrase, max(a) AS around FROM (
+    SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM c WHERE size > 2)
+  ) GROUP BY ALL
+), kept AS (
+  SELECT best.* FROM best LEFT JOIN o ON o.lang = best.lang AND o.phrase = best.phrase WHERE around IS NULL OR 100 * CAST(around AS HUGEINT) < 80 * CAST(a AS HUGEINT)
+)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000
 """,
 }
