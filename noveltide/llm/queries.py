@@ -131,6 +131,7 @@ QUERIES = {
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 _SPACE = "concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))"
 
 #: Components of an edge list e(a, b) over nodes v(id), as c(id, component_id).
@@ -198,5 +199,21 @@ o AS (
 )
 SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM kept JOIN n ON n.lang = kept.lang QUALIFY rank <= 2000
+""",
+    "op13_search": f"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}')) AS term FROM documents
+), tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+dl AS (SELECT doc_id, count(*) AS n FROM t GROUP BY ALL),
+k AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS total FROM dl),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, k),
+m AS (SELECT doc_id, 75 + (25 * n * n_docs) // total AS m FROM dl, k),
+q AS (SELECT item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERM}')) AS term FROM benchmark),
+s AS (
+  SELECT item_id, tf.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN tf ON tf.term = q.term JOIN w ON w.term = q.term JOIN m ON m.doc_id = tf.doc_id GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 20
 """,
 }
