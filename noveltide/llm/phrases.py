@@ -16,8 +16,6 @@ word is never cut. An empty table gives an empty table. doc_id and extra columns
 from __future__ import annotations
 
 import uuid
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import U64, as_bytes, forget, mix, saved, shared_folder, slices
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
+BUCKET = 4 << 20  # bytes of text for each bucket of fingerprints
 PARTS = 64  # keys that a language's phrases are dealt over ahead of the last ranking
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse among 64-bit words
 #: Fixed values of the contract: what ends a piece, and what parts words.
@@ -35,17 +34,14 @@ KIND = np.array([2 if b in ENDS else 1 if b in GAPS else 0 for b in range(256)],
 BYTES = mix(np.arange(1, 257, dtype=U64))
 
 
-@cache
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U64)
-    out[0] = 1
-    return np.cumprod(out)
+_kept: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base^i and base^-i for i up to n, modulo 2^64."""
-    size = max(1 << 16, 1 << int(n).bit_length())
-    return _powers(BASE, size)[: n + 1], _powers(pow(BASE, -1, 1 << 64), size)[: n + 1]
+    """base^i and base^-i for i up to n, modulo 2^64; kept for the next call."""
+    if not _kept or len(_kept[0]) <= n:
+        _kept[:] = [np.cumprod(np.append(U64(1), np.full(max(n, BLOCK) + 1, b, dtype=U64))) for b in (BASE, pow(BASE, -1, 1 << 64))]
+    return _kept[0][: n + 1], _kept[1][: n + 1]
 
 
 def ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -66,7 +62,7 @@ class Block:
         word[1:-1] = kind == 0
         edge = np.flatnonzero(word[1:] != word[:-1])
         self.starts, self.ends, self.text, self.bits = edge[::2], edge[1::2], text, bits
-        self.piece = np.append(0, np.cumsum(kind == 2))[self.starts]
+        self.piece = np.cumsum(kind == 2, dtype=np.int32)[self.starts]
         self.own = int(np.searchsorted(self.starts, own))  # words that begin later are look-ahead
         self.hashes = mix(ranges(BYTES[raw], self.starts, self.ends) + (self.ends - self.starts).astype(U64))
         name = BYTES[np.frombuffer(b"lang " + lang.encode(), dtype=np.uint8)]
@@ -88,9 +84,12 @@ class Block:
         other = first[number]
         wrong = sizes != sizes[other]
         same = np.flatnonzero(~wrong)
-        within = np.arange(sizes[same].sum()) - np.repeat(np.cumsum(sizes[same]) - sizes[same], sizes[same])
-        differs = self.raw[np.repeat(self.starts[same], sizes[same]) + within] != self.raw[np.repeat(self.starts[other[same]], sizes[same]) + within]
-        wrong[np.repeat(same, sizes[same])[differs]] = True
+        same = same[other[same] != same]
+        for part in np.array_split(same, 1 + int(sizes[same].sum()) // (1 << 18)):  # some bytes at a time
+            n = sizes[part]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            differs = self.raw[np.repeat(self.starts[part], n) + within] != self.raw[np.repeat(self.starts[other[part]], n) + within]
+            wrong[np.repeat(part, n)[differs]] = True
         more: dict[bytes, int] = {}
         for i in np.flatnonzero(wrong):
             number[i] = more.setdefault(self.text[self.starts[i] : self.ends[i]], len(first) + len(more))
@@ -149,13 +148,13 @@ def _blocks(size: int, words: int):
                     if own < len(part):
                         yield row(lang, part, own)
                         continue
-                    held.setdefault(lang, []).append(part)
-                    sizes[lang] = sizes.get(lang, 0) + len(part) + 1
-                    if sum(sizes.values()) > 2 * size or sizes[lang] > size:
-                        full = max(sizes, key=sizes.get)
+                    while sizes.get(lang, 0) + len(part) >= size and lang in sizes or sum(sizes.values()) >= 2 * size:
+                        full = lang if sizes.get(lang, 0) + len(part) >= size and lang in sizes else max(sizes, key=sizes.get)
                         text = b"\n".join(held.pop(full))
                         yield row(full, text, len(text))
                         del sizes[full]
+                    held.setdefault(lang, []).append(part)
+                    sizes[lang] = sizes.get(lang, 0) + len(part) + 1
         for lang, parts in held.items():
             text = b"\n".join(parts)
             yield row(lang, text, len(text))
@@ -297,7 +296,7 @@ def count_phrases(docs: DataFrame, least: int, most: int = 4, bits: int = 64, bl
     spark.sql(f"DROP TABLE {name}")  # only the name goes: the files are in a folder of their own
     blocks.saved_path = path
     size = blocks.agg(F.sum("own")).first()[0] or 0
-    buckets = max(parts, -(-size // BLOCK))
+    buckets = max(parts, -(-size // BUCKET))
     groups = blocks.groupBy("block")
     back = "block long, fps binary, places binary"
     short = saved(groups.applyInArrow(_short(buckets, bits), SENT).groupBy("bucket").applyInArrow(_frequent(least), back))
