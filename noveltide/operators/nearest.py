@@ -1,4 +1,4 @@
-"""Exact nearest known vector, by blocks: queries and references meet in numpy products, never as single pairs."""
+"""Exact nearest known vector: queries and references meet in numpy products, of all references or of what the index opens."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
+from .metric import k_nearest
+
 #: Fixed value: least squared distance from every known vector that makes a vector novel (strictly above).
 NOVEL = 0.35
 OUT = "query_id long, distance double, ref_id long, label string"
@@ -30,39 +33,34 @@ def _nearest(q: pd.DataFrame, ids: np.ndarray, labels: np.ndarray, refs: np.ndar
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "distance": [], "ref_id": [], "label": []})
 
 
-def nearest_known(queries: DataFrame, refs: DataFrame, broadcast_rows: int = 20_000, block: int = 4_000) -> DataFrame:
+def nearest_known(queries: DataFrame, refs: DataFrame, broadcast_rows: int = 20_000, block: int = 1_000, write=stored, report: list | None = None) -> DataFrame:
     """(query_id, distance, ref_id, label): the nearest row of refs (ref_id, label, vector) for each query (query_id, vector).
 
     distance is squared; ties go to the smallest ref_id; with no refs it is infinite and the label is `unknown`. Up to
-    broadcast_rows references are broadcast, by count; more are dealt into blocks that each query block meets once.
+    broadcast_rows references are broadcast, by count; more are searched by the metric index, with the same result. Of
+    references with one vector the smallest ref_id, then label, stands for all; a null vector is no reference. report, if
+    given, gets the number of (query, block) pairs that the index opened and the number that there are.
     """
     refs = refs.where("vector is not null").select(F.col("ref_id").cast("long"), F.col("label").cast("string"), F.col("vector").cast("array<double>"))
     queries = queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<double>"))
     valid = queries.where("vector is not null")
-    n = refs.limit(broadcast_rows + 1).count()
-    if n <= broadcast_rows:
-        known = refs.orderBy("ref_id").toPandas()
+    known = refs.limit(broadcast_rows + 1).toPandas()
+    if len(known) <= broadcast_rows:
+        known = known.sort_values(["ref_id", "label"])
         held = queries.sparkSession.sparkContext.broadcast((known["ref_id"].to_numpy(), known["label"].to_numpy(), np.array(known["vector"].tolist())))
+        some = len(known) > 0
 
         def run(parts):
             for q in parts:
-                if n:
+                if some:
                     yield _nearest(q, *held.value)
 
         found = valid.mapInPandas(run, OUT)
     else:
-        blocks = max(1, -(-refs.count() // block))
-        dealt = refs.withColumn("rb", F.pmod(F.xxhash64("ref_id"), F.lit(blocks)))
-        asked = valid.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks // 4))))
-        asked = asked.withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        dealt = dealt.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(max(1, blocks // 4) - 1))))
-
-        def meet(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-            r = r.sort_values("ref_id")
-            return _nearest(q if len(r) else q.iloc[:0], r["ref_id"].to_numpy(), r["label"].to_numpy(), np.array(r["vector"].tolist()))
-
-        found = asked.groupBy("qb", "rb").cogroup(dealt.groupBy("qb", "rb")).applyInPandas(meet, OUT)
-        found = found.groupBy("query_id").agg(F.min(F.struct("distance", "ref_id", "label")).alias("m")).select("query_id", "m.*")
+        one = write(refs.groupBy("vector").agg(F.min(F.struct("ref_id", "label")).alias("r")).select("r.*", "vector"))
+        near = k_nearest(valid.withColumnRenamed("query_id", "id"), one.withColumnRenamed("ref_id", "id"), 1, write, rows=block, report=report)
+        labels = one.groupBy("ref_id").agg(F.min("label").alias("label"))
+        found = near.join(labels, "ref_id").select("query_id", F.col("d").alias("distance"), "ref_id", "label")
     return queries.select("query_id").join(found, "query_id", "left").select(
         "query_id", F.coalesce("distance", F.lit(float("inf"))).alias("distance"), "ref_id", F.coalesce("label", F.lit("unknown")).alias("label")
     )
