@@ -25,10 +25,9 @@ def split_of(image: Column, val_fraction: float, seed: int = 42) -> Column:
 
 
 def label_lines(mapped: DataFrame, classes: DataFrame) -> DataFrame:
-    """(source_image, n_boxes, lines): for each image its label lines in order, each once."""
-    rows = mapped.join(F.broadcast(classes), "label")  # one row a class
-    rows = rows.withColumn("line", format_label_line(F.col("class_id"), F.col("center")))
-    return rows.groupBy("source_image").agg(F.count("*").alias("n_boxes"), F.concat_ws("\n", F.sort_array(F.collect_set("line"))).alias("lines"))
+    """(source_image, n_boxes, lines): for each image its label lines in order, one a crop: crops with one box give equal lines."""
+    rows = mapped.join(classes, "label").withColumn("line", format_label_line(F.col("class_id"), F.col("center")))
+    return rows.groupBy("source_image").agg(F.count("*").alias("n_boxes"), F.concat_ws("\n", F.sort_array(F.collect_list("line"))).alias("lines"))
 
 
 def map_summary(mapped: DataFrame) -> DataFrame:

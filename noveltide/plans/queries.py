@@ -490,10 +490,16 @@ def ag14_map_summary(spark, d):
     return labels.map_summary(_mapped(spark, d)[0])
 
 
-@query("SELECT image_path AS source_image, count(*) AS n_boxes FROM boxes JOIN part ON l_partkey = p_partkey WHERE len(box) = 4 GROUP BY 1", "boxes")
+@query(
+    """SELECT image_path AS source_image, count(*) AS n_boxes, array_to_string(list_sort(list(printf('%d %.6f %.6f %.6f %.6f', class_id, (box[2] + box[4]) / 2000, (box[1] + box[3]) / 2000, (box[4] - box[2]) / 1000, (box[3] - box[1]) / 1000))), chr(10)) AS lines
+    FROM boxes JOIN part ON l_partkey = p_partkey JOIN (SELECT label, row_number() OVER (ORDER BY part, "at", label) - 1 AS class_id FROM (
+      SELECT p_type AS label, CASE WHEN p_type IN ('PROMO', 'MEDIUM') THEN 0 ELSE 1 END AS part, CASE p_type WHEN 'PROMO' THEN 0 WHEN 'MEDIUM' THEN 1 ELSE min(l_orderkey) END AS "at"
+      FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type)) ON label = p_type WHERE len(box) = 4 GROUP BY 1""",
+    "boxes",
+)
 def dm9_map_labels_to_images(spark, d):
     mapped, ids = _mapped(spark, d)
-    return labels.label_lines(mapped, ids).select("source_image", "n_boxes")
+    return labels.label_lines(mapped, ids)
 
 
 _FAULTS = """SELECT split, stem, line_no, unnest(CASE l.k WHEN 0 THEN ['count'] WHEN 1 THEN ['number'] WHEN 2 THEN ['class'] WHEN 3 THEN ['cx'] WHEN 4 THEN ['cx'] WHEN 6 THEN ['number'] ELSE [] END) AS fault

@@ -35,9 +35,9 @@ def scan_labeled_images(spark: SparkSession, directory: str, by_directory: bool
     return found if allowed is None else found.where(F.lower("label").isin([x.lower() for x in allowed]))
 
 
-def decode_images(spark: SparkSession, directory: str) -> DataFrame:
-    """Pixels (blue, green, red) of the files that can be read."""
-    found = spark.read.format("image").option("dropInvalid", "true").load(directory)
+def decode_images(spark: SparkSession, directory: str, keep_broken: bool = False) -> DataFrame:
+    """Pixels (blue, green, red) of the files that can be read; with keep_broken the others too, with height -1 and no data."""
+    found = spark.read.format("image").option("dropInvalid", str(not keep_broken).lower()).load(directory)
     return found.select(F.col("image.origin").alias("image_path"), *[F.col(f"image.{a}").alias(b) for a, b in (("height", "height"), ("width", "width"), ("nChannels", "channels"), ("data", "data"))])
 
 
@@ -69,21 +69,40 @@ def crop_pixels(images: DataFrame, boxes: DataFrame) -> DataFrame:
     return both.mapInPandas(cut, "crop_path string, image_path string, height int, width int, channels int, data binary, variance double")
 
 
+def resize_weights(n: int, side: int) -> np.ndarray:
+    """side x n weights of a bilinear resize; when it shrinks, the triangle covers all pixels of a cell."""
+    scale = n / side
+    reach = max(scale, 1.0)
+    center = (np.arange(side)[:, None] + 0.5) * scale
+    w = np.maximum(0, 1 - np.abs((np.arange(n)[None, :] + 0.5 - center) / reach))
+    return w / w.sum(axis=1, keepdims=True)
+
+
 def preprocess_images(images: DataFrame, side: int = SIDE) -> DataFrame:
-    """(image_path, tensor): nearest pixels on a side x side grid, scaled, less the mean, over the deviation; channel first."""
+    """(image_path, tensor, error): resized to side x side, scaled, less the mean, over the deviation; channel first.
+
+    An image that could not be decoded has a tensor of zeros and an error.
+    """
 
     def run(parts):
         for pdf in parts:
             out = []
             for r in pdf.itertuples():
-                p = _pixels(r)
-                y, x = (np.minimum(((np.arange(side) + 0.5) * n / side).astype(int), n - 1) for n in p.shape[:2])
-                rgb = p[y][:, x][..., ::-1] if r.channels >= 3 else np.repeat(p[y][:, x][..., :1], 3, axis=2)
-                t = (rgb[..., -3:] / 255.0 - np.array(MEAN)) / np.array(STD)
-                out.append((r.image_path, t.transpose(2, 0, 1).astype(np.float32).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["image_path", "tensor"])
+                if r.height <= 0 or r.width <= 0:
+                    out.append((r.image_path, [0.0] * (3 * side * side), "the image can't be read"))
+                    continue
+                p = _pixels(r)[..., ::-1] if r.channels >= 3 else np.repeat(_pixels(r)[..., :1], 3, axis=2)
+                rgb = np.einsum("ij,jkc,lk->ilc", resize_weights(r.height, side), p[..., -3:].astype(float), resize_weights(r.width, side), optimize=True)
+                t = (np.rint(rgb) / 255.0 - np.array(MEAN)) / np.array(STD)
+                out.append((r.image_path, t.transpose(2, 0, 1).astype(np.float32).ravel().tolist(), None))
+            yield pd.DataFrame(out, columns=["image_path", "tensor", "error"])
 
-    return images.mapInPandas(run, "image_path string, tensor array<float>")
+    return images.mapInPandas(run, "image_path string, tensor array<float>, error string")
+
+
+def missing_directories(spark: SparkSession, root: str, needed: tuple = ("images/train", "images/val", "labels/train", "labels/val")) -> DataFrame:
+    """(fault): the folders of a label set that are not there."""
+    return spark.createDataFrame([(f"missing directory {d}",) for d in needed if not _exists(spark, f"{root}/{d}")], "fault string")
 
 
 def read_label_lines(spark: SparkSession, directory: str) -> DataFrame:
@@ -108,8 +127,9 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
 
 def read_run_metrics(spark: SparkSession, path: str) -> DataFrame:
     """(run, step, status, latency, items, failures) of all runs; none where nothing was written."""
-    schema = "run long, step string, status string, latency double, items long, failures long"
-    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    schema = "run string, step string, status string, latency double, items long, failures long"
+    names = [x.split()[0] for x in schema.split(", ")]
+    return spark.read.schema(schema).parquet(path).select(names) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def read_annotations(spark: SparkSession, path: str, multi_line: bool = True) -> tuple[DataFrame, bool]:
@@ -121,4 +141,5 @@ def read_annotations(spark: SparkSession, path: str, multi_line: bool = True) ->
     if not _exists(spark, path):
         return spark.createDataFrame([], schema), False
     found = spark.read.schema(schema).option("multiLine", str(multi_line).lower()).json(path)
+    found = found.select("image_path", "image_name", "anomalies_found", "findings", "prompt_tokens", "error")
     return found, bool(found.where(F.size("findings") > 0).limit(1).count())

@@ -6,15 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import _exists
-
-
-def _add_missing(rows: DataFrame, path: str, key: list[str], kind: str = "parquet") -> None:
-    """Appends the rows whose key is not there yet; one row a key, the smallest."""
-    spark = rows.sparkSession
-    if _exists(spark, path):
-        there = spark.read.format(kind).schema(rows.select(*key).schema).load(path)
-        rows = rows.join(there.distinct(), key, "left_anti")
-    rows.write.format(kind).mode("append").save(path)
+from .tables import upsert
 
 
 def write_crops(crops: DataFrame, path: str) -> None:
@@ -62,12 +54,12 @@ def write_unknowns(classified: DataFrame, path: str) -> None:
 
 def write_annotations(annotations: DataFrame, path: str) -> None:
     """Adds to the cache, one JSON row an image: images that it has keep what they have."""
-    _add_missing(annotations, path, ["image_path"], "json")
+    upsert(annotations, path, ["image_path"], kind="json")
 
 
 def write_step_metrics(metrics: DataFrame, path: str) -> None:
-    """Adds the steps of runs that are not there yet."""
-    _add_missing(metrics, path, ["run", "step"])
+    """Adds the steps of runs that are not there yet, one row a run and step; runs are named by text."""
+    upsert(metrics.withColumn("run", F.col("run").cast("string")), path, ["run", "step"])
 
 
 def save_index(index: DataFrame, path: str) -> None:
@@ -82,12 +74,12 @@ def write_dataset_version(dataset: DataFrame, path: str, tag: str, message: str
     """An immutable snapshot under its tag, and a row in the table of tags; an existing tag is left as it is."""
     dataset.write.mode("ignore").parquet(f"{path}/data/version={tag}")
     row = dataset.sparkSession.range(1).select(F.lit(tag).alias("tag"), F.lit(message).alias("message"), F.current_timestamp().alias("at"))
-    _add_missing(row, f"{path}/tags", ["tag"])
+    upsert(row, f"{path}/tags", ["tag"], buckets=1)
 
 
 def write_deployment(deployment: DataFrame, path: str) -> None:
     """Adds deployments (line, model, deployed_at, action) that are not there yet."""
-    _add_missing(deployment, path, ["line", "model", "deployed_at"])
+    upsert(deployment, path, ["line", "model", "deployed_at"])
 
 
 def reset_tables(spark: SparkSession, root: str, names: list[str], backup: str, index: DataFrame | None = None) -> None:
