@@ -94,6 +94,47 @@ def merge_defaults(given: Column, defaults: Column) -> Column:
     return F.when(given.isNull(), defaults).otherwise(F.map_concat(rest, given))
 
 
+#: What an advice has where it says nothing.
+ADVICE = {"should_train": False, "reason": "No recommendation available", "augmentation_notes": ""}
+ADVICE_CONFIG = {
+    "epochs": "1", "batch": "8", "imgsz": "640", "lr0": "0.01", "lrf": "0.01", "momentum": "0.937", "weight_decay": "0.0005", "warmup_epochs": "3.0", "patience": "15", "optimizer": "AdamW", "cos_lr": "true", "freeze": "10",
+    "augment": "true", "mosaic": "1.0", "mixup": "0.1", "degrees": "15.0", "translate": "0.2", "scale": "0.5", "flipud": "0.5", "fliplr": "0.5", "hsv_h": "0.015", "hsv_s": "0.7", "hsv_v": "0.4",
+}
+#: The parameters of a training run that the user may give, with the advice's name for each and the default.
+GIVEN = [("epochs", "epochs", 1), ("imgsz", "imgsz", 640), ("batch_size", "batch", 16)]
+
+
+def merge_advice(reply: Column) -> Column:
+    """struct(should_train, reason, augmentation_notes, config) of an advice (JSON text), with defaults at both levels.
+
+    A key of config that the reply has stands, others have their default; a config that is no object is as if absent. Values of
+    config are texts. A reply that is no JSON object is the default advice.
+    """
+    text = lambda path: F.get_json_object(reply, path)
+    given = F.from_json(F.when(F.startswith(F.trim(text("$.config")), F.lit("{")), text("$.config")), "map<string, string>")
+    defaults = F.create_map(*[F.lit(x) for pair in ADVICE_CONFIG.items() for x in pair])
+    return F.struct(
+        F.coalesce(text("$.should_train").try_cast("boolean"), F.lit(ADVICE["should_train"])).alias("should_train"),
+        F.coalesce(text("$.reason"), F.lit(ADVICE["reason"])).alias("reason"),
+        F.coalesce(text("$.augmentation_notes"), F.lit(ADVICE["augmentation_notes"])).alias("augmentation_notes"),
+        merge_defaults(given, defaults).alias("config"),
+    )
+
+
+def training_params(user: Column, advice: Column) -> Column:
+    """Map from every parameter of a training run to its value, as text: the user's, else the advised one, else the default.
+
+    user and advice are maps of texts; a user's 0 or empty text counts as not given. Only epochs, image size and batch size can be
+    given by the user; the others are as advised, and missing where the advice has none.
+    """
+    of = lambda m, k: F.try_element_at(F.coalesce(m, F.create_map().cast("map<string,string>")), F.lit(k))
+    own = lambda k: F.when(~of(user, k).isin("0", "", "0.0"), of(user, k))
+    first = F.create_map(*[x for name, advised, default in GIVEN for x in (F.lit(advised), F.coalesce(own(name), of(advice, advised), F.lit(str(default))))])
+    others = [k for k in ADVICE_CONFIG if k not in {a for _, a, _ in GIVEN}]
+    rest = F.map_filter(F.coalesce(advice, F.create_map().cast("map<string,string>")), lambda k, v: k.isin(others))
+    return F.map_concat(first, rest)
+
+
 def first_given(user: Column, advice: Column, default, zero_is_missing: bool = False) -> Column:
     """The user's value, else the advised one, else the default."""
     if zero_is_missing:

@@ -15,6 +15,16 @@ def register_classes(events: DataFrame, names: DataFrame, source: str, at: Colum
     return events.unionByName(fresh.select("class_name", F.lit(source).alias("source"), at.alias("at")))
 
 
+def register_from_model(events: DataFrame, names: DataFrame, at: Column, source: str = "model") -> DataFrame:
+    """events with the classes of a deployed model (class_name); a model without names adds nothing."""
+    return register_classes(events, names, source, at)
+
+
+def register_from_class_list(events: DataFrame, descriptors: DataFrame, at: Column, source: str = "dashboard_naming") -> DataFrame:
+    """events with the classes of a descriptor, whose names are a list or a map from index to name."""
+    return register_classes(events, read_class_list(descriptors).select("class_name"), source, at)
+
+
 def class_registry(events: DataFrame) -> DataFrame:
     """One row: sorted classes, version (batches that added something), time of the last; empty is version 0."""
     return events.agg(F.sort_array(F.collect_set("class_name")).alias("classes"), F.count_distinct("source", "at").alias("version"), F.max("at").alias("last_updated"))

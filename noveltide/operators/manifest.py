@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import path_name
+from .indexing import running_index
 
 CROP = "struct<crop_path string, source_image string, finding_index int, physical_traits string>"
 MANIFEST = f"map<string, struct<cluster_id int, crop_count int, defect_name string, crops array<{CROP}>>>"
@@ -37,6 +38,18 @@ def build_manifest(flat: DataFrame) -> DataFrame:
     )
 
 
+def cluster_pages(flat: DataFrame, write, rows: int = 1000) -> DataFrame:
+    """(cluster_name, page, crop_paths): each cluster's crops in path order, in pages from 0 of at most `rows` crops.
+
+    Places come from one running number over all crops, so that no task holds a cluster whole.
+    """
+    placed = write(running_index(flat.select("cluster_name", "crop_path"), write, "cluster_name", "crop_path"))
+    first = placed.groupBy("cluster_name").agg(F.min("index").alias("first"))
+    page = F.floor((F.col("index") - F.col("first")) / rows).cast("int")
+    paged = placed.join(F.broadcast(first) if first.limit(20_001).count() <= 20_000 else first, "cluster_name")
+    return paged.groupBy("cluster_name", page.alias("page")).agg(F.sort_array(F.collect_list("crop_path")).alias("crop_paths"))
+
+
 def read_manifest(nested: DataFrame) -> DataFrame:
     """Flat crops of a table of (run_id, json) manifests; clusters without crops keep a row with null crop."""
     entries = nested.select("run_id", F.explode(F.from_json("json", MANIFEST)).alias("cluster_name", "c"))

@@ -37,8 +37,10 @@ def scan_labeled_images(spark: SparkSession, directory: str, by_directory: bool
 
 def decode_images(spark: SparkSession, directory: str, keep_broken: bool = False) -> DataFrame:
     """Pixels (blue, green, red) of the files that can be read; with keep_broken the others too, with height -1 and no data."""
-    found = spark.read.format("image").option("dropInvalid", str(not keep_broken).lower()).load(directory)
-    return found.select(F.col("image.origin").alias("image_path"), *[F.col(f"image.{a}").alias(b) for a, b in (("height", "height"), ("width", "width"), ("nChannels", "channels"), ("data", "data"))])
+    found = spark.read.format("image").option("dropInvalid", str(not keep_broken).lower()).option("recursiveFileLookup", "true").load(directory)
+    # the image reader writes paths as addresses; scan_images has them as the file system does
+    path = F.regexp_replace(F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    return found.select(path.alias("image_path"), *[F.col(f"image.{a}").alias(b) for a, b in (("height", "height"), ("width", "width"), ("nChannels", "channels"), ("data", "data"))])
 
 
 def _pixels(row) -> np.ndarray:
