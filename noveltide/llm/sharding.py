@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import forget, saved
 
 BUCKETS = 1024
+DEAL = 256  # keys that a text's rows are dealt over while their number is not known
 SPLIT = 1000  # members of a group for each key that it is dealt over
 
 
@@ -39,10 +40,13 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = 4) -> DataF
     rows = saved(
         rows.select("*", F.xxhash64("doc_id", "grp.a", F.lit(1)).alias("r")).withColumn("bucket", F.pmod("r", F.lit(BUCKETS)))
     )
-    # linked documents: groups of at least two
-    groups = rows.where("grp is not null").groupBy("grp").agg(F.count("*").alias("members"), F.sum("size").alias("bytes")).where("members > 1")
-    known = rows.where("grp is not null").join(groups, "grp", "left")
-    state = known.unionByName(rows.where("grp is null"), allowMissingColumns=True).withColumn(
+    # linked documents: groups of at least two. A text that a third of all rows have is dealt over several keys from the start
+    # and counted by them, so that no task gets a group whole
+    own = rows.withColumn("deal", F.pmod(F.xxhash64("r", F.lit(8)), F.lit(DEAL)))
+    dealt = own.where("grp is not null").groupBy("grp", "deal").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    groups = dealt.groupBy("grp").agg(F.sum("n").alias("members"), F.sum("s").alias("bytes")).where("members > 1")
+    known = own.where("grp is not null").join(dealt.select("grp", "deal").join(groups, "grp"), ["grp", "deal"], "left")
+    state = known.unionByName(own.where("grp is null"), allowMissingColumns=True).drop("deal").withColumn(
         "shard", F.when(F.col("members").isNotNull(), F.pmod(F.xxhash64("r", F.lit(2)), F.lit(shards)).cast("int"))
     )
     # a large group is dealt over as many keys as it has SPLIT members, so that no task gets it whole
