@@ -299,26 +299,41 @@ def _emit_strings(length: int, buckets: int):
     return run
 
 
+MARKED = 32  # places are put in order by marking them where they are more than this share of all, else by a sort
 PACKED = 7  # symbols of nine bits in the first key of suffix_order
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix array of an array of numbers below 512, ordered by at least `depth` symbols (by doubling)."""
+    """Suffix array of an array of numbers below 512, ordered by at least `depth` symbols.
+
+    By doubling: the rank of a suffix is the first place of those with equal symbols so far, and only these are sorted on.
+    """
     n = len(symbols)
     key = np.zeros(n, dtype=np.int64)
     for k in range(PACKED):
         key <<= 9
         key[: max(n - k, 0)] |= symbols[k:] + 1 if k else symbols + 1
     have, rank = PACKED, np.empty(n, dtype=np.int64)
-    while True:
-        order = np.argsort(key, kind="stable")
-        rank[order] = np.cumsum(np.concatenate([[0], key[order][1:] != key[order][:-1]]))
-        if have >= depth or rank[order[-1]] == n - 1:
-            return order
-        after = np.zeros(n, dtype=np.int64)
-        after[: max(n - have, 0)] = rank[have:] + 1
-        key = rank * (n + 1) + after
+    order = np.argsort(key)
+    sorted_key = key[order]
+    head = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    while have < depth:
+        slots = np.flatnonzero(~head | ~np.append(head[1:], True))
+        if not len(slots):
+            break
+        some = order[slots]
+        after = np.zeros(len(some), dtype=np.int64)
+        inside = some < n - have
+        after[inside] = rank[some[inside] + have] + 1
+        key = rank[some] * (n + 1) + after
+        by_key = np.argsort(key)
+        order[slots], key = some[by_key], key[by_key]
+        first = np.concatenate([[True], key[1:] != key[:-1]])
+        head[slots] = first
+        rank[order[slots]] = slots[np.maximum.accumulate(np.where(first, np.arange(len(slots)), 0))]
         have *= 2
+    return order
 
 
 def transform(symbols: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -327,10 +342,10 @@ def transform(symbols: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.nd
     That is the count of smaller symbols plus the rank of the row among the rows of its symbol: where a row of the
     interval of x lies in the interval of c x, when c is its symbol.
     """
-    before = symbols[order - 1]
-    by_symbol = np.argsort(before.astype(np.uint16), kind="stable")
-    onto = np.empty(len(order), dtype=np.int64)
-    onto[by_symbol] = np.arange(len(order))
+    before = symbols[order - 1].astype(np.uint16)
+    by_symbol = np.argsort(before, kind="stable")
+    onto = np.empty(len(order), dtype=np.int32)
+    onto[by_symbol] = np.arange(len(order), dtype=np.int32)
     return before, onto
 
 
@@ -348,19 +363,28 @@ def equal_prefixes(symbols: np.ndarray, length: int) -> np.ndarray:
     before, onto = transform(symbols, order)
     border = np.zeros(n + 1, dtype=bool)
     border[0] = border[n] = True
-    low, high = np.zeros(1, dtype=np.int64), np.full(1, n, dtype=np.int64)
+    low, high = np.zeros(1, dtype=np.int32), np.full(1, n, dtype=np.int32)
+    marked, at = np.zeros(n, dtype=bool), np.empty(n, dtype=np.int32)
     for _ in range(length):
         width = high - low
         if not len(width):
             break
-        rows = np.repeat(low - np.cumsum(width) + width, width) + np.arange(int(width.sum()))
-        of = np.repeat(np.arange(len(width)), width)
-        inner = before[rows] > 0
-        rows, of = rows[inner], of[inner]
-        place, symbol = onto[rows], before[rows]
+        count = int(width.sum())
+        rows = np.repeat(low - np.cumsum(width, dtype=np.int32) + width, width) + np.arange(count, dtype=np.int32)
+        of = np.repeat(np.arange(len(width), dtype=np.int32), width)
+        symbol = before[rows]
+        inner = symbol > 0
+        place, of, symbol = onto[rows[inner]], of[inner], symbol[inner]
         # the rows of an interval with one symbol go to one run of places
-        by_place = np.argsort(place)
-        place, of, symbol = place[by_place], of[by_place], symbol[by_place]
+        if len(place) > n // MARKED:
+            marked[place], at[place] = True, np.arange(len(place), dtype=np.int32)
+            place = np.flatnonzero(marked).astype(np.int32)
+            marked[place] = False
+            by_place = at[place]
+        else:
+            by_place = np.argsort(place)
+            place = place[by_place]
+        of, symbol = of[by_place], symbol[by_place]
         ends = np.flatnonzero(np.concatenate([(of[1:] != of[:-1]) | (symbol[1:] != symbol[:-1]), [True]])) if len(of) else of
         right = place[ends] + 1
         left = place[np.concatenate([[0], ends[:-1] + 1])] if len(ends) else right
@@ -372,8 +396,12 @@ def equal_prefixes(symbols: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def repeated_windows(strings: list[bytes], docs: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
-    """For each string a mask of its windows that also start in a string of a smaller document."""
+def repeated_windows(strings: list[bytes], docs: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of the windows of different strings that also start in a smaller document: (of docs, of later documents).
+
+    A string is sorted once; where later documents hold it too, their rows lie next to its own in the transform, so that the
+    smallest document of an interval is read out for both.
+    """
     total = sum(map(len, strings)) + len(strings)
     symbols = np.zeros(total, dtype=np.int64)
     starts, at = [], 0
@@ -388,7 +416,8 @@ def repeated_windows(strings: list[bytes], docs: np.ndarray, counts: np.ndarray,
     doc = np.repeat(docs, counts)
     least = np.full(int(own.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, own, doc)
-    return np.bitwise_or.reduceat(np.where(least[own] < doc, U64(1) << nth.astype(U64), U64(0)), first)
+    mask = lambda who: np.bitwise_or.reduceat(np.where(least[own] < who, U64(1) << nth.astype(U64), U64(0)), first)
+    return mask(doc), mask(np.iinfo(np.int64).max)
 
 
 SUFFIXES = 1_500_000  # bytes of different strings in one suffix array, as far as anchors allow
@@ -408,9 +437,8 @@ def _answer_strings(length: int):
     def run(table: pa.Table) -> pa.Table:
         """One bucket: for each string of each chunk two 32-bit masks of its windows to drop.
 
-        The first is for the smallest document of the chunk with this string, the second for all others. The different
-        strings of one anchor go into the transform, each once for its smallest document and, if others hold it, once for
-        these. A string that is alone at its anchor goes as a whole from all its documents but the smallest.
+        The first is for the smallest document of the chunk with this string, the second for all others. Every string that
+        others hold, or that shares its anchor with another string, goes into the transform, once.
         """
         cols = {c: table[c].to_pylist() for c in ("docs", "several", "grams", "counts", "strings")}
         docs = np.concatenate([np.frombuffer(x, dtype="<i8") for x in cols["docs"]])
@@ -433,21 +461,18 @@ def _answer_strings(length: int):
         shared[number[later | several]] = True
         g = grams[holder]
         edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
-        own, others = np.zeros(len(holder), dtype=U64), (U64(1) << counts[holder].astype(U64)) - U64(1)
+        own, others = np.zeros(len(holder), dtype=U64), np.zeros(len(holder), dtype=U64)
         todo, size = [], 0
         spans = list(zip(edge[:-1], edge[1:], strict=True))
         for n, (a, b) in enumerate(spans):
-            if b - a > 1:
+            if b - a > 1 or shared[a]:
                 todo += range(a, b)
-                size += int((sizes[holder[a:b]] * (1 + shared[a:b])).sum())
+                size += int(sizes[holder[a:b]].sum())
             if todo and (size >= SUFFIXES or n == len(spans) - 1):
                 todo = np.array(todo)
-                rows, twice = holder[todo], todo[shared[todo]]
-                both = np.concatenate([rows, holder[twice]])
-                strings = [flat[starts[r] : starts[r] + sizes[r]].tobytes() for r in both]
-                who = np.concatenate([docs[rows], np.full(len(twice), np.iinfo(np.int64).max)])
-                masks = repeated_windows(strings, who, counts[both], length)
-                own[todo], others[twice] = masks[: len(todo)], masks[len(todo) :]
+                rows = holder[todo]
+                strings = [flat[starts[r] : starts[r] + sizes[r]].tobytes() for r in rows]
+                own[todo], others[todo] = repeated_windows(strings, docs[rows], counts[rows], length)
                 todo, size = [], 0
         first = np.where(later, others[number], own[number]).astype("<u4")
         rest = others[number].astype("<u4")
