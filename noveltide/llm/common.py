@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 #: The ASCII white space of the word contracts; also what bytes.split() and bytes.strip() use.
 SPACE = b" \t\n\x0b\x0c\r"
 U64 = np.uint64
+_owned: list[list[str]] = []  # paths written inside each open scratch()
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -30,6 +32,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 def saved(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: cuts the lineage and survives lost executors."""
+    back = saved_outside(df)
+    owned(back.saved_path)
+    return back
+
+
+def owned(path: str) -> None:
+    """The innermost open scratch(), if there is one, deletes this folder at its end."""
+    if _owned:
+        _owned[-1].append(path)
+
+
+def saved_outside(df: DataFrame) -> DataFrame:
+    """saved() for a result that outlives the scratch() it is made in."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.parquet"
     before = spark.conf.get(CLEANUP)
@@ -43,6 +58,22 @@ def saved(df: DataFrame) -> DataFrame:
     return back
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Owns the intermediates: what saved() writes inside is deleted at the end. Write the result before that.
+
+        with scratch(spark):
+            dedup_lines(docs).write.parquet(path)
+    """
+    _owned.append([])
+    try:
+        yield
+    finally:
+        for name in _owned.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a saved() or components() table; only where every user has itself been saved."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_path)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, forget, mix, saved, shared_folder, slices
+from .common import U64, as_bytes, forget, mix, owned, saved, shared_folder, slices
 
 BLOCK = 2 << 20
 BUCKET = 4 << 20  # bytes of text for each bucket of fingerprints
@@ -289,6 +289,7 @@ def count_phrases(docs: DataFrame, least: int, most: int = 4, bits: int = 64, bl
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"blocks_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
+    owned(path)
     made = docs.select("lang", "text").mapInArrow(_blocks(block, most - 1), "block long, lang string, own long, text binary")
     # written once, bucketed: every pass finds the texts where they are, and only fingerprints move
     made.repartition(parts, "block").write.bucketBy(parts, "block").sortBy("block").option("path", path).saveAsTable(name)

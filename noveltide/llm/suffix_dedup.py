@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, mix, saved, shared_folder
+from .common import U64, as_bytes, mix, owned, saved, shared_folder
 
 CHUNK = 2_000_000
 GRAM = 30
@@ -534,6 +534,7 @@ def dedup_passages(docs: DataFrame, length: int = 50, as_text: bool = False) ->
     # written once, bucketed: the joins below find the chunks where they are, and lost executors change nothing
     name = f"chunks_{uuid.uuid4().hex}"
     chunks = pack_chunks(docs).repartition(parts, "chunk_id").write.bucketBy(parts, "chunk_id").sortBy("chunk_id")
+    owned(f"{shared_folder(spark)}/{name}")
     chunks.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
     chunks = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # only the name goes: the files are in a folder of their own
