@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noveltide.llm import jaccard, line_dedup, packing, quality, suffix_dedup
-from noveltide.llm.common import free_name, saved
+from noveltide.llm.common import forget, free_name, saved_outside, scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -92,9 +92,14 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir))
+        with scratch(spark):  # a stage's intermediates go once its result is written
+            found = stage(spark, docs, sf_dir)
+            docs = saved_outside(found)
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
 
 
