@@ -4,14 +4,36 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_owned: list[list[str]] = []  # paths given out inside each open scratch()
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Owns the intermediates: what stored() writes inside is deleted at the end. Write the result before that.
+
+        with scratch(spark):
+            cluster_novel(points, stored).write.parquet(path)
+    """
+    _owned.append([])
+    try:
+        yield
+    finally:
+        for name in _owned.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read again."""
     spark = df.sparkSession
     path = new_folder(spark) + ".parquet"
+    if _owned:
+        _owned[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
