@@ -303,16 +303,21 @@ MARKED = 32  # places are put in order by marking them where they are more than
 PACKED = 7  # symbols of nine bits in the first key of suffix_order
 
 
-def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix array of an array of numbers below 512, ordered by at least `depth` symbols.
-
-    By doubling: the rank of a suffix is the first place of those with equal symbols so far, and only these are sorted on.
-    """
-    n = len(symbols)
-    key = np.zeros(n, dtype=np.int64)
+def packed(symbols: np.ndarray) -> np.ndarray:
+    """The first PACKED symbols of each suffix in one number, 0 behind the end."""
+    n, key = len(symbols), np.zeros(len(symbols), dtype=np.int64)
     for k in range(PACKED):
         key <<= 9
         key[: max(n - k, 0)] |= symbols[k:] + 1 if k else symbols + 1
+    return key
+
+
+def suffix_order(symbols: np.ndarray, depth: int, key: np.ndarray | None = None) -> np.ndarray:
+    """Suffix array of an array of numbers below 512, ordered by at least `depth` symbols; key, if given, is packed(symbols).
+
+    By doubling: the rank of a suffix is the first place of those with equal symbols so far, and only these are sorted on.
+    """
+    n, key = len(symbols), packed(symbols) if key is None else key
     have, rank = PACKED, np.empty(n, dtype=np.int64)
     order = np.argsort(key)
     sorted_key = key[order]
@@ -352,20 +357,31 @@ def transform(symbols: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.nd
 def equal_prefixes(symbols: np.ndarray, length: int) -> np.ndarray:
     """For each suffix the number of its interval of suffixes with the same first `length` symbols, none of them 0.
 
-    Breadth-first over the transform: the queue holds the intervals of strings of one length, at first the one of the
-    empty string. Each interval is extended backwards by every symbol in it but 0, the separator. Where the right border
+    Breadth-first over the transform: the queue holds the intervals of strings of one length, at first those of PACKED
+    symbols, which the first key of the sort gives (of the empty string, where length is less). Each interval is extended backwards by every symbol in it but 0, the separator. Where the right border
     of an extension is not known yet, the suffixes at its sides have exactly `level` symbols in common, and the extension
     enters the queue. So common prefixes come out by rising value, and those still unknown when the strings have
     `length` symbols are `length` or more: there the search stops.
     """
-    order = suffix_order(symbols, length)
+    key = packed(symbols)
+    order = suffix_order(symbols, length, key)
     n = len(order)
     before, onto = transform(symbols, order)
     border = np.zeros(n + 1, dtype=bool)
     border[0] = border[n] = True
-    low, high = np.zeros(1, dtype=np.int32), np.full(1, n, dtype=np.int32)
+    low, high, known = np.zeros(1, dtype=np.int32), np.full(1, n, dtype=np.int32), 0
+    if length > PACKED:
+        key, known = key[order], PACKED
+        border[1:n] = key[1:] != key[:-1]
+        edges = np.flatnonzero(border).astype(np.int32)
+        low, high = edges[:-1], edges[1:]
+        # the queue gets strings whose right border has just been found: all symbols but the last in common, no separator
+        last = np.append((key[high[:-1]] >> 9) == (key[low[:-1]] >> 9), False)
+        for k in range(PACKED):
+            last &= (key[low] >> 9 * k & 511) > 1
+        low, high = low[last], high[last]
     marked, at = np.zeros(n, dtype=bool), np.empty(n, dtype=np.int32)
-    for _ in range(length):
+    for _ in range(known, length):
         width = high - low
         if not len(width):
             break
