@@ -50,6 +50,11 @@ def jn4_nearest_known(spark, d):
     return nearest.nearest_known(*views(spark, d, "asked", "known")).withColumn("distance", F.round("distance", 6))
 
 
+@query("SELECT query_id, round(distance, 6) AS distance, ref_id, label FROM nearest", "nearest")
+def jn4_nearest_by_index(spark, d):
+    return nearest.nearest_known(*views(spark, d, "asked", "known"), broadcast_rows=0, block=200).withColumn("distance", F.round("distance", 6))
+
+
 @query("SELECT query_id, label FROM nearest", "nearest")
 def jn5_nearest_label(spark, d):
     return nearest.nearest_label(*views(spark, d, "asked", "known"))
@@ -94,6 +99,12 @@ def ml6_core_distance(spark, d):
     return clustering.core_distances(v, 3).withColumn("core", F.round("core", 6))
 
 
+@query(ORACLES["ml6_core_distance"])
+def ml6_core_distance_by_index(spark, d):
+    (v,) = views(spark, d, "vectors")
+    return clustering.core_distances(v.select("id", "vector"), 3, plain=0, rows=500).withColumn("core", F.round("core", 6))
+
+
 @query(
     """SELECT * FROM (WITH p AS (SELECT a.id AS a, b.id AS b, sqrt(list_sum(list_transform(list_zip(a.vector, b.vector), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS dist FROM vectors a JOIN vectors b ON a.id <> b.id),
     c AS (SELECT a AS id, list_sort(list(dist))[3] AS core FROM p GROUP BY a)

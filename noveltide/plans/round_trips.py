@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import flows
 from ..functions import boxes as bx
+from ..functions import events as ev
 from ..operators import classes, labels, manifest, models, registry, routing, runs
 from ..sources import files, sinks
+from ..sources.tables import Tables
 from ..streaming import streams
 from .queries import _CLASSIFIED, _COUNTS, _STATUS, _mapped, _with_metadata, query
-from .storage import new_folder
+from .storage import new_folder, stored
 from .views import table, views
 
 
@@ -276,3 +279,91 @@ def sm5_stream_node_state(spark, d):
     source = new_folder(spark)
     log.write.parquet(source)
     return _settled(spark, streams.stream_node_state(spark.readStream.schema(log.schema).parquet(source))).select("node", "state")
+
+
+@query("SELECT seq, level, source, message FROM log ORDER BY ts DESC, seq DESC LIMIT 2000", "log")
+def sm2_retained_stream(spark, d):
+    """The newest events, kept by the stream itself over two arrivals, the second of older events."""
+    (log,) = views(spark, d, "log")
+    source, root, checkpoint = (new_folder(spark) for _ in range(3))
+    rows = log.select(F.col("ts").cast("timestamp").alias("ts"), F.col("seq").cast("long").alias("seq"), "level", "source", "message", F.lit(None).cast("string").alias("data"))
+    for part in (F.col("seq") % 3 > 0, F.col("seq") % 3 == 0):
+        rows.where(part).write.mode("append").json(source)
+        streams.retain_newest(streams.stream_log(spark, source), root, checkpoint).awaitTermination()
+    return Tables(spark, root).read("log").select("seq", "level", "source", "message")
+
+
+@query("SELECT run, step, status, latency, failures FROM metrics", "metrics")
+def sm3_step_state_upserts(spark, d):
+    """Step states by an update-mode stream into a table with one row a step, taken twice."""
+    (steps,) = views(spark, d, "steps")
+    source, path = new_folder(spark), new_folder(spark)
+    steps.write.parquet(source)
+    for _ in range(2):  # another checkpoint: all batches come again and change nothing
+        found = streams.stream_step_state(spark.readStream.schema(steps.schema).parquet(source))
+        streams.upsert_stream(found, path, ["run", "step"], ["last", "failures"], new_folder(spark)).awaitTermination()
+    return spark.read.parquet(path).select("run", "step", "status", "latency", "failures")
+
+
+@query("SELECT printf('img_%06d.jpg', o_orderkey) AS image_path, o_custkey AS cluster FROM orders WHERE o_orderkey % 3 <> 0")
+def st1_new_images(spark, d):
+    o = table(spark, d, "orders").select(F.format_string("img_%06d.jpg", "o_orderkey").alias("image_path"), F.col("o_custkey").alias("cluster"), "o_orderkey")
+    seen = o.where("o_orderkey % 3 = 0").select("image_path")
+    rows = o.select("image_path", "cluster")
+    return streams.new_images(rows.union(rows), seen)
+
+
+@query("SELECT 'clusters' AS name, count(*) AS n, count(defect_name) AS named FROM clusters UNION ALL SELECT 'index', count(*), 0 FROM embeddings WHERE label <= 2", "clusters")
+def dm8_versions(spark, d):
+    """Tables changed together, then put back together."""
+    c, known = views(spark, d, "clusters", "known")
+    tables = Tables(spark, new_folder(spark))
+    first = tables.commit({"clusters": c, "index": known.select("ref_id", "label")})
+    tables.commit({"clusters": manifest.without_noise(c).withColumn("defect_name", F.lit("other")), "index": None})
+    tables.restore(first)
+    one = tables.read("clusters").agg(F.lit("clusters").alias("name"), F.count("*").alias("n"), F.count("defect_name").alias("named"))
+    return one.union(tables.read("index").agg(F.lit("index"), F.count("*"), F.lit(0).cast("long")))
+
+
+@query(
+    """SELECT cluster_name, page::INT AS page, count(*) AS crops, min(crop_path) AS first, max(crop_path) AS last FROM (
+    SELECT *, (row_number() OVER (PARTITION BY cluster_name ORDER BY crop_path) - 1) // 20 AS page FROM clusters) GROUP BY ALL""",
+    "clusters",
+)
+def ag5_cluster_pages(spark, d):
+    (c,) = views(spark, d, "clusters")
+    pages = manifest.cluster_pages(c, stored, 20)
+    return pages.select("cluster_name", "page", F.size("crop_paths").cast("long").alias("crops"), F.array_min("crop_paths").alias("first"), F.array_max("crop_paths").alias("last"))
+
+
+@query(
+    """SELECT o_orderkey, o_orderkey % 2 = 0 AS should_train, CASE WHEN o_orderkey % 3 = 0 THEN 'r' || o_orderkey ELSE 'No recommendation available' END AS reason,
+    CASE WHEN o_orderkey % 5 = 0 THEN o_custkey::VARCHAR ELSE '0.01' END AS lr0, CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 7)::VARCHAR ELSE '1' END AS epochs, '8' AS batch, 23 AS parameters FROM orders"""
+)
+def sc15_sc16_advice(spark, d):
+    k = F.col("o_orderkey")
+    config = F.when(k % 5 == 0, F.struct(F.col("o_custkey").alias("lr0")))
+    reply = F.to_json(F.struct(F.when(k % 2 == 0, True).alias("should_train"), F.when(k % 3 == 0, F.concat(F.lit("r"), k.cast("string"))).alias("reason"), config.alias("config")))
+    rows = table(spark, d, "orders").select("o_orderkey", ev.merge_advice(reply).alias("a"), F.create_map(F.lit("epochs"), (k % 7).cast("string")).alias("user"))
+    rows = rows.select("o_orderkey", "a.should_train", "a.reason", ev.training_params(F.col("user"), F.col("a.config")).alias("p"))
+    return rows.select("o_orderkey", "should_train", "reason", F.col("p")["lr0"].alias("lr0"), F.col("p")["epochs"].alias("epochs"), F.col("p")["batch"].alias("batch"), F.size("p").alias("parameters"))
+
+
+@query(
+    """SELECT 'train' AS split, image_path AS source_image, count(*) AS n_boxes, true AS valid FROM boxes
+    JOIN clusters ON CAST(image_path[5:10] AS BIGINT) = vec_id WHERE len(box) = 4 AND defect_name IS NOT NULL GROUP BY image_path""",
+    "boxes",
+    "clusters",
+)
+def e2_prepare_training_set(spark, d):
+    """Named crops, one a box of the image with the crop's number, to a checked label set."""
+    b, c = views(spark, d, "boxes", "clusters")
+    good = b.where("size(box) = 4").withColumn("crop_path", F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.monotonically_increasing_id()))
+    good = stored(good.select("crop_path", "image_path", "box"))
+    flat = good.join(c.drop("crop_path"), F.substring("image_path", 5, 6).cast("long") == F.col("vec_id")).select("crop_path", "cluster_id", "cluster_name", "defect_name")
+    sources = good.select(F.col("crop_path").alias("stem"), F.col("image_path").alias("source_image"), bx.box_to_center(F.col("box")).alias("center"))
+    known = spark.createDataFrame([("NATION_1", 0)], "label string, pos int")
+    out = flows.prepare_training_set(flat, sources, known, new_folder(spark))
+    # boxes that reach out of the image are faults of the set, as is right; the lines are all there
+    outside = out["faults"].where("not endswith(fault, 'cx') and not endswith(fault, 'cy') and not endswith(fault, 'w') and not endswith(fault, 'h')")
+    return out["lines"].select("split", "source_image", "n_boxes", F.lit(outside.isEmpty()).alias("valid"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.events import node_state, source_to_node
 from ..functions.paths import parent_name, path_stem
 from ..operators import labels, manifest, readiness
+from ..plans.storage import scratch, stored
 from ..sources.tables import Tables, upsert
 
 LOG = "ts timestamp, seq long, level string, source string, message string, data string"
@@ -69,9 +70,8 @@ def upsert_stream(rows: DataFrame, path: str, key: list[str], newest: list[str],
     """Rows of an update-mode stream into a table with one row a key, the last by `newest`; a batch that comes again changes nothing."""
 
     def put(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        upsert(batch, path, key, newest)
-        batch.unpersist()
+        with scratch(batch.sparkSession):  # read twice, and a plan of its own beside the stream's
+            upsert(stored(batch), path, key, newest)
 
     return rows.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
