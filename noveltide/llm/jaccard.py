@@ -15,7 +15,8 @@ node of another component in them. No link that could join different components
 
 Defined cases: null or empty text, or text without words, has no set and links with nothing. A null doc_id links with
 nothing and is its own component (null). Repeated rows are equal sets. Hashes of shingles and sets have 64 bits and
-are taken as the things themselves. An empty table gives an empty table. Extra columns are not read.
+are taken as the things themselves. An empty table gives an empty table. Extra columns are not read. A text is read
+whole at any length; its set is one row of eight bytes a shingle. A similarity of exactly the threshold links.
 """
 
 from __future__ import annotations

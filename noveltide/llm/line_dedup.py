@@ -8,6 +8,7 @@ afterwards. What comes back per document is a compressed bitmap of lines to keep
 Defined cases: null or empty text is one empty line. A null doc_id never counts as a holder and its lines all stay.
 Rows with equal doc_id count as one document; each of their texts loses lines as that document does. Extra columns
 are carried through untouched, whatever their names (n_lines and n_dropped are replaced). An empty table gives an empty table.
+A text is read whole at any length; its lines are one row's bitmap.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Defined cases: null or empty text has no words and fails the base rules. Null an
 of their own; a label counts for all rows of its doc_id, the lowest one if there are several, null ones not at all. Of several
 labelled rows with one doc_id, the one of smallest statistics is learned from.
 With no labels, or labels of one class only, there is no model and the base rules decide. An empty table gives an
-empty table. Extra columns are carried through by keep_good and not read otherwise.
+empty table. Extra columns are carried through by keep_good and not read otherwise. A text is read whole at any
+length; its task holds a hash for each of its words. A score of exactly 0 is kept.
 """
 
 from __future__ import annotations

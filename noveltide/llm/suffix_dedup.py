@@ -6,9 +6,9 @@
    equal anchors. The distinct anchors of a chunk go to buckets as packed hashes; the buckets answer with one bit an
    anchor: held by another document, or not. Only those go on.
 3. The stretches of text whose windows share such an anchor (at most 2 * length - GRAM bytes) go to buckets by anchor,
-   each different stretch of a chunk once, with its smallest doc_id. Stretches with one hash are one string there. One
-   that is alone at its anchor is the same in all its documents; the different ones of an anchor go into a suffix array,
-   each once for its smallest document and once for all others. On its Burrows-Wheeler transform,
+   each different stretch of a chunk once, with its smallest doc_id. Stretches with one hash are one string there. Each
+   that several documents hold, or that shares its anchor with another, goes into a suffix array once; rows of its
+   later documents stand beside its own when the array is read. On its Burrows-Wheeler transform,
    breadth-first backward extension of intervals finds the common prefixes by increasing value and stops at `length`:
    what is still in one interval then shares `length` bytes. Windows that start in a smaller document are flagged, one
    bit a window.
@@ -20,6 +20,7 @@ stretches of step 3 moves more than once.
 Defined cases: null or empty text has no bytes. A null doc_id takes no part and its text stays. Rows with equal
 doc_id are not smaller than each other. Hashes of anchors (40 bits in step 2) only choose what is looked at; stretches
 are told apart by 64-bit hashes. An empty table gives an empty table. Extra columns are not read.
+A text is never cut: one longer than CHUNK is a chunk of its own, and its task needs some tens of bytes for each of its bytes.
 """
 
 from __future__ import annotations

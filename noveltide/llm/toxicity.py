@@ -10,7 +10,7 @@ Grades from the labels: 0 not toxic, 1 toxic, 2 toxic and of low quality.
 Defined cases: null or empty text has no features and gets the severity of the thresholds alone. Null and repeated
 doc_ids are scored as rows of their own; of several labels the highest grade counts, null toxic is no label. With no
 labels or one grade only, the severity is 0 and nothing is toxic. An empty table gives an empty table. Extra columns
-are not read.
+are not read. A text is read whole at any length, as one set of words. A p_toxic of exactly 0.5 is toxic.
 """
 
 from __future__ import annotations
