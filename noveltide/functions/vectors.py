@@ -11,7 +11,8 @@ def dot(a: Column, b: Column) -> Column:
 def l2_normalize(v: Column) -> Column:
     """Unit vector; a zero vector stays as it is."""
     norm = F.sqrt(dot(v, v))
-    return F.transform(v.cast("array<double>"), lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
+    # the norm is bound to a variable: inside the inner function it would be taken anew for every number
+    return F.transform(F.array(norm), lambda n: F.transform(v.cast("array<double>"), lambda x: x / F.when(n == 0, 1.0).otherwise(n)))[0]
 
 
 def squared_l2(a: Column, b: Column) -> Column:
