@@ -21,16 +21,23 @@ def box_to_center(box: Column) -> Column:
 
 
 def reject_reason(box: Column, height: Column, width: Column, variance: Column | None = None) -> Column:
-    """The first filter that a box fails: box, size, zoom, empty, blur; null if it is kept. No variance keeps it."""
-    px = box_to_pixels(box, height, width)
-    h, w = F.get(px, F.lit(2)) - F.get(px, F.lit(0)), F.get(px, F.lit(3)) - F.get(px, F.lit(1))
-    out = (
-        F.when(box.isNull() | (F.size(box) != 4), "box")
-        .when((w < MIN_SIDE) | (h < MIN_SIDE) | (w * h < MIN_AREA), "size")
-        .when((w > MAX_COVER * width) & (h > MAX_COVER * height), "zoom")
-        .when((w <= 0) | (h <= 0), "empty")
-    )
-    return out if variance is None else out.when(variance < MIN_VARIANCE, "blur")
+    """The first filter that a box fails: box, size, zoom, empty, blur; null if it is kept. No variance keeps it.
+
+    Box and pixels are named by lambdas: each use of an expression in a filter is worked out again, and here uses multiply.
+    """
+
+    def reason(b: Column, px: Column) -> Column:
+        h, w = F.get(px, F.lit(2)) - F.get(px, F.lit(0)), F.get(px, F.lit(3)) - F.get(px, F.lit(1))
+        return (
+            F.when(b.isNull() | (F.size(b) != 4), "box")
+            .when((w < MIN_SIDE) | (h < MIN_SIDE) | (w * h < MIN_AREA), "size")
+            .when((w > MAX_COVER * width) & (h > MAX_COVER * height), "zoom")
+            .when((w <= 0) | (h <= 0), "empty")
+        )
+
+    whole = lambda b, px: reason(b, px) if variance is None else reason(b, px).when(variance < MIN_VARIANCE, "blur")
+    named = F.transform(F.array(box), lambda b: F.get(F.transform(F.array(box_to_pixels(b, height, width)), lambda px: whole(b, px)), F.lit(0)))
+    return F.get(named, F.lit(0))
 
 
 def format_label_line(class_id: Column, center: Column) -> Column:
