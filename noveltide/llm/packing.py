@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_text, map_arrow, saved
+from .common import as_text, held, map_arrow, saved
 
 BUCKETS = 256
 #: Words as the tokenizer sees them: \x1c-\x1f are white space for str.split() but not for it.
@@ -113,20 +113,16 @@ class WordIds(dict):
         return [b"".join(map(table.__getitem__, s)) for s in split]
 
 
-_words: dict[str, WordIds] = {}
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and the end id, cut at `capacity`."""
 
     def run(part):
-        if path not in _words:
-            _words[path] = WordIds(path)
+        words = held(("words", path), lambda: WordIds(path))
         end = np.array([end_id], dtype="<u4").tobytes()
         out = [[] for _ in range(6)]
         texts = as_text(part["text"])
         for i in range(0, len(texts), 250):
-            for doc, ids in zip(part["doc_id"].slice(i, 250).to_pylist(), _words[path].encode(texts[i : i + 250]), strict=True):
+            for doc, ids in zip(part["doc_id"].slice(i, 250).to_pylist(), words.encode(texts[i : i + 250]), strict=True):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     cut = ids[at : at + 4 * capacity]

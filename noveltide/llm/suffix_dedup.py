@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_bytes, mix, owned, saved, shared_folder
+from .common import U64, as_bytes, let_go, mix, owned, saved, shared_folder
 
 CHUNK = 2_000_000
 GRAM = 30
@@ -206,6 +206,7 @@ def pack_chunks(docs: DataFrame) -> DataFrame:
 
 
 def _chunks(part: pa.RecordBatch, length: int):
+    let_go()
     for i in range(part.num_rows):
         row = {c: part[c][i].as_py() for c in ("chunk_id", "ids", "keys", "known", "sizes", "texts")}
         yield i, row["chunk_id"], Chunk(row["ids"], row["keys"], row["known"], row["sizes"], row["texts"], length)
@@ -420,10 +421,10 @@ def repeated_windows(strings: list[bytes], docs: np.ndarray, counts: np.ndarray,
     smallest document of an interval is read out for both.
     """
     total = sum(map(len, strings)) + len(strings)
-    symbols = np.zeros(total, dtype=np.int64)
+    symbols = np.zeros(total, dtype=np.int16)
     starts, at = [], 0
     for s in strings:
-        symbols[at : at + len(s)] = np.frombuffer(s, dtype=np.uint8).astype(np.int64) + 1
+        symbols[at : at + len(s)] = np.frombuffer(s, dtype=np.uint8).astype(np.int16) + 1
         starts.append(at)
         at += len(s) + 1
     group = equal_prefixes(symbols, length)
@@ -437,7 +438,7 @@ def repeated_windows(strings: list[bytes], docs: np.ndarray, counts: np.ndarray,
     return mask(doc), mask(np.iinfo(np.int64).max)
 
 
-SUFFIXES = 1_500_000  # bytes of different strings in one suffix array, as far as anchors allow
+SUFFIXES = 750_000  # bytes of different strings in one suffix array, as far as anchors allow
 
 
 def _portions(starts: np.ndarray, sizes: np.ndarray, most: int = 2_000_000):

@@ -542,3 +542,14 @@ def test_quality_statistics_and_signs(spark, odd, empty):
     assert quality.assess(odd, None).count() == len(ODD)
     assert quality.assess(empty, None).count() == 0
     assert quality.keep_good(odd, None).columns == odd.columns
+
+
+def test_a_suffix_task_lets_go_of_the_tokenizer():
+    """Workers serve stages of several operators: what packing keeps in one is not there beside a suffix array."""
+    import pyarrow as pa
+
+    from noveltide.llm import common, suffix_dedup
+
+    common.held("words", dict)
+    assert list(suffix_dedup._chunks(pa.RecordBatch.from_pylist([], schema=pa.schema([("chunk_id", pa.int64())])), 50)) == []
+    assert not common._held
