@@ -26,6 +26,7 @@ from .common import U64, as_bytes, forget, mix, owned, saved, shared_folder, sli
 BLOCK = 2 << 20
 BUCKET = 4 << 20  # bytes of text for each bucket of fingerprints
 PARTS = 64  # keys that a language's phrases are dealt over ahead of the last ranking
+BITS = 40  # of a fingerprint that move: fewer only make more collisions, whose occurrences count by their own words
 BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse among 64-bit words
 #: Fixed values of the contract: what ends a piece, and what parts words.
 ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -162,7 +163,19 @@ def _blocks(size: int, words: int):
     return run
 
 
-#: One occurrence a fingerprint: fps rise; counts; places are 8 * word + n.
+def by_planes(x: np.ndarray) -> bytes:
+    """Numbers as all their first bytes, then all second ones, and so on: bytes that are alike stand together and compress."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def of_planes(blobs: list[bytes], kind: str) -> np.ndarray:
+    """The numbers of several by_planes(), one after another."""
+    size = np.dtype(kind).itemsize
+    parts = [np.frombuffer(x, dtype=np.uint8).reshape(size, -1).T for x in blobs]
+    return np.concatenate(parts).reshape(-1).view(kind) if parts else np.zeros(0, dtype=kind)
+
+
+#: One occurrence a fingerprint, by planes: fps rise; counts; places are 8 * word + n.
 SENT = "bucket int, block long, fps binary, counts binary, places binary"
 
 
@@ -179,7 +192,7 @@ def _sent(block: int, found: list[tuple[int, np.ndarray, np.ndarray]], buckets:
     number = ((fp >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)  # rises with fp
     some, starts = np.unique(number, return_index=True)
     ends = np.append(starts, len(fp))[1:]
-    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary())
+    cut = lambda x: pa.array([by_planes(x[a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary())
     return pa.table({"bucket": pa.array(some, pa.int32()), "block": pa.array(np.full(len(some), block), pa.int64()), "fps": cut(fp), "counts": cut(c), "places": cut(p)})
 
 
@@ -224,7 +237,7 @@ def _frequent(least: int):
     """In a bucket: the fingerprints found at least `least` times, back to each block that sent them."""
 
     def run(table: pa.Table) -> pa.Table:
-        join = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), dtype=kind)
+        join = lambda name, kind: of_planes(table[name].to_pylist(), kind)
         fp, counts, places = join("fps", "<u8"), join("counts", "<u4"), join("places", "<u4")
         order = np.argsort(fp, kind="stable")
         heads = np.flatnonzero(np.append(True, np.diff(fp[order]) != 0))
@@ -232,7 +245,7 @@ def _frequent(least: int):
         stays = np.zeros(len(fp), dtype=bool)
         stays[order] = np.repeat(sums >= least, np.diff(np.append(heads, len(fp))))
         ends = np.cumsum([len(x) // 8 for x in table["fps"].to_pylist()])
-        cut = lambda x: pa.array([x[a:b][stays[a:b]].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())
+        cut = lambda x: pa.array([by_planes(x[a:b][stays[a:b]]) for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())
         return pa.table({"block": table["block"], "fps": cut(fp), "places": cut(places)})
 
     return run
@@ -240,8 +253,7 @@ def _frequent(least: int):
 
 def _known(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(fingerprints in order, places) that came back to a block."""
-    fp = np.frombuffer(b"".join(table["fps"].to_pylist()), dtype="<u8")
-    places = np.frombuffer(b"".join(table["places"].to_pylist()), dtype="<u4")
+    fp, places = of_planes(table["fps"].to_pylist(), "<u8"), of_planes(table["places"].to_pylist(), "<u4")
     order = np.argsort(fp, kind="stable")
     return fp[order], places[order]
 
@@ -283,7 +295,7 @@ def _materialise(bits: int, most: int):
     return run
 
 
-def count_phrases(docs: DataFrame, least: int, most: int = 4, bits: int = 64, block: int = BLOCK) -> DataFrame:
+def count_phrases(docs: DataFrame, least: int, most: int = 4, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """(lang, n, phrase, f): all phrases of 1 to `most` words found at least `least` times; n = 0 has the number of words."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -310,7 +322,7 @@ def count_phrases(docs: DataFrame, least: int, most: int = 4, bits: int = 64, bl
     return counts
 
 
-def collocations(docs: DataFrame, least: int = 30, most: int = 4, share: int = 80, top: int = 2000, scale: int = 2_000_000, bits: int = 64, block: int = BLOCK) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, most: int = 4, share: int = 80, top: int = 2000, scale: int = 2_000_000, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's first `top` phrases of 2 to `most` words.
 
     score is floor(scale * a / (l + r)) for the cut into two parts where that is lowest, the first of equals. Phrases that

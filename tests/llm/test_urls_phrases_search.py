@@ -230,3 +230,23 @@ def test_walk_skips_and_is_exact():
         if len(lists) == 6 and n > 20_000:
             skipped.append(seen[0][0] / seen[0][1])
     assert skipped and np.mean(skipped) < 0.5
+
+
+def test_sent_fingerprints_compress():
+    """What a block sends comes back as it was, and is less than half of its 16 bytes a fingerprint once compressed."""
+    import numpy as np
+    import pyarrow as pa
+
+    from noveltide.llm import phrases
+
+    rng = np.random.default_rng(5)
+    text = b" ".join(b"w%d" % x for x in rng.integers(0, 40_000, 60_000))
+    block = phrases.Block("en", text, len(text), phrases.BITS)
+    grams = [(n, *block.grams(n)) for n in (1, 2)]
+    sent = phrases._sent(7, grams, 16)
+    got = phrases.of_planes(sent["fps"].to_pylist(), "<u8")
+    assert got.tolist() == sorted(set(np.concatenate([g[2] for g in grams]).tolist()))
+    assert phrases.of_planes(sent["counts"].to_pylist(), "<u4").sum() == sum(len(g[1]) for g in grams)
+    blobs = [x for c in ("fps", "counts", "places") for x in sent[c].to_pylist()]
+    packed = sum(len(pa.Codec("lz4_raw").compress(x)) for x in blobs)
+    assert packed < 8 * len(got)
