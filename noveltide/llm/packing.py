@@ -39,14 +39,18 @@ ODD = re.compile(r"[\x1c-\x1f]")
 #: the characters in PLAIN, for which its normalisation is lower-casing alone.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9]+")
+PIECE = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\sa-z\xdf-\xf6\xf8-\xff0-9]+")
+#: Texts of such words, which can be cut into pieces at once: pieces never reach over white space.
+PLAIN_TEXT = re.compile(r"[\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+KEPT = 48  # characters of a word or piece that is kept for later texts
 
 
 class WordIds(dict):
     """Packed token ids by white-space-separated word; the tokenizer drops white space and never joins over it.
 
-    Where its file says that words are cut by CUTS and that a token's name tells whether it ends such a piece, the ids
-    of unknown words are put together from those of their pieces, of which there are fewer, encoded many at a time.
+    Where its file says that words are cut by CUTS and that a token's name tells whether it ends such a piece, ids are put
+    together from those of pieces, of which there are fewer, encoded many at a time: for plain texts without looking at
+    words, in others for the unknown plain words. Pieces go once as many as `limit` others have been asked for since.
     """
 
     def __init__(self, path: str, limit: int = 250_000):
@@ -64,21 +68,36 @@ class WordIds(dict):
             self.ends = np.zeros(max(told["model"]["vocab"].values()) + 1, dtype=bool)
             self.ends[[i for t, i in told["model"]["vocab"].items() if t.endswith(end)]] = True
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn_pieces(self, new: list[str]) -> None:
-        if len(self.pieces) + len(new) > self.limit:
-            self.pieces.clear()
+    def _encoded(self, new: list[str]):
+        """(piece, ids) of pieces."""
         for i in range(0, len(new), 1000):
             some = new[i : i + 1000]
             ids = self._ids([" ".join(some)])[0]
             ends = (4 * np.flatnonzero(self.ends[np.frombuffer(ids, dtype="<u4")]) + 4).tolist()
             if len(ends) == len(some):
-                self.pieces.update(zip(some, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+                yield from zip(some, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True)
             else:
-                self.pieces.update(zip(some, self._ids(some), strict=True))
+                yield from zip(some, self._ids(some), strict=True)
+
+    def joined(self, cut: list[list[str]]) -> list[bytes]:
+        """The ids of each list of pieces."""
+        wanted = set().union(*cut)
+        missing = wanted.difference(self.pieces)
+        if len(self.pieces) + len(missing) > self.limit:
+            self.older, self.pieces, missing = self.pieces, {}, wanted
+        known, older = self.pieces, self.older
+        new = missing.difference(older)
+        known.update((p, older[p]) for p in missing.difference(new))
+        known.update(self._encoded(list(new)))
+        found = [b"".join(map(known.__getitem__, c)) for c in cut]
+        for p in [p for p in new if len(p) > KEPT]:
+            del known[p]
+        return found
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Encodes words not known yet; gives those too long to keep."""
@@ -87,20 +106,14 @@ class WordIds(dict):
         found = dict(zip(rest, self._ids(rest), strict=True)) if rest else {}
         for i in range(0, len(plain), 20_000):
             some = plain[i : i + 20_000]
-            cut = [PIECE.findall(w.lower()) for w in some]
-            keep = self.pieces
-            new = list(set().union(*cut).difference(keep))
-            if len(keep) + len(new) > self.limit:
-                new = list(set().union(*cut))
-            self._learn_pieces(new)
-            found.update((w, b"".join([self.pieces[p] for p in c])) for w, c in zip(some, cut, strict=True))
+            found.update(zip(some, self.joined([PIECE.findall(w.lower()) for w in some]), strict=True))
         if len(self) + len(found) > self.limit:
             self.clear()
-        long = {w: found.pop(w) for w in [w for w in found if len(w) > 48]}
+        long = {w: found.pop(w) for w in [w for w in found if len(w) > KEPT]}
         self.update(found)
         return long
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def by_words(self, texts: list[str]) -> list[bytes]:
         split = [WORD.findall(x) if ODD.search(x) else x.split() for x in texts]
         words = set().union(*split)
         table = self
@@ -112,6 +125,12 @@ class WordIds(dict):
             table = {**{w: self[w] for w in words if w in self}, **long} if long else self
         return [b"".join(map(table.__getitem__, s)) for s in split]
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        plain = [self.ends is not None and PLAIN_TEXT.fullmatch(x) is not None for x in texts]
+        found = iter(self.joined([PIECE.findall(x.lower()) for x, ok in zip(texts, plain, strict=True) if ok]))
+        others = iter(self.by_words([x for x, ok in zip(texts, plain, strict=True) if not ok]))
+        return [next(found if ok else others) for ok in plain]
+
 
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and the end id, cut at `capacity`."""

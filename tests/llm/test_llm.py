@@ -106,6 +106,25 @@ def test_words_are_encoded_as_by_the_tokenizer():
         assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
 
 
+def test_plain_texts_are_encoded_by_pieces_which_stay_while_in_use():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, own = Tokenizer.from_file(path), packing.WordIds(path, limit=40)
+    tok.encode_special_tokens = True
+    asked = []
+    ids, own._ids = own._ids, lambda texts: asked.extend(" ".join(texts).split()) or ids(texts)
+    rng = np.random.default_rng(9)
+    chars = list("aAbÉéßsStTdDlLvVeErR'',.!12<|> \n\t\x0b\x0c")
+    for _ in range(300):
+        texts = ["".join(rng.choice(chars, int(rng.integers(0, 40)))) for _ in range(3)]
+        texts += ["the same words, it's all the same", "x" * 60, "<|endoftext|> DON'T ''s\x0b,'s", "plain but for 中"]
+        for text, found in zip(texts, own.encode(texts), strict=True):
+            assert np.frombuffer(found, "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+        assert len(own.pieces) < 300 and not any(len(p) > 48 for p in own.pieces)
+    assert asked.count("same") == asked.count("words") == 1  # pieces in use are not encoded again
+
+
 @pytest.mark.parametrize(("n", "share"), [(3_000, 0.0), (100_000, 0.9), (3_000_000, 0.9)])
 def test_configurations_lay_out_nearly_all(n, share):
     rng = np.random.default_rng(0)
