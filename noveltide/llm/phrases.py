@@ -16,8 +16,11 @@ word is never cut. An empty table gives an empty table. doc_id and extra columns
 from __future__ import annotations
 
 import uuid
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -175,6 +178,11 @@ def of_planes(blobs: list[bytes], kind: str) -> np.ndarray:
     return np.concatenate(parts).reshape(-1).view(kind) if parts else np.zeros(0, dtype=kind)
 
 
+def bucket_of(fp: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each fingerprint; rises with it."""
+    return ((fp >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+
+
 #: One occurrence a fingerprint, by planes: fps rise; counts; places are 8 * word + n.
 SENT = "bucket int, block long, fps binary, counts binary, places binary"
 
@@ -189,7 +197,7 @@ def _sent(block: int, found: list[tuple[int, np.ndarray, np.ndarray]], buckets:
     fp, c, p = (np.concatenate(x) if x else np.zeros(0, dtype=U64) for x in (prints, counts, places))
     order = np.argsort(fp, kind="stable")
     fp, c, p = fp[order], c[order].astype("<u4"), p[order].astype("<u4")
-    number = ((fp >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)  # rises with fp
+    number = bucket_of(fp, buckets)
     some, starts = np.unique(number, return_index=True)
     ends = np.append(starts, len(fp))[1:]
     cut = lambda x: pa.array([by_planes(x[a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary())
@@ -258,15 +266,19 @@ def _known(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return fp[order], places[order]
 
 
-def _materialise(bits: int, most: int):
-    """(lang, n, phrase, f) of a block: the texts of frequent fingerprints; n = 0 has the number of words."""
+#: A block's phrases of one bucket in order, as zstd of lines; their numbers of words and counts, by planes.
+FOUND = "bucket int, lang string, size int, phrases binary, words binary, counts binary"
+
+
+def _materialise(bits: int, most: int, buckets: int):
+    """The texts of frequent fingerprints of a block, each with its count; no words and no text has the number of words."""
 
     def run(table: pa.Table, known: pa.Table) -> pa.Table:
-        phrases, sizes, counts = [], [], []
+        rows: list[tuple[int, int, bytes, int]] = []
         if table.num_rows:
             b, (prints, places) = _read(table, bits), _known(known)
             number = b.numbers()
-            phrases, sizes, counts = [None], [0], [b.own]
+            rows.append((0, 0, b"", b.own))
             for n in range(1, most + 1):
                 at, fp = b.grams(n)
                 mine = np.flatnonzero(places % 8 == n)
@@ -281,16 +293,36 @@ def _materialise(bits: int, most: int):
                 for k in range(n):
                     same &= number[at + k] == number[place[i] + k]
                 f = np.bincount(i[same], minlength=len(keys))
-                for p, c in zip(place[f > 0], f[f > 0], strict=True):
-                    phrases.append(b.phrase(p, n))
-                    counts.append(c)
-                sizes += [n] * int((f > 0).sum())
-                for p in at[~same]:  # collisions, each by its own words
-                    phrases.append(b.phrase(p, n))
-                    sizes.append(n)
-                    counts.append(1)
+                to = bucket_of(keys, buckets)
+                rows += [(to[j], n, b.phrase(place[j], n).encode(), f[j]) for j in np.flatnonzero(f)]
+                rows += [(to[j], n, b.phrase(p, n).encode(), 1) for p, j in zip(at[~same], i[~same], strict=True)]  # collisions, each by its own words
+        rows.sort()
         lang = table["lang"][0].as_py() if table.num_rows else None
-        return pa.table({"lang": pa.array([lang] * len(sizes), pa.string()), "n": pa.array(sizes, pa.int32()), "phrase": pa.array(phrases, pa.string()), "f": pa.array(counts, pa.int64())})
+        out = [[] for _ in range(6)]
+        for bucket, some in groupby(rows, key=lambda x: x[0]):
+            _, n, phrases, f = zip(*some, strict=True)
+            lines = b"\n".join(phrases)  # a newline parts words and pieces, so no phrase has one
+            row = (bucket, lang, len(lines), pa.compress(lines, "zstd", asbytes=True), bytes(n), by_planes(np.array(f, dtype="<i8")))
+            for column, value in zip(out, row, strict=True):
+                column.append(value)
+        kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=["bucket", "lang", "size", "phrases", "words", "counts"])
+
+    return run
+
+
+def _summed(least: int):
+    """(lang, n, phrase, f) in a bucket: phrases found at least `least` times, and the numbers of words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = []
+        for row in table.to_pylist():
+            phrases = pa.decompress(row["phrases"], row["size"], "zstd", asbytes=True).decode().split("\n")
+            n, f = np.frombuffer(row["words"], dtype=np.uint8).astype(np.int32), of_planes([row["counts"]], "<i8")
+            parts.append(pa.table({"lang": pa.array([row["lang"]] * len(n), pa.string()), "n": n, "phrase": pa.array(phrases, pa.string()), "f": f}))
+        found = pa.concat_tables(parts).group_by(["lang", "n", "phrase"]).aggregate([("f", "sum")])
+        stays = pc.or_(pc.greater_equal(found["f_sum"], least), pc.equal(found["n"], 0))
+        return found.filter(stays).rename_columns(["lang", "n", "phrase", "f"])
 
     return run
 
@@ -315,8 +347,8 @@ def count_phrases(docs: DataFrame, least: int, most: int = 4, bits: int = BITS,
     short = saved(groups.applyInArrow(_short(buckets, bits), SENT).groupBy("bucket").applyInArrow(_frequent(least), back))
     longer = groups.cogroup(short.groupBy("block")).applyInArrow(_long(buckets, bits, most), SENT)
     longer = saved(longer.groupBy("bucket").applyInArrow(_frequent(least), back))
-    texts = groups.cogroup(short.union(longer).groupBy("block")).applyInArrow(_materialise(bits, most), "lang string, n int, phrase string, f long")
-    counts = saved(texts.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("n") == 0)))
+    texts = groups.cogroup(short.union(longer).groupBy("block")).applyInArrow(_materialise(bits, most, buckets), FOUND)
+    counts = saved(texts.groupBy("bucket").applyInArrow(_summed(least), "lang string, n int, phrase string, f long"))
     for table in (blocks, short, longer):
         forget(table)
     return counts

@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from noveltide.llm import phrases, search, url_filter
@@ -250,3 +251,19 @@ def test_sent_fingerprints_compress():
     blobs = [x for c in ("fps", "counts", "places") for x in sent[c].to_pylist()]
     packed = sum(len(pa.Codec("lz4_raw").compress(x)) for x in blobs)
     assert packed < 8 * len(got)
+
+
+def test_found_phrases_move_a_row_a_bucket():
+    """A block's phrases go compressed, and not a row each; their counts are those of the text (op12_phrases)."""
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]
+    text = " ".join(rng.choice(words, 20_000)).encode()
+    table = pa.table({"block": [1], "lang": ["en"], "own": [len(text)], "text": pa.array([text], pa.binary())})
+    sent = phrases._short(8, 40)(table)
+    known = pa.concat_tables([phrases._frequent(1)(sent.slice(i, 1)) for i in range(sent.num_rows)])
+    moved = phrases._materialise(40, 2, 8)(table, known)
+    got = {(r["n"], r["phrase"]): r["f"] for r in phrases._summed(1)(moved).to_pylist()}
+    split = text.decode().split()
+    want = Counter([(0, "")] * len(split) + [(1, w) for w in split] + [(2, " ".join(p)) for p in zip(split, split[1:])])
+    assert got == want
+    assert moved.num_rows == 8 and moved.nbytes < 0.75 * sum(len(p) + 12 for _, p in got)
