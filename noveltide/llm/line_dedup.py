@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, as_bytes, forget, free_name, map_arrow, saved, slices
+from .common import SPACE, as_bytes, forget, free_name, let_go, map_arrow, saved, slices
 
 RECORD = "h1 long, h2 long, doc_id long, text_key long, pos int"
 
@@ -105,6 +105,8 @@ def _stream(min_docs: int):
             yield settle(tail, True)
 
     def run(batches):
+        let_go()
+
         def frames():
             for part in slices(batches, 20_000):
                 yield part.to_pandas()
@@ -162,6 +164,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     schema = left.select(*names, "text", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")).schema
 
     def run(batches):
+        let_go()
         for part in slices(batches):
             texts, lines, dropped = [], [], []
             for text, packed in zip(as_bytes(part["text"]), part[keep_bits].to_pylist(), strict=True):
@@ -179,5 +182,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
             kept = pa.array(texts, pa.binary()).cast(pa.string())
             columns = [part[c] for c in names] + [kept, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "text", "n_lines", "n_dropped"])
+        part = texts = kept = columns = None
+        let_go()
 
     return both.mapInArrow(run, schema)

@@ -70,6 +70,10 @@ class WordIds(dict):
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def rest(self) -> None:
+        """Drops the pieces not asked for lately: the worker may wait beside stages that need the memory."""
+        self.older = {}
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -135,8 +139,10 @@ class WordIds(dict):
 def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and the end id, cut at `capacity`."""
 
+    key = ("words", path)
+
     def run(part):
-        words = held(("words", path), lambda: WordIds(path))
+        words = held(key, lambda: WordIds(path))
         end = np.array([end_id], dtype="<u4").tobytes()
         out = [[] for _ in range(6)]
         texts = as_text(part["text"])
@@ -151,7 +157,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, wi
         return [pa.array(x, kind) for x, kind in zip(out, kinds, strict=False)]
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, schema, keep=key)
 
 
 def price(sizes: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:

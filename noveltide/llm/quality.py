@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, as_bytes, map_arrow, shingle_hashes
+from .common import WordHashes, as_bytes, let_go, map_arrow, shingle_hashes
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Statistics in the model, with the direction in which quality may go as they rise (0: either).
@@ -219,9 +219,12 @@ def keep_good(docs: DataFrame, trees: Trees | None) -> DataFrame:
 
     @F.arrow_udf("boolean")
     def good(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         hashes = WordHashes()
         for part in parts:
             kept = [verdicts(as_bytes(part.slice(i, 1000)), trees, hashes)[2] for i in range(0, len(part), 1000)]
             yield pa.array(np.concatenate(kept) if kept else [], pa.bool_())
+        hashes = part = None
+        let_go()
 
     return docs.where(good(docs["text"]))

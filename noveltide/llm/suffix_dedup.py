@@ -61,19 +61,31 @@ def rolling(text: np.ndarray, width: int) -> np.ndarray:
     return mix(out[: len(text) - width + 1])
 
 
-def span_keys(text: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the substrings text[first:end]."""
-    n = len(text)
+def span_keys(text: np.ndarray, first: np.ndarray, end: np.ndarray, most: int = 100_000) -> np.ndarray:
+    """64-bit hashes of the substrings text[first:end], where `first` rises; about `most` bytes of text at a time.
+
+    A hash is a sum over the substring's own places, so it does not depend on where the part begins.
+    """
+    out = np.empty(len(first), dtype=U64)
+    if not len(first):
+        return out
+    n = min(len(text), most + int((end - first).max()))
     power = np.cumprod(np.concatenate([[U64(1)], np.full(n, _BASE)]))
-    total = np.concatenate([[U64(0)], np.cumsum(_BYTE[text] * power[:n])])
     back = np.cumprod(np.concatenate([[U64(1)], np.full(n, _BACK)]))
-    return mix((total[end] - total[first]) * back[first] ^ mix((end - first).astype(U64)))
+    at = 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(first, first[at] + most)))
+        a, b = first[at:to] - first[at], end[at:to] - first[at]
+        part = _BYTE[text[first[at] : first[at] + b.max()]]
+        total = np.concatenate([[U64(0)], np.cumsum(part * power[: len(part)])])
+        out[at:to] = mix((total[b] - total[a]) * back[a] ^ mix((b - a).astype(U64)))
+        at = to
+    return out
 
 
-def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of `length` bytes the place and the hash of its GRAM-byte substring of smallest hash."""
+def anchors(text: np.ndarray, length: int):
+    """For each window of `length` bytes the place and the hash of its GRAM-byte substring of smallest hash, by BLOCK: (from, places, hashes)."""
     n = len(text) - length + 1
-    place, gram = np.empty(n, dtype=np.int64), np.empty(n, dtype=U64)
     width = length - GRAM + 1
     for start in range(0, n, BLOCK):
         m = min(BLOCK, n - start)
@@ -90,9 +102,7 @@ def anchors(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
                 part = np.minimum(part[:-at], part[at:])
             at *= 2
         best = (out[:m] & U64(0xFFFF)).astype(np.int64)
-        place[start : start + m] = best + start
-        gram[start : start + m] = hashes[best]
-    return place, gram
+        yield start, best + start, hashes[best]
 
 
 class Chunk:
@@ -114,17 +124,21 @@ class Chunk:
         self.first, self.count, self.gram, self.doc = none, none, np.zeros(0, dtype=U64), none
         if len(text) < length:
             return
-        best, gram = anchors(text, length)
-        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        at = np.arange(len(best))
-        inside = (owner[: len(best)] == owner[length - 1 :]) & self.known[owner[: len(best)]]
-        new = np.ones(len(best), dtype=bool)
-        new[1:] = (best[1:] != best[:-1]) | (inside[1:] != inside[:-1]) | (owner[1 : len(best)] != owner[: len(best) - 1])
-        head = np.flatnonzero(new)
-        count = np.diff(np.append(head, len(best)))
-        keep = inside[head]
-        self.first, self.count = at[head][keep], count[keep]
-        self.gram, self.doc = gram[self.first], owner[self.first]
+        owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        heads, last = [], (-1, False, -1)
+        for start, best, gram in anchors(text, length):  # only the heads of a block's stretches are kept of it
+            own = owner[start : start + len(best)]
+            inside = (own == owner[start + length - 1 : start + length - 1 + len(best)]) & self.known[own]
+            new = np.zeros(len(best), dtype=bool)
+            for x, before in zip((best, inside, own), last, strict=True):
+                new[0] |= x[0] != before
+                new[1:] |= x[1:] != x[:-1]
+            last = best[-1], inside[-1], own[-1]
+            head = np.flatnonzero(new)
+            heads.append((head + start, inside[head], gram[head], own[head]))
+        head, keep, gram, doc = (np.concatenate(x) for x in zip(*heads, strict=True))
+        count = np.diff(np.append(head, len(text) - length + 1))
+        self.first, self.count, self.gram, self.doc = head[keep], count[keep], gram[keep], doc[keep]
 
     def stretch(self, i: int) -> tuple[int, int]:
         """From and to of the bytes of a stretch."""
@@ -210,6 +224,7 @@ def _chunks(part: pa.RecordBatch, length: int):
     for i in range(part.num_rows):
         row = {c: part[c][i].as_py() for c in ("chunk_id", "ids", "keys", "known", "sizes", "texts")}
         yield i, row["chunk_id"], Chunk(row["ids"], row["keys"], row["known"], row["sizes"], row["texts"], length)
+        let_go()
 
 
 def _rows(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
@@ -320,11 +335,11 @@ def suffix_order(symbols: np.ndarray, depth: int, key: np.ndarray | None = None)
     By doubling: the rank of a suffix is the first place of those with equal symbols so far, and only these are sorted on.
     """
     n, key = len(symbols), packed(symbols) if key is None else key
-    have, rank = PACKED, np.empty(n, dtype=np.int64)
-    order = np.argsort(key)
-    sorted_key = key[order]
-    head = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    have, rank = PACKED, np.empty(n, dtype=np.int32)
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
+    head = np.concatenate([[True], key[1:] != key[:-1]])
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n, dtype=np.int32), np.int32(0)))
     while have < depth:
         slots = np.flatnonzero(~head | ~np.append(head[1:], True))
         if not len(slots):
@@ -333,7 +348,7 @@ def suffix_order(symbols: np.ndarray, depth: int, key: np.ndarray | None = None)
         after = np.zeros(len(some), dtype=np.int64)
         inside = some < n - have
         after[inside] = rank[some[inside] + have] + 1
-        key = rank[some] * (n + 1) + after
+        key = rank[some].astype(np.int64) * (n + 1) + after
         by_key = np.argsort(key)
         order[slots], key = some[by_key], key[by_key]
         first = np.concatenate([[True], key[1:] != key[:-1]])
@@ -350,7 +365,7 @@ def transform(symbols: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.nd
     interval of x lies in the interval of c x, when c is its symbol.
     """
     before = symbols[order - 1].astype(np.uint16)
-    by_symbol = np.argsort(before, kind="stable")
+    by_symbol = np.argsort(before, kind="stable").astype(np.int32)
     onto = np.empty(len(order), dtype=np.int32)
     onto[by_symbol] = np.arange(len(order), dtype=np.int32)
     return before, onto
@@ -409,8 +424,8 @@ def equal_prefixes(symbols: np.ndarray, length: int) -> np.ndarray:
         new = ~border[right]
         border[right[new]] = True
         low, high = left[new], right[new]
-    out = np.empty(n, dtype=np.int64)
-    out[order] = np.cumsum(border[:n]) - 1
+    out = np.empty(n, dtype=np.int32)
+    out[order] = np.cumsum(border[:n], dtype=np.int32) - 1
     return out
 
 
@@ -438,17 +453,7 @@ def repeated_windows(strings: list[bytes], docs: np.ndarray, counts: np.ndarray,
     return mask(doc), mask(np.iinfo(np.int64).max)
 
 
-SUFFIXES = 750_000  # bytes of different strings in one suffix array, as far as anchors allow
-
-
-def _portions(starts: np.ndarray, sizes: np.ndarray, most: int = 2_000_000):
-    """Spans of about `most` bytes of strings that stand one after another, with each one's place in its span."""
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(starts, starts[at] + most)))
-        first = starts[at:to] - starts[at]
-        yield int(starts[at]), int(starts[to - 1] + sizes[to - 1]), first, first + sizes[at:to]
-        at = to
+SUFFIXES = 400_000  # bytes of different strings in one suffix array, as far as anchors allow
 
 
 def _answer_strings(length: int):
@@ -458,6 +463,7 @@ def _answer_strings(length: int):
         The first is for the smallest document of the chunk with this string, the second for all others. Every string that
         others hold, or that shares its anchor with another string, goes into the transform, once.
         """
+        let_go()
         cols = {c: table[c].to_pylist() for c in ("docs", "several", "grams", "counts", "strings")}
         docs = np.concatenate([np.frombuffer(x, dtype="<i8") for x in cols["docs"]])
         several = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in cols["several"]]).astype(bool)
@@ -466,7 +472,7 @@ def _answer_strings(length: int):
         sizes = counts + length - 1
         flat = np.frombuffer(b"".join(zstandard.decompress(x) for x in cols["strings"]), dtype=np.uint8)
         starts = np.cumsum(sizes) - sizes
-        key_ = np.concatenate([span_keys(flat[x:y], f, e) for x, y, f, e in _portions(starts, sizes)] or [np.zeros(0, U64)])
+        key_ = span_keys(flat, starts, starts + sizes)
         # equal strings are one, held by the smallest document
         order = np.lexsort((docs, key_, grams))
         fresh = np.ones(len(order), dtype=bool)
@@ -481,12 +487,11 @@ def _answer_strings(length: int):
         edge = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1], [True]]))
         own, others = np.zeros(len(holder), dtype=U64), np.zeros(len(holder), dtype=U64)
         todo, size = [], 0
-        spans = list(zip(edge[:-1], edge[1:], strict=True))
-        for n, (a, b) in enumerate(spans):
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
             if b - a > 1 or shared[a]:
                 todo += range(a, b)
                 size += int(sizes[holder[a:b]].sum())
-            if todo and (size >= SUFFIXES or n == len(spans) - 1):
+            if todo and (size >= SUFFIXES or b == len(holder)):
                 todo = np.array(todo)
                 rows = holder[todo]
                 strings = [flat[starts[r] : starts[r] + sizes[r]].tobytes() for r in rows]
@@ -501,6 +506,12 @@ def _answer_strings(length: int):
     return run
 
 
+def _sums(marks: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many marks each span has."""
+    places = np.flatnonzero(marks)
+    return np.searchsorted(places, end) - np.searchsorted(places, first)
+
+
 def _drop(length: int, buckets: int, as_text: bool):
     def run(batches):
         for batch in batches:
@@ -511,7 +522,7 @@ def _drop(length: int, buckets: int, as_text: bool):
                 for x in batch["verdicts"][i].as_py() or []:
                     at = np.frombuffer(x["place"], dtype="<i4")
                     mask[at], rest[at] = np.frombuffer(x["masks"], dtype="<u4"), np.frombuffer(x["others"], dtype="<u4")
-                cover = np.zeros(len(chunk.text) + 1, dtype=np.int32)
+                cover = np.zeros(len(chunk.text) + 1, dtype=np.int16)  # a place begins one window and ends one at most
                 if len(some):
                     holder = chunk.ids[chunk.doc[some[chosen]]]
                     own = np.where(chunk.ids[chunk.doc[some]] > holder[string], rest[string], mask[string])
@@ -519,19 +530,19 @@ def _drop(length: int, buckets: int, as_text: bool):
                         at = chunk.first[some[(own >> U64(k)) & U64(1) == 1]] + k
                         np.add.at(cover, at, 1)
                         np.add.at(cover, at + length, -1)
-                gone = np.cumsum(cover[:-1]) > 0
+                gone = np.cumsum(cover[:-1], dtype=np.int16) > 0
                 # runs never cross documents: windows lie within one, but two may touch at a border
                 begin = gone.copy()
                 begin[1:] &= ~gone[:-1]
                 heads = chunk.starts[(chunk.sizes > 0)]
                 begin[heads] = gone[heads]
-                total, spans = np.append(0, np.cumsum(gone)), np.append(0, np.cumsum(begin))
                 a, b = chunk.starts, chunk.starts + chunk.sizes
+                removed, spans = _sums(gone, a, b), _sums(begin, a, b)
                 kept = [chunk.text[x:y][~gone[x:y]].tobytes() for x, y in zip(a, b, strict=True)]
                 ids = pa.array(chunk.ids, mask=~chunk.known)
                 left = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(chunk.sizes), pa.array(total[b] - total[a]), pa.array(spans[b] - spans[a]), left, pa.array(chunk.keys)],
+                    [ids, pa.array(chunk.sizes), pa.array(removed), pa.array(spans), left, pa.array(chunk.keys)],
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "text_key"],
                 )
 

@@ -572,3 +572,58 @@ def test_a_suffix_task_lets_go_of_the_tokenizer():
     common.held("words", dict)
     assert list(suffix_dedup._chunks(pa.RecordBatch.from_pylist([], schema=pa.schema([("chunk_id", pa.int64())])), 50)) == []
     assert not common._held
+
+
+def _peak(work):
+    """What work() gives, and the most bytes that it took at once."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_suffix_tasks_take_little_beside_their_text():
+    """Two tasks share an executor with a full heap: neither a chunk nor a bucket may take tens of bytes for each of its own."""
+    import pyarrow as pa
+    import zstandard
+
+    rng = np.random.default_rng(3)
+    text, sizes = rng.integers(97, 123, 1_000_000).astype(np.uint8), np.full(500, 2000, dtype="<i8")
+    text[500_000:] = text[:500_000]
+    ids = np.arange(500, dtype="<i8").tobytes()
+    row = ids, ids, np.ones(500, dtype=np.uint8).tobytes(), sizes.tobytes(), zstandard.compress(text.tobytes())
+    chunk, peak = _peak(lambda: suffix_dedup.Chunk(*row, 50))
+    assert peak < 20 * len(text)
+    unique, inverse, several = chunk.grams()
+    assert several.all()
+    (_, chosen, _, _), peak = _peak(lambda: chunk.picked(unique, inverse, several))
+    assert len(chosen) == len(chunk.first) // 2 and peak < 20 * len(text)
+    first = np.sort(rng.integers(0, len(text) - 80, 5000))
+    end = first + rng.integers(1, 80, 5000)
+    assert (suffix_dedup.span_keys(text, first, end, most=700) == suffix_dedup.span_keys(text, first, end, most=len(text))).all()
+    # a bucket of 30,000 strings of 70 bytes, no two alike but in pairs of one anchor
+    strings = rng.integers(97, 123, (30_000, 70)).astype(np.uint8)
+    table = {
+        "chunk_id": [0], "place": [np.arange(30_000, dtype="<i4").tobytes()], "docs": [np.arange(30_000, dtype="<i8").tobytes()],
+        "several": [bytes(30_000)], "grams": [(np.arange(30_000, dtype="<u8") // 2).tobytes()], "counts": [bytes([21]) * 30_000],
+        "strings": [zstandard.compress(strings.tobytes())],
+    }
+    _, peak = _peak(lambda: suffix_dedup._answer_strings(50)(pa.table(table)))
+    assert peak < 25 * strings.size
+
+
+def test_workers_keep_between_tasks_only_what_serves_the_next():
+    """Operators share workers: a task drops what others held, and packing's table its older half when a task ends."""
+    from noveltide.llm import common
+
+    common.let_go()
+    words = common.held(("words", "x"), lambda: packing.WordIds.__new__(packing.WordIds))
+    words.pieces, words.older = {"a": b"1"}, {"b": b"2"}
+    common.held("other", dict)
+    common.let_go(("words", "x"))
+    assert list(common._held) == [("words", "x")] and words.pieces and not words.older
+    common.let_go()
+    assert not common._held
