@@ -5,8 +5,10 @@ follows from their sizes; when the elements are dealt by hash into more than D p
 The hashes of the parts are the tokens of the matrix: one for about nine shingles, and a text that merely holds a
 common passage shares none of them. Documents with a shared token are put into groups of similar ones (those with the
 same smallest shared token, split by hash when there are many), a group stores the union of its tokens, and a group
-is opened for a document only if they share a token. There it is compared only if its overlap with the union of the
-group's shingles still allows the threshold.
+is opened for a document only if they share a token. First its sketch is compared with those of the members: parities of
+its shingles' buckets, a bit for each shingle or less, whose differences are never more than those of the sets. Only sets
+that a sketch leaves a partner move, and they are compared if their overlap with the union of the group's shingles still
+allows the threshold.
 
 Equal sets are one node from the start. Groups are opened in two rounds: first, for each node, the largest group of
 each of its tokens, which joins large families with few openings; then the nodes with a token whose nodes are still in
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import U64, WordHashes, as_bytes, components, forget, map_arrow, mix, saved, shingle_hashes
 
 GROUP = 128
+#: Pairs of places, and words of sketches, that a task holds at once.
+PAIRS, SKETCH_WORDS = 1 << 18, 1 << 20
 #: Shingles of the members of a group, and of the nodes in a chunk, that a task should not much exceed.
 GROUP_SHINGLES = 2_000_000
 RATIO = 1.4
@@ -90,12 +94,27 @@ def part_tokens(shingles: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, dtype=U64)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Words of parity bits: whether an odd number of shingles falls into each of 2^k buckets, at least as many as shingles."""
+    bits = 1 << max(6, (len(shingles) - 1).bit_length())
+    odd = np.bincount((mix(shingles ^ U64(0x5DEECE66D)) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
+
+
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Sketches, a row each, as they are with fewer buckets."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, text_key, n_shingles, node, tokens) of every row; node is null where nothing can link."""
+    """(doc_id, text_key, n_shingles, node, tokens, sketch) of every row; node is null where nothing can link."""
     hashes = WordHashes()
 
     def run(part):
-        sizes, nodes, tokens, lengths = [], [], [], [0]
+        sizes, nodes, tokens, lengths, sketches = [], [], [], [0], []
         for doc, text in zip(part["doc_id"].to_pylist(), as_bytes(part["text"]), strict=True):
             s = shingle_set(text, width, hashes)
             sizes.append(len(s))
@@ -103,15 +122,63 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 nodes.append(set_key(s) - (1 << 63))
                 tokens.append(part_tokens(s, percent))
                 lengths.append(lengths[-1] + len(tokens[-1]))
+                sketches.append(sketch(s).tobytes() if len(tokens[-1]) else None)
             else:
                 nodes.append(None)
+                sketches.append(None)
                 lengths.append(lengths[-1])
         flat = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, dtype=np.int64)
         lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat))
-        return part["doc_id"], part["text_key"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists
+        return part["doc_id"], part["text_key"], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), lists, pa.array(sketches, pa.binary())
 
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    return map_arrow(rows, run, "doc_id long, text_key long, n_shingles long, node long, tokens array<long>")
+    return map_arrow(rows, run, "doc_id long, text_key long, n_shingles long, node long, tokens array<long>, sketch binary")
+
+
+def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """start[0], ..., stop[0] - 1, start[1], ..."""
+    count = stop - start
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def blocks(count: np.ndarray, most: int):
+    """Slices of rows with about `most` in all of their counts."""
+    if len(count):
+        at = np.flatnonzero(np.diff((np.cumsum(count) - count) // most, prepend=-1))
+        yield from (slice(i, j) for i, j in zip(at, [*at[1:], len(count)], strict=True))
+
+
+def sift(rows: pa.Table, percent: int) -> np.ndarray:
+    """The rows (grp, chunk, side, asks, n, part, sketch) of whole groups that sketches and sizes leave a link to another part."""
+    grp, chunk, side, asks, n, part = (rows[c].to_numpy() for c in ("grp", "chunk", "side", "asks", "n", "part"))
+    stays, order = np.zeros(len(grp), dtype=bool), np.lexsort((chunk, grp))
+    fresh = np.append(True, (np.diff(grp[order]) != 0) | (np.diff(chunk[order]) != 0))[: len(grp)]
+    place = np.empty(len(grp), dtype=np.int64)
+    place[order] = np.cumsum(fresh)
+    left, right = order[side[order] == 0], order[asks[order]]
+    start, stop = (np.searchsorted(place[right], place[left], side=s) for s in ("left", "right"))
+    texts = rows["sketch"].to_pylist()
+    words = np.array([len(x) // 8 for x in texts], dtype=np.int64)
+    of, spot = {}, np.zeros(len(grp), dtype=np.int64)  # sketches by their words, as they are and folded once
+    for wide in np.unique(words):
+        at = np.flatnonzero(words == wide)
+        spot[at] = np.arange(len(at))
+        of[wide, wide] = np.frombuffer(b"".join(texts[i] for i in at), dtype=U64).reshape(len(at), -1)
+        of[wide, wide // 2] = folded(of[wide, wide], max(1, wide // 2))
+    for some in blocks(stop - start, PAIRS):
+        i, j = np.repeat(left[some], (stop - start)[some]), right[ranges(start[some], stop[some])]
+        may = (part[i] != part[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = i[may], j[may]
+        for wide in np.unique(words[i]):
+            for other in (wide // 2, wide, 2 * wide):  # partners' sizes are less than twice apart
+                both = np.flatnonzero((words[i] == wide) & (words[j] == other))
+                few = min(wide, other)
+                for k in range(0, len(both), most := max(1, SKETCH_WORDS // int(wide))):
+                    u, v = i[both[k : k + most]], j[both[k : k + most]]
+                    apart = np.bitwise_count(of[wide, few][spot[u]] ^ of[other, few][spot[v]]).sum(axis=1, dtype=np.int64)
+                    near = (100 + percent) * apart <= (100 - percent) * (n[u] + n[v])
+                    stays[u[near]] = stays[v[near]] = True
+    return stays
 
 
 def open_group(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -158,32 +225,39 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     if not 72 <= percent <= 100:
         raise ValueError("percent must be from 72 to 100")
     whole = saved(signatures(docs, width, percent))
-    found = saved(whole.drop("tokens"))
+    found = saved(whole.drop("tokens", "sketch"))
     # equal sets are one node from here on; each has its tokens once
-    nodes = whole.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")
-    )
-    nodes = saved(nodes)
-    forget(whole)
+    many = found.where("node is not null").groupBy("node").agg(F.count("*").alias("seen")).where("seen > 1")
+    own = whole.where("node is not null").select("node", "doc_id", F.col("n_shingles").alias("n"), "tokens", "sketch")
+    own = _marked(own, saved(many.select("node")), "node")
+    first = [F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "tokens", "sketch"))]
+    copies = saved(own.where("_likely").groupBy("node").agg(*first))
+    nodes = own.where("not _likely").drop("_likely").unionByName(copies)
     cells = nodes.select(F.explode("tokens").alias("token"), "node")
     common = saved(cells.groupBy("token").agg(F.count("*").alias("seen")).where("seen > 1").select("token"))
     matrix = saved(cells.join(common, "token"))  # tokens of at least two different sets
     forget(common)
     anchor = matrix.groupBy("node").agg(F.min("token").alias("anchor"))
-    holder = saved(nodes.select("node", "doc_id", "n").join(anchor, "node"))
-    forget(nodes)
-    groups = saved(_groups(holder, GROUP))
-    # the sets of all grouped nodes; only they are shuffled, once
-    texts = _likely(docs.select(F.col("doc_id").cast("long"), "text"), holder)
-    hashes = WordHashes()
+    holder = saved(nodes.select("node", "doc_id", "n", "sketch").join(anchor, "node"))
+    forget(whole)
+    forget(copies)
+    groups = saved(_groups(holder.select("node", "n", "anchor"), GROUP))
+
+    def sets_of(near: DataFrame) -> DataFrame:
+        """(node, shingles) of the nodes in near; only their texts are read into sets, and shuffled, once."""
+        ids = saved(near.select("node").distinct().join(holder.select("node", "doc_id"), "node"))
+        texts = _marked(docs.select(F.col("doc_id").cast("long"), "text"), ids, "doc_id").where("_likely").select("text")
+        hashes = WordHashes()
+
+        def run(part):
+            sets = [shingle_set(t, width, hashes) for t in as_bytes(part["text"])]
+            return pa.array([set_key(s) - (1 << 63) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())
 
-    def sets_of(part):
-        sets = [shingle_set(t, width, hashes) for t in as_bytes(part["text"])]
-        return pa.array([set_key(s) - (1 << 63) if len(s) else None for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())
+        sets = map_arrow(texts, run, "node long, shingles binary")
+        sets = saved(sets.join(ids.select("node"), "node").dropDuplicates(["node"]))
+        forget(ids)
+        return sets
 
-    sets = map_arrow(texts.select("text"), sets_of, "node long, shingles binary")
-    sets = saved(sets.join(holder.select("node"), "node").dropDuplicates(["node"]))
-    forget(holder)
     held = saved(matrix.join(groups.drop("n"), "node"))
     forget(matrix)
     # the group with most tokens stands first: a family then meets in one group and not in one for each token
@@ -191,12 +265,15 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     first = held.select("token", "grp").distinct().join(width_of, "grp").groupBy("token").agg(F.max(F.struct("width", "grp")).alias("top"))
     star = held.select("token", "node").join(first, "token").select(F.col("top.grp").alias("grp"), "node")
     asked = saved(star.distinct().join(groups.select("grp", "node"), ["grp", "node"], "left_anti"))
-    edges = saved(_links(sets, groups, asked, percent, 4 * GROUP))
+    alone = holder.select("node", "n", "sketch", F.col("node").alias("part"))
+    edges = _links(sets_of, alone, groups, asked, percent, 4 * GROUP)
     forget(asked)
     parts = components(edges)
     # round two: tokens whose nodes are still in different components, in groups by the commonest such token of a node
     state = held.select("token", "node").join(parts.withColumnRenamed("id", "node"), "node", "left")
     state = state.select("token", "node", F.coalesce("component_id", "node").alias("part"))
+    joined = holder.join(parts.withColumnRenamed("id", "node"), "node", "left")
+    joined = saved(joined.select("node", "n", "sketch", F.coalesce("component_id", "node").alias("part")))
     mixed = state.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("seen")).where("low <> high")
     state = saved(state.join(mixed.select("token", "seen"), "token"))
     forget(held)
@@ -206,11 +283,7 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     forget(first_groups)
     placed = saved(state.select("token", "node", "part").join(groups.select("node", "grp"), "node"))
     forget(state)
-    spans = placed.groupBy("token", "grp").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    x, y = spans.alias("x"), placed.alias("y")
-    apart = (F.col("x.grp") != F.col("y.grp")) & ((F.col("x.low") != F.col("y.part")) | (F.col("x.high") != F.col("y.part")))
-    wish = x.join(y, (F.col("x.token") == F.col("y.token")) & apart)
-    wish = saved(wish.select(F.col("y.grp").alias("home"), F.col("x.grp").alias("grp"), "y.node").distinct())
+    wish = saved(_wishes(placed))
     forget(placed)
     # of two groups the one with fewer such nodes sends them to the other
     cost = wish.groupBy("home", "grp").agg(F.count("*").alias("cost"))
@@ -218,8 +291,8 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     way = cost.join(back, ["home", "grp"]).where("cost < back or cost = back and home < grp").select("home", "grp")
     more = saved(wish.join(way, ["home", "grp"]).select("grp", "node"))
     forget(wish)
-    later = saved(_links(sets, groups, more, percent, 8 * GROUP))
-    for spent in (sets, more, groups):
+    later = _links(sets_of, joined, groups, more, percent, 8 * GROUP)
+    for spent in (joined, holder, more, groups):
         forget(spent)
     parts = components(edges.union(later))
     forget(edges)
@@ -231,17 +304,57 @@ def similar_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> Dat
     return nodes.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "text_key", F.col("part").alias("group_key"))
 
 
-def _likely(texts: DataFrame, holder: DataFrame) -> DataFrame:
-    """texts without most of the rows whose doc_id is not in holder, by a bitmap of hashed ids.
+def _marked(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """rows with _likely: true where held has the key (and on few others), by a bitmap of hashed keys.
 
-    The bitmap has FILTER_BITS bits at most and lets all ids of holder pass, so a join still has to follow.
+    The bitmap has FILTER_BITS bits at most and lets all keys of held pass, so a join still has to follow.
     """
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = holder.select(spot.alias("_spot")).groupBy(F.shiftright("_spot", 15).alias("_row"))
+    spot = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = held.select(spot.alias("_spot")).groupBy(F.shiftright("_spot", 15).alias("_row"))
     bits = bits.agg(F.bitmap_construct_agg(F.col("_spot") % BITMAP_BITS).alias("_bits"))
-    found = texts.withColumn("_spot", spot).withColumn("_row", F.shiftright("_spot", 15)).join(F.broadcast(bits), "_row")
+    found = rows.withColumn("_spot", spot).withColumn("_row", F.shiftright("_spot", 15)).join(F.broadcast(bits), "_row", "left")
     byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_spot % {BITMAP_BITS} div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    return found.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_spot % 8 as int))")) != 0).select(*texts.columns)
+    likely = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(_spot % 8 as int))")) != 0, F.lit(False))
+    return found.select(*rows.columns, likely.alias("_likely"))
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks for few bytes that are much work: with a number of our own they are not merged into fewer."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _wishes(placed: DataFrame) -> DataFrame:
+    """(home, grp, node): groups other than its own (home) in which a node of placed (token, node, part, grp) shares a token with another part.
+
+    Pairs of groups are listed for each token they share; nodes meet them where all of a home is, so each node and group leaves a task once.
+    """
+    spans = placed.groupBy("token", "grp").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    alike = (F.col("low") == F.col("high")) & (F.col("home_low") == F.col("low")) & (F.col("home_high") == F.col("low"))
+    pairs = spans.toDF("token", "home", "home_low", "home_high").join(spans, "token").where((F.col("home") != F.col("grp")) & ~alike)
+    deal = F.pmod(F.xxhash64("home"), F.lit(_tasks(placed))).alias("deal")
+    own = placed.select("token", "node", "part", F.col("grp").alias("home")).select(deal, "token", "node", "part", "home").toDF("deal", "token", "node", "part", "home")
+    pairs = pairs.select(deal, "home", "token", "grp", "low", "high").toDF("deal", "home", "token", "grp", "low", "high")
+    own, pairs = (x.repartition(_tasks(placed), "deal") for x in (own, pairs))
+
+    def wishes(own: pa.Table, met: pa.Table) -> pa.Table:
+        homes, tokens = (np.unique(own[c].to_numpy()) for c in ("home", "token"))  # every pair's home has its token
+        key = lambda x: np.searchsorted(homes, x["home"].to_numpy()) * len(tokens) + np.searchsorted(tokens, x["token"].to_numpy())
+        own = own.take(np.argsort(key(own), kind="stable"))
+        met = met.take(np.lexsort((met["grp"].to_numpy(), met["home"].to_numpy())))
+        start, stop = (np.searchsorted(key(own), key(met), side=s) for s in ("left", "right"))
+        node, part = own["node"].to_numpy(), own["part"].to_numpy()
+        home, grp, low, high = (met[c].to_numpy() for c in ("home", "grp", "low", "high"))
+        out = [np.zeros((0, 3), dtype=np.int64)]
+        for some in blocks(stop - start, PAIRS):
+            pair = np.repeat(np.arange(len(home))[some], (stop - start)[some])
+            at = ranges(start[some], stop[some])
+            apart = (part[at] != low[pair]) | (part[at] != high[pair])
+            pair, at = pair[apart], at[apart]
+            out.append(np.unique(np.column_stack([home[pair], grp[pair], node[at]]), axis=0))
+        found = np.unique(np.concatenate(out), axis=0)
+        return pa.table({"home": found[:, 0], "grp": found[:, 1], "node": found[:, 2]})
+
+    return own.groupBy("deal").cogroup(pairs.groupBy("deal")).applyInArrow(wishes, "home long, grp long, node long")
 
 
 def _groups(anchored: DataFrame, most: int) -> DataFrame:
@@ -251,18 +364,34 @@ def _groups(anchored: DataFrame, most: int) -> DataFrame:
     return anchored.join(splits, "anchor").select("node", "n", F.xxhash64("anchor", F.pmod(F.xxhash64("node"), F.col("splits"))).alias("grp"))
 
 
-def _links(sets: DataFrame, groups: DataFrame, asked: DataFrame, percent: int, chunk: int) -> DataFrame:
+def _links(sets_of, held: DataFrame, groups: DataFrame, asked: DataFrame, percent: int, chunk: int) -> DataFrame:
     """Edges (a, b) between nodes: a group (node, n, grp) is opened for its members and for those that ask for it (grp, node).
 
     The nodes that a group is opened for are dealt into chunks of about `chunk` nodes and bounded size, and its members go once to
     each chunk, so a hub of thousands of nodes is many tasks and its members are repeated little. Only narrow rows are
-    dealt; each set then meets its places in one join.
+    dealt; the sketches of held (node, n, sketch, part) then meet their places, and of the places that these leave each
+    takes its set in one join.
     """
     every = asked.join(groups.select("node", "n"), "node").select("grp", "n").union(groups.select("grp", "n"))
-    chunks = every.groupBy("grp").agg(F.ceil(F.greatest(F.count("*") / F.lit(chunk), F.sum("n") / F.lit(GROUP_SHINGLES))).cast("int").alias("chunks"))
+    chunks = every.groupBy("grp").agg(F.count("*").alias("seen"), F.ceil(F.greatest(F.count("*") / F.lit(chunk), F.sum("n") / F.lit(GROUP_SHINGLES))).cast("int").alias("chunks"))
+    chunks = chunks.where("seen > 1").drop("seen")
     place = F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")).cast("int")
     members = groups.select("grp", "node").join(chunks, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), place.alias("own"), "node")
     members = members.select("grp", "chunk", F.lit(0).alias("side"), (F.col("chunk") == F.col("own")).alias("asks"), "node")
     others = asked.join(chunks, "grp").select("grp", place.alias("chunk"), F.lit(1).alias("side"), F.lit(True).alias("asks"), "node")
-    rows = members.union(others).join(sets.select("node", "shingles"), "node")
-    return rows.groupBy("grp", "chunk").applyInPandas(lambda pdf: open_group(pdf, percent), "a long, b long")
+    rows = members.union(others).join(held, "node")
+    rows = rows.repartition(_tasks(rows), "grp", "chunk")
+    names = ["grp", "chunk", "side", "asks", "node"]
+
+    def sifted(batches):
+        batches = list(batches)
+        if batches:
+            whole = pa.Table.from_batches(batches)
+            yield from whole.select(names).filter(pa.array(sift(whole, percent))).to_batches()
+
+    near = saved(rows.mapInArrow(sifted, "grp long, chunk int, side int, asks boolean, node long"))
+    sets = sets_of(near)
+    edges = saved(near.join(sets, "node").groupBy("grp", "chunk").applyInPandas(lambda pdf: open_group(pdf, percent), "a long, b long"))
+    forget(near)
+    forget(sets)
+    return edges
